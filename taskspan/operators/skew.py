@@ -1,0 +1,68 @@
+"""Equi-joins that stay balanced when a few keys hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.001
+BROADCAST_ROWS = 100_000
+
+
+def rows_within(df: DataFrame, limit: int) -> bool:
+    """True if `df` has at most `limit` rows; stops reading after that many."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def key_hash(keys: Sequence[str]) -> Column:
+    """One number per key; a clash only salts a key that did not need it."""
+    return F.xxhash64(*(F.col(k) for k in keys))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> dict[int, int]:
+    """Hashes of the keys that hold at least `share` of the rows, with the salts each one needs.
+
+    The frequent-items sketch sees each row once, without a shuffle, and returns at most 1/share
+    candidates; their exact counts are then taken over the candidates only. Enough salts are given
+    to cut a hot key into pieces the size of an average shuffle partition.
+    """
+    hashed = df.select(key_hash(keys).alias("key"))
+    candidates = hashed.freqItems(["key"], share).first()[0]
+    if not candidates:
+        return {}
+    counted = hashed.groupBy(
+        F.when(F.col("key").isin(candidates), F.col("key")).alias("key")
+    ).count().collect()  # at most 1/share rows and one for all the others
+    total = sum(row["count"] for row in counted)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = max(total / partitions, 1.0)
+    return {
+        row["key"]: max(2, round(row["count"] / even))
+        for row in counted
+        if row["key"] is not None and row["count"] >= max(share * total, 2)
+        and row["count"] > even / 2
+    }
+
+
+def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", *,
+             broadcast_rows: int = BROADCAST_ROWS, share: float = HOT_SHARE) -> DataFrame:
+    """Join `big` with `side` on `keys`, whatever the distribution of the keys in `big`.
+
+    A side of at most `broadcast_rows` rows, checked, is broadcast (0 skips the check). Otherwise
+    both sides are shuffled, and the hot keys of `big` are spread over salts while the rows of
+    `side` with those keys are repeated once per salt. `how` is "inner", "left" or "left_semi".
+    """
+    if broadcast_rows and rows_within(side, broadcast_rows):
+        return big.join(F.broadcast(side), list(keys), how)
+    hot = hot_keys(big, keys, share)
+    if not hot:
+        return big.join(side, list(keys), how)
+    salts = F.element_at(
+        F.create_map(*(F.lit(v) for pair in hot.items() for v in pair)), key_hash(keys))
+    salts = F.coalesce(salts, F.lit(1))
+    salted_big = big.withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), salts.cast("long")).cast("int"))
+    salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted_big.join(salted_side, [*keys, "_salt"], how).drop("_salt")
