@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskspan.functions import text
-from taskspan.operators.skew import join_hot
+from taskspan.operators.skew import broadcast_if_small, join_hot
 from taskspan.schema import (
     DAYS, DEPENDENCY_CODES, EXCLUDED_ORDER_TYPE, INCLUDED_FLAGS, SOURCE_SYSTEMS,
 )
@@ -49,8 +49,9 @@ def with_interval(df: DataFrame, calendar: DataFrame, start: str, complete: str,
 
     Faithful subtracts the days' numbers within their years, which is negative for most spans over
     a year end; repaired counts the days. Rows with a date outside the calendar drop in both. The
-    calendar is one row per day and its stored size lets the planner broadcast it twice.
+    calendar has one row per day and is broadcast after a check of its size.
     """
+    calendar = broadcast_if_small(calendar)
     begin = calendar.select(F.col("date").alias("_begin"), F.col("daynuminyear").alias("_first"))
     end = calendar.select(F.col("date").alias("_end"), F.col("daynuminyear").alias("_last"))
     joined = (
@@ -67,7 +68,7 @@ def with_interval(df: DataFrame, calendar: DataFrame, start: str, complete: str,
 def task_types(dictionary: DataFrame, phases: DataFrame, *, all_types: bool = False) -> DataFrame:
     """Task types with the name of their phase; first-day types only on request."""
     kept = dictionary if all_types else dictionary.where(F.col("isfdtask") == 0)
-    return kept.join(phases, "PID").select(
+    return join_hot(kept, phases, ["PID"]).select(
         F.col("SubIntID").alias("subIntID"),
         F.col("SubIntervalName").alias("subIntervalName"),
         "PID",
@@ -80,11 +81,12 @@ def star_join(orders: DataFrame, attributes: DataFrame, tasks: DataFrame,
     """Orders with their attributes, tasks and task types.
 
     Orders and attributes meet on `sourcekey` first; the tasks, of which one order may own a large
-    share, follow with a skew-safe join on the same key.
+    share, follow with a skew-safe join on the same key. The types come last, so that their names
+    are not part of the shuffled rows.
     """
     order_rows = orders.join(attributes, "sourcekey")
-    typed_tasks = join_hot(tasks, types, ["subIntID"])
-    return join_hot(typed_tasks, order_rows, ["sourcekey"], broadcast_rows=0)
+    rows = join_hot(tasks, order_rows, ["sourcekey"], broadcast_rows=0)
+    return join_hot(rows, types, ["subIntID"])
 
 
 def _order_columns() -> dict[str, Column]:

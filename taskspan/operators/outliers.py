@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskspan.functions.numbers import category_threshold, p99_category
-from taskspan.operators.skew import join_hot
+from taskspan.operators.skew import broadcast_if_small, join_hot
 from taskspan.operators.stats import TASK_PERCENTILES, histogram, interval_stats, task_group
 from taskspan.schema import DAYS, MIN_TASK_ROWS, P99_BUCKETS, TRIM_FRACTION
 from taskspan.sources.stage import stage
 
 _SLICE_DIGITS = 4
+_COPY_CHUNK = 10_000
 
 
 def tie_order(columns: Sequence[str]) -> Column:
@@ -77,7 +78,34 @@ def _tie_cuts(ties: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def _with_cuts(df: DataFrame, group: str, value: str, cuts: DataFrame) -> DataFrame:
     return df.join(
-        cuts, (F.col(group) == F.col("_group")) & F.col(value).eqNullSafe(F.col("_value")))
+        broadcast_if_small(cuts),
+        (F.col(group) == F.col("_group")) & F.col(value).eqNullSafe(F.col("_value")))
+
+
+def _edge_rows(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Kept rows of the slices a cut runs through.
+
+    Copies of a row are counted, not ranked one by one, and the kept ones written out again: first
+    in chunks, which are spread over the cluster, then row by row.
+    """
+    cut = ["_group", "_value", "_slice", "_low_slice", "_skip", "_high_slice", "_take"]
+    slice_ = F.col("_slice")
+    running = Window.partitionBy("_group", "_value", "_slice").orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, 0)
+    upto = F.sum("_copies").over(running)
+    counted = edges.groupBy(*columns, *cut).agg(F.count(F.lit(1)).alias("_copies")).withColumn(
+        "_order", tie_order(columns)).withColumn("_upto", upto)
+    first = F.when(slice_ == F.col("_low_slice"), F.col("_skip")).otherwise(0)
+    last = F.when(slice_ == F.col("_high_slice"), F.col("_take")).otherwise(F.col("_upto"))
+    kept = F.least("_upto", last) - F.greatest(F.col("_upto") - F.col("_copies"), first)
+    chunks = F.sequence(F.lit(0), F.floor((F.col("_kept") - 1) / _COPY_CHUNK))
+    rest = F.col("_kept") - F.col("_chunk") * _COPY_CHUNK
+    return (
+        counted.withColumn("_kept", kept).where(F.col("_kept") > 0)
+        .withColumn("_chunk", F.explode(chunks)).repartition(*columns, "_chunk")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(rest, F.lit(_COPY_CHUNK)))))
+        .select(*columns)
+    )
 
 
 def keep_ranks(df: DataFrame, *, group: str, value: str,
@@ -96,15 +124,8 @@ def keep_ranks(df: DataFrame, *, group: str, value: str,
         "_slice", F.when(~F.col("_whole"), tied_slice))
     slice_, low, high = F.col("_slice"), F.col("_low_slice"), F.col("_high_slice")
     inside = marked.where(F.col("_whole") | ((slice_ > low) & (slice_ < high)))
-    rank = F.row_number().over(
-        Window.partitionBy("_group", "_value", "_slice").orderBy(tie_order(columns)))
-    edges = marked.where(~F.col("_whole") & ((slice_ == low) | (slice_ == high))).withColumn(
-        "_rank", rank)
-    edges = edges.where(
-        ((slice_ != low) | (F.col("_rank") > F.col("_skip")))
-        & ((slice_ != high) | (F.col("_rank") <= F.col("_take")))
-    )
-    return inside.select(*columns).unionAll(edges.select(*columns))
+    edges = marked.where(~F.col("_whole") & ((slice_ == low) | (slice_ == high)))
+    return inside.select(*columns).unionAll(_edge_rows(edges, columns))
 
 
 def _share(count: Column, tenths: int, frac: float) -> Column:

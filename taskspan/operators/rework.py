@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskspan.operators.extract import extract_nonworkdays
-from taskspan.operators.skew import join_hot
+from taskspan.operators.skew import broadcast_if_small, join_hot
 from taskspan.schema import DAYS
 from taskspan.sources.stage import stage
 
@@ -108,7 +108,7 @@ def rework_days(df: DataFrame, calendar: DataFrame, *, from_year: int,
     fresh = F.greatest(F.col("startDate"), F.date_add(F.max("completeDate").over(earlier), 1))
     spans = longest_spans(df, keys).withColumn("_from", fresh).where(
         F.col("_from") <= F.col("completeDate"))
-    ordinals = stage(workday_ordinals(calendar, from_year), "workday-ordinals")
+    ordinals = broadcast_if_small(stage(workday_ordinals(calendar, from_year), "workday-ordinals"))
     first = ordinals.select(F.col("date").alias("_from"), "before")
     last = ordinals.select(F.col("date").alias("completeDate"), "upto")
     return (

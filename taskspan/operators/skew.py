@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
 BROADCAST_ROWS = 100_000
+_LEAST_SHARE, _MOST_SHARE = 0.0001, 0.001
 
 
 def rows_within(df: DataFrame, limit: int) -> bool:
@@ -16,18 +16,27 @@ def rows_within(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast if a count shows that it has at most `limit` rows."""
+    return F.broadcast(df) if rows_within(df, limit) else df
+
+
 def key_hash(keys: Sequence[str]) -> Column:
     """One number per key; a clash only salts a key that did not need it."""
     return F.xxhash64(*(F.col(k) for k in keys))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> dict[int, int]:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> dict[int, int]:
     """Hashes of the keys that hold at least `share` of the rows, with the salts each one needs.
 
     The frequent-items sketch sees each row once, without a shuffle, and returns at most 1/share
-    candidates; their exact counts are then taken over the candidates only. Enough salts are given
-    to cut a hot key into pieces the size of an average shuffle partition.
+    candidates; their exact counts are then taken over the candidates only. The share is that of an
+    average shuffle partition, within limits, and enough salts are given to cut a hot key into
+    pieces of that size.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if share is None:
+        share = max(_LEAST_SHARE, min(_MOST_SHARE, 1 / partitions))
     hashed = df.select(key_hash(keys).alias("key"))
     candidates = hashed.freqItems(["key"], share).first()[0]
     if not candidates:
@@ -36,18 +45,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> di
         F.when(F.col("key").isin(candidates), F.col("key")).alias("key")
     ).count().collect()  # at most 1/share rows and one for all the others
     total = sum(row["count"] for row in counted)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = max(total / partitions, 1.0)
+    even = total / partitions
     return {
         row["key"]: max(2, round(row["count"] / even))
         for row in counted
-        if row["key"] is not None and row["count"] >= max(share * total, 2)
-        and row["count"] > even / 2
+        if row["key"] is not None and row["count"] >= max(share * total, even / 2, 2)
     }
 
 
 def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", *,
-             broadcast_rows: int = BROADCAST_ROWS, share: float = HOT_SHARE) -> DataFrame:
+             broadcast_rows: int = BROADCAST_ROWS, share: float | None = None) -> DataFrame:
     """Join `big` with `side` on `keys`, whatever the distribution of the keys in `big`.
 
     A side of at most `broadcast_rows` rows, checked, is broadcast (0 skips the check). Otherwise
@@ -59,10 +66,15 @@ def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "i
     hot = hot_keys(big, keys, share)
     if not hot:
         return big.join(side, list(keys), how)
-    salts = F.element_at(
-        F.create_map(*(F.lit(v) for pair in hot.items() for v in pair)), key_hash(keys))
-    salts = F.coalesce(salts, F.lit(1))
-    salted_big = big.withColumn(
-        "_salt", F.pmod(F.monotonically_increasing_id(), salts.cast("long")).cast("int"))
-    salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salts = F.broadcast(big.sparkSession.createDataFrame(  # at most 1/share rows
+        list(hot.items()), "_hash long, _salts int"))
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        return df.join(salts, key_hash(keys) == F.col("_hash"), "left").withColumn(
+            "_salts", F.coalesce("_salts", F.lit(1))).drop("_hash")
+
+    spread = F.pmod(F.monotonically_increasing_id(), F.col("_salts").cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+    salted_big = with_salts(big).withColumn("_salt", spread).drop("_salts")
+    salted_side = with_salts(side).withColumn("_salt", every).drop("_salts")
     return salted_big.join(salted_side, [*keys, "_salt"], how).drop("_salt")

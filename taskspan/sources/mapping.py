@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskspan.operators.skew import join_hot
 from taskspan.sources.stage import stage
 from taskspan.sources.tables import Warehouse
 
@@ -143,13 +144,13 @@ def _dimension_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """Build the six source tables from the parquet files in `sf_dir`."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumnRenamed(
+        "c_custkey", "o_custkey")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     dictionary, phases, calendar = _dimension_tables(spark, sf_dir)
     return Warehouse(
         orders=_select(orders, ORDERS),
-        attributes=_select(orders.join(customers, orders.o_custkey == customers.c_custkey),
-                           ATTRIBUTES),
+        attributes=_select(join_hot(orders, customers, ["o_custkey"]), ATTRIBUTES),
         tasks=_select(items, TASKS),
         dictionary=dictionary,
         phases=phases,
