@@ -16,11 +16,11 @@ KINDS = {
 }
 
 
-def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def duck(sf_dir: str, files: str = "") -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
-        connection.execute(f"create view {name} as select * from '{path}'")
+        connection.execute(f"create view {name} as select * from '{path}{files}'")
     return connection
 
 
