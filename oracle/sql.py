@@ -113,7 +113,6 @@ def _clean(table: str, days: str) -> str:
         from {table} where {days} >= 0"""
 
 
-_IDS = ["_id", "taskid"]
 _COLUMNS = [
     "orderID", "subIntID", "subIntervalName", "owner", "PID", "phaseName", "sourceSystem",
     "startDate", "completeDate", "subIntIntervalsDays", "ProjectType", "T_projecttype", "IMPPOS2",
@@ -121,7 +120,7 @@ _COLUMNS = [
     "WorkGroup", "PDNOrder", "isBuildingAdd", "categoryCD", "QtyOfCircuits", "Expedite", "taskJeop",
 ]
 _ALL = ", ".join(_COLUMNS)
-_WITH_IDS = ", ".join(_COLUMNS[:2] + _IDS + _COLUMNS[2:])
+_NULLS_FIRST = ", ".join(f"{c} nulls first" for c in _COLUMNS)
 _KEYS = ("sourceSystem, subIntID, PID, orderAction, Expedite, orderDescription, orderClassType, "
          "T_projecttype, categoryCD")
 _FEATURES = ("subIntID, sourceSystem, PID, orderClassType, T_projecttype, Expedite, orderAction, "
@@ -134,11 +133,15 @@ def _quantiles(levels: dict[str, float]) -> str:
         for name, p in levels.items())
 
 
+# The deviation comes from whole-number sums: a running mean turns an exact .5 into .49999.
 _LISTS = """
           select {keys}, list(cast(subIntIntervalsDays as double) order by subIntIntervalsDays) as v,
             cast(count(*) - 1 as double) as m, count(*) as n, min(subIntIntervalsDays) as low,
             max(subIntIntervalsDays) as high, avg(subIntIntervalsDays) as mean,
-            stddev_samp(subIntIntervalsDays) as std
+            case when count(*) > 1 then sqrt(cast(
+                count(*) * sum(cast(subIntIntervalsDays as bigint) * subIntIntervalsDays)
+                - sum(subIntIntervalsDays) * sum(subIntIntervalsDays) as double)
+              / (count(*) * (count(*) - 1))) end as std
           from {table} group by {keys}"""
 
 
@@ -216,7 +219,7 @@ _CTES |= {
         select * exclude (n, rn) from (
           select *, count(subIntIntervalsDays) over (partition by subIntervalName) as n,
             row_number() over (partition by subIntervalName order by subIntIntervalsDays,
-              md5(concat_ws('|', {_WITH_IDS}))) as rn
+              md5(concat_ws('|', orderID, subIntID, _id, taskid)), {_NULLS_FIRST}) as rn
           from c_tasks) where n >= 10 and rn > n // 10""",
     "trimmed_test": f"""
         select * exclude (n, rn) from (

@@ -3,8 +3,8 @@
 A rank within a task would need the whole task sorted in one place, and a task may hold a large
 share of all rows. Trimming therefore works on counts: a histogram of days per task tells which
 days are kept whole, which drop, and which single value the cut runs through. Only the rows tied at
-that value need an order among themselves; they follow the MD5 of their columns, and a second
-histogram over its leading digits leaves a sliver of them to rank row by row.
+that value need an order among themselves; they follow the MD5 of a few columns, then all columns,
+and a second histogram over its leading digits leaves a sliver of them to rank row by row.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ _COPY_CHUNK = 10_000
 
 
 def tie_order(columns: Sequence[str]) -> Column:
-    """A fixed order among rows with equal days: the MD5 of their columns as text."""
+    """A fixed order among rows with equal days: the MD5 of some columns as text."""
     return F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
 
 
@@ -82,7 +82,7 @@ def _with_cuts(df: DataFrame, group: str, value: str, cuts: DataFrame) -> DataFr
         (F.col(group) == F.col("_group")) & F.col(value).eqNullSafe(F.col("_value")))
 
 
-def _edge_rows(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _edge_rows(edges: DataFrame, columns: Sequence[str], order: Column) -> DataFrame:
     """Kept rows of the slices a cut runs through.
 
     Copies of a row are counted, not ranked one by one, and the kept ones written out again: first
@@ -90,11 +90,11 @@ def _edge_rows(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     cut = ["_group", "_value", "_slice", "_low_slice", "_skip", "_high_slice", "_take"]
     slice_ = F.col("_slice")
-    running = Window.partitionBy("_group", "_value", "_slice").orderBy("_order").rowsBetween(
-        Window.unboundedPreceding, 0)
+    running = Window.partitionBy("_group", "_value", "_slice").orderBy(
+        "_order", *columns).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("_copies").over(running)
     counted = edges.groupBy(*columns, *cut).agg(F.count(F.lit(1)).alias("_copies")).withColumn(
-        "_order", tie_order(columns)).withColumn("_upto", upto)
+        "_order", order).withColumn("_upto", upto)
     first = F.when(slice_ == F.col("_low_slice"), F.col("_skip")).otherwise(0)
     last = F.when(slice_ == F.col("_high_slice"), F.col("_take")).otherwise(F.col("_upto"))
     kept = F.least("_upto", last) - F.greatest(F.col("_upto") - F.col("_copies"), first)
@@ -109,13 +109,16 @@ def _edge_rows(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def keep_ranks(df: DataFrame, *, group: str, value: str,
-               limits: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+               limits: Callable[[Column, Column], tuple[Column, Column]],
+               tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Rows whose rank by value within their group lies in the range `limits` gives.
 
-    `df` is read four times: pass a stored table.
+    `tiebreak` names columns that tell most rows apart, all columns by default; few columns make
+    the pass over the tied rows narrow. `df` is read four times: pass a stored table.
     """
     columns = df.columns
-    tied_slice = F.substring(tie_order(columns), 1, _SLICE_DIGITS)
+    order = tie_order(tiebreak or columns)
+    tied_slice = F.substring(order, 1, _SLICE_DIGITS)
     cuts = _rank_cuts(df, group, value, limits)
     ties = _with_cuts(df, group, value, cuts.where(~F.col("_whole"))).withColumn("_slice", tied_slice)
     cuts = _tie_cuts(ties, cuts)
@@ -125,7 +128,7 @@ def keep_ranks(df: DataFrame, *, group: str, value: str,
     slice_, low, high = F.col("_slice"), F.col("_low_slice"), F.col("_high_slice")
     inside = marked.where(F.col("_whole") | ((slice_ > low) & (slice_ < high)))
     edges = marked.where(~F.col("_whole") & ((slice_ == low) | (slice_ == high)))
-    return inside.select(*columns).unionAll(_edge_rows(edges, columns))
+    return inside.select(*columns).unionAll(_edge_rows(edges, columns, order))
 
 
 def _share(count: Column, tenths: int, frac: float) -> Column:
@@ -135,18 +138,19 @@ def _share(count: Column, tenths: int, frac: float) -> Column:
 
 def trim_bottom(df: DataFrame, *, group: str = "subIntervalName", value: str = DAYS,
                 frac: float = TRIM_FRACTION, min_count: int = MIN_TASK_ROWS,
-                keep_small: bool = False) -> DataFrame:
+                keep_small: bool = False, tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Drop the shortest tenth of each task; tasks under `min_count` rows drop, or stay on request."""
     def limits(rows: Column, values: Column) -> tuple[Column, Column]:
         small = values < min_count
         low = F.when(small, F.lit(0) if keep_small else rows).otherwise(_share(values, 1, frac))
         return low, rows
 
-    return keep_ranks(df, group=group, value=value, limits=limits)
+    return keep_ranks(df, group=group, value=value, limits=limits, tiebreak=tiebreak)
 
 
 def trim_both(df: DataFrame, *, group: str = "subIntervalName", value: str = DAYS,
-              frac: float = TRIM_FRACTION, min_count: int = MIN_TASK_ROWS) -> DataFrame:
+              frac: float = TRIM_FRACTION, min_count: int = MIN_TASK_ROWS,
+              tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Drop the shortest and the longest tenth of each task with more than `min_count` rows."""
     def limits(rows: Column, values: Column) -> tuple[Column, Column]:
         small = rows <= min_count
@@ -156,7 +160,7 @@ def trim_both(df: DataFrame, *, group: str = "subIntervalName", value: str = DAY
             F.when(small, rows).otherwise(_share(rows, kept, frac)),
         )
 
-    return keep_ranks(df, group=group, value=value, limits=limits)
+    return keep_ranks(df, group=group, value=value, limits=limits, tiebreak=tiebreak)
 
 
 def tasks_with_rows(df: DataFrame, *, group: str = "subIntervalName", value: str = DAYS,

@@ -117,11 +117,18 @@ def rework_days(df: DataFrame, calendar: DataFrame, *, from_year: int,
     )
 
 
-def _first_rows(df: DataFrame, keys: Sequence[str], nullable: Sequence[str]) -> DataFrame:
+def _missing(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns in which a value is missing somewhere."""
+    counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    return [c for c in columns if counts[c]]
+
+
+def _first_rows(df: DataFrame, keys: Sequence[str], missing: Sequence[str]) -> DataFrame:
     """Per group the row count, the count of names and the first non-missing value per column.
 
     First means by start, completion and then all columns, so that the choice is the same on every
-    run. Partial aggregation keeps one candidate per group and task.
+    run. Partial aggregation keeps one whole row per group and task, and one more for each column
+    in `missing`.
     """
     payload = [c for c in df.columns if c not in keys]
     order = ["startDate", "completeDate"]
@@ -131,15 +138,12 @@ def _first_rows(df: DataFrame, keys: Sequence[str], nullable: Sequence[str]) ->
         F.count("subIntervalName").alias("count"),
         F.count(F.lit(1)).alias("_rows"),
         F.min(row).alias("_first"),
-        *(
-            F.min(F.when(F.col(c).isNotNull(), row))[c].alias(f"_first_{c}")
-            for c in nullable if c in payload
-        ),
+        *(F.min(F.when(F.col(c).isNotNull(), row))[c].alias(f"_first_{c}") for c in missing),
     )
     return found.select(
         *keys, "count", "_rows",
         *(
-            F.coalesce(f"_first.{c}", f"_first_{c}").alias(c) if c in nullable
+            F.coalesce(f"_first.{c}", f"_first_{c}").alias(c) if c in missing
             else F.col(f"_first.{c}").alias(c)
             for c in payload
         ),
@@ -153,15 +157,16 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
 
     Tasks that occur once keep their interval unless `recompute_singles`. `form="dates"` adds the
     dates as `B_dates`; `form="counts"` only counts them. `nullable` names the columns that can be
-    missing (all of them by default), each costing one more aggregate. `df` is read twice or more:
-    pass a stored table or a chain without shuffles.
+    missing, all of them by default; a first pass over those finds the ones that are. `df` is read
+    three times: pass a stored table or a chain without shuffles.
     """
     columns = df.columns
     payload = [c for c in columns if c not in keys]
     keyed = df.where(" and ".join(f"{k} is not null" for k in keys)).withColumns({
         "startDate": F.to_date("startDate"), "completeDate": F.to_date("completeDate"),
     })
-    groups = _first_rows(keyed, keys, payload if nullable is None else nullable)
+    missing = _missing(keyed, payload if nullable is None else nullable)
+    groups = _first_rows(keyed, keys, missing)
     groups = groups.where(F.col("count") >= 1)
     if form == "dates":
         found = group_dates(keyed, calendar, from_year=from_year, keys=keys)
@@ -174,13 +179,12 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
         days = F.when(F.col("count") > 1, days).otherwise(F.col(DAYS))
     merged = groups.join(found, list(keys), "left")
 
-    # A group with one named row may also hold rows without a name: those stay as they are.
-    unnamed = stage(keyed.where(F.col("subIntervalName").isNull()).select(*keys).distinct(),
-                    "unnamed-tasks")
     result = merged.select(
         *(days.alias(DAYS) if c == DAYS else F.col(c) for c in columns), "count", "_rows", *extra)
-    if unnamed.isEmpty():
+    if "subIntervalName" not in missing:
         return result.drop("_rows")
+
+    # A group with one named row may also hold rows without a name: those stay as they are.
     apart = stage(
         groups.where((F.col("count") == 1) & (F.col("_rows") > 1)).select(*keys), "mixed-tasks")
     rows = join_hot(keyed, apart, keys, "left_semi").withColumn("count", F.lit(1).cast("long"))

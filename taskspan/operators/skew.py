@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 _LEAST_SHARE, _MOST_SHARE = 0.0001, 0.001
+_MOST_KEYS = 10_000  # keys of the least share that can exist
+_TRACKED_KEYS = 100_000
 
 
 def rows_within(df: DataFrame, limit: int) -> bool:
@@ -29,27 +31,22 @@ def key_hash(keys: Sequence[str]) -> Column:
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> dict[int, int]:
     """Hashes of the keys that hold at least `share` of the rows, with the salts each one needs.
 
-    The frequent-items sketch sees each row once, without a shuffle, and returns at most 1/share
-    candidates; their exact counts are then taken over the candidates only. The share is that of an
-    average shuffle partition, within limits, and enough salts are given to cut a hot key into
-    pieces of that size.
+    The frequent-items sketch sees each row once, without a shuffle of rows, and has a fixed size;
+    its counts are estimates, which is enough to choose salts. The share is that of an average
+    shuffle partition, within limits, and the salts cut a hot key into pieces of that size.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if share is None:
         share = max(_LEAST_SHARE, min(_MOST_SHARE, 1 / partitions))
-    hashed = df.select(key_hash(keys).alias("key"))
-    candidates = hashed.freqItems(["key"], share).first()[0]
-    if not candidates:
-        return {}
-    counted = hashed.groupBy(
-        F.when(F.col("key").isin(candidates), F.col("key")).alias("key")
-    ).count().collect()  # at most 1/share rows and one for all the others
-    total = sum(row["count"] for row in counted)
+    total, frequent = df.select(key_hash(keys).alias("key")).agg(
+        F.count(F.lit(1)),
+        F.expr(f"approx_top_k(key, {_MOST_KEYS}, {_TRACKED_KEYS})"),
+    ).first()
     even = total / partitions
     return {
-        row["key"]: max(2, round(row["count"] / even))
-        for row in counted
-        if row["key"] is not None and row["count"] >= max(share * total, even / 2, 2)
+        item["item"]: max(2, round(item["count"] / even))
+        for item in frequent or ()
+        if item["count"] >= max(share * total, even / 2, 2)
     }
 
 
@@ -66,7 +63,7 @@ def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "i
     hot = hot_keys(big, keys, share)
     if not hot:
         return big.join(side, list(keys), how)
-    salts = F.broadcast(big.sparkSession.createDataFrame(  # at most 1/share rows
+    salts = F.broadcast(big.sparkSession.createDataFrame(  # at most _MOST_KEYS rows
         list(hot.items()), "_hash long, _salts int"))
 
     def with_salts(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from taskspan.operators.extract import (
 )
 from taskspan.operators.outliers import threshold_outliers, trim_both, trim_bottom
 from taskspan.operators.rework import NULLABLE_COLUMNS, rework_merge
-from taskspan.schema import TASK_SCHEMA, check_schema
+from taskspan.schema import TASK_IDS, TASK_SCHEMA, check_schema
 from taskspan.sources.stage import stage
 from taskspan.sources.tables import Warehouse
 
@@ -40,7 +40,7 @@ def train_stages(source: Warehouse, *, window: tuple[str, str], from_year: int,
     """
     extracted = stage(extract_tasks(source, window=window, mode=mode), "tasks")
     cleaned = clean(extracted)
-    trimmed = trim_bottom(cleaned, keep_small=keep_small)
+    trimmed = trim_bottom(cleaned, keep_small=keep_small, tiebreak=TASK_IDS)
     keys = ("subIntervalName",) if mode == "faithful" else ("subIntervalName", "subIntID")
     thresholded = threshold_outliers(trimmed, join_keys=keys)
     binned = task_table(

@@ -11,7 +11,7 @@ from taskspan.functions import numbers, text
 from taskspan.operators import boost, categories, clean, configs, extract, metrics, outliers
 from taskspan.operators import rework, stats
 from taskspan.plans import prepare
-from taskspan.schema import DAYS, FEATURES, TASK_COLUMNS
+from taskspan.schema import DAYS, FEATURES, TASK_COLUMNS, TASK_IDS
 from taskspan.sources import mapping
 from taskspan.sources.stage import stage, stage_path
 from taskspan.sources.tables import Warehouse, overwrite_table
@@ -52,7 +52,7 @@ def _stored(source: Warehouse) -> DataFrame:
 
 
 def _trimmed(source: Warehouse) -> DataFrame:
-    return outliers.trim_bottom(_stored(source))
+    return outliers.trim_bottom(_stored(source), tiebreak=TASK_IDS)
 
 
 def _orders(source: Warehouse) -> DataFrame:

@@ -29,6 +29,7 @@ TASK_COLUMNS = (
     "orderClassType", "orderAction", "orderDescription", "is3rdpartycoloneeded", "creatorGroup",
     "WorkGroup", "PDNOrder", "isBuildingAdd", "categoryCD", "QtyOfCircuits", "Expedite", "taskJeop",
 )
+TASK_IDS = ("orderID", "subIntID", "_id", "taskid")
 FEATURES = (
     "subIntID", "sourceSystem", "PID", "orderClassType", "T_projecttype", "Expedite",
     "orderAction", "orderDescription", "categoryCD",
