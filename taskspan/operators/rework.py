@@ -17,7 +17,7 @@ from taskspan.schema import DAYS
 from taskspan.sources.stage import stage
 
 REPEAT_KEYS = ("orderID", "subIntID")
-# Columns of a task table that can be missing: the extract gives every other one a default.
+# Task columns in which the extract can leave a value missing; the others have a default.
 NULLABLE_COLUMNS = ("subIntervalName", "owner", "PID", "phaseName")
 
 
@@ -117,7 +117,7 @@ def rework_days(df: DataFrame, calendar: DataFrame, *, from_year: int,
     )
 
 
-def _missing(df: DataFrame, columns: Sequence[str]) -> list[str]:
+def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """The columns in which a value is missing somewhere."""
     counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
     return [c for c in columns if counts[c]]
@@ -156,16 +156,16 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
     """One row per order and task: repeats are merged into their distinct business days.
 
     Tasks that occur once keep their interval unless `recompute_singles`. `form="dates"` adds the
-    dates as `B_dates`; `form="counts"` only counts them. `nullable` names the columns that can be
-    missing, all of them by default; a first pass over those finds the ones that are. `df` is read
-    three times: pass a stored table or a chain without shuffles.
+    dates as `B_dates`; `form="counts"` only counts them. `nullable` must name the columns in which a
+    value is missing somewhere; by default a pass over `df` finds them. `df` is read twice more:
+    pass a stored table or a chain without shuffles.
     """
     columns = df.columns
     payload = [c for c in columns if c not in keys]
     keyed = df.where(" and ".join(f"{k} is not null" for k in keys)).withColumns({
         "startDate": F.to_date("startDate"), "completeDate": F.to_date("completeDate"),
     })
-    missing = _missing(keyed, payload if nullable is None else nullable)
+    missing = missing_columns(keyed, payload) if nullable is None else list(nullable)
     groups = _first_rows(keyed, keys, missing)
     groups = groups.where(F.col("count") >= 1)
     if form == "dates":

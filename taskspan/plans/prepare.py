@@ -15,8 +15,8 @@ from taskspan.operators.extract import (
     extract_cancelled_dependency, extract_orders, extract_tasks,
 )
 from taskspan.operators.outliers import threshold_outliers, trim_both, trim_bottom
-from taskspan.operators.rework import NULLABLE_COLUMNS, rework_merge
-from taskspan.schema import TASK_IDS, TASK_SCHEMA, check_schema
+from taskspan.operators.rework import NULLABLE_COLUMNS, missing_columns, rework_merge
+from taskspan.schema import TASK_COLUMNS, TASK_IDS, TASK_SCHEMA, check_schema
 from taskspan.sources.stage import stage
 from taskspan.sources.tables import Warehouse
 
@@ -45,12 +45,16 @@ def train_stages(source: Warehouse, *, window: tuple[str, str], from_year: int,
     thresholded = threshold_outliers(trimmed, join_keys=keys)
     binned = task_table(
         bin_rare(thresholded, rare_order_categories(source, window=window, mode=mode)))
+    nullable = missing_columns(extracted, NULLABLE_COLUMNS)
     if include_cancelled:
-        binned = add_cancelled(
-            binned, extract_cancelled_dependency(source, window=window, mode=mode))
+        cancelled = stage(
+            extract_cancelled_dependency(source, window=window, mode=mode), "cancelled")
+        binned = add_cancelled(binned, cancelled)
+        others = [c for c in TASK_COLUMNS if c not in nullable]
+        nullable += missing_columns(cancelled, others)
     check_schema(binned, TASK_SCHEMA, "binned tasks")
     merged = rework_merge(
-        binned, source.calendar, from_year=from_year, nullable=NULLABLE_COLUMNS,
+        binned, source.calendar, from_year=from_year, nullable=nullable,
         recompute_singles=recompute_singles, form=form)
     return {
         "extracted": extracted, "cleaned": cleaned, "trimmed": trimmed,

@@ -451,8 +451,7 @@ def rework_days(source):
 @query
 def rework_merge(source):
     merged = rework.rework_merge(
-        clean.task_table(_stored(source)), source.calendar, from_year=FROM_YEAR,
-        nullable=rework.NULLABLE_COLUMNS)
+        clean.task_table(_stored(source)), source.calendar, from_year=FROM_YEAR)
     return merged.withColumn("B_dates", text.joined_dates(F.col("B_dates")))
 
 

@@ -51,7 +51,7 @@ def test_backward_span_has_no_dates(spark, calendar):
 def test_first_value_that_is_there(spark, calendar):
     rows = [("o", 1, "t", None, MON, TUE, 1), ("o", 1, "t", "a", MON, WED, 2),
             ("o", 1, "t", "b", TUE, WED, 1)]
-    for nullable in (None, rework.NULLABLE_COLUMNS):
+    for nullable in (None, ["owner"]):
         row = merged(spark, calendar, rows, nullable=nullable).first()
         assert row["owner"] == "a" and row["startDate"] == MON and row["completeDate"] == TUE
 
@@ -93,8 +93,7 @@ def test_both_forms_agree(stored_tasks):
     source, tasks = stored_tasks
     forms = [
         rework.rework_merge(tasks, source.calendar, from_year=1995, form=form,
-                            nullable=rework.NULLABLE_COLUMNS, recompute_singles=True).select(
-                                "orderID", "subIntID", "count", DAYS)
+                            recompute_singles=True).select("orderID", "subIntID", "count", DAYS)
         for form in ("dates", "counts")
     ]
     assert forms[0].count() == forms[1].count() > 0
@@ -103,8 +102,7 @@ def test_both_forms_agree(stored_tasks):
 
 def test_merge_invariants(stored_tasks):
     source, tasks = stored_tasks
-    got = rework.rework_merge(tasks, source.calendar, from_year=1995,
-                              nullable=rework.NULLABLE_COLUMNS).cache()
+    got = rework.rework_merge(tasks, source.calendar, from_year=1995).cache()
     assert got.agg(F.sum("count")).first()[0] == tasks.count()
     assert got.count() == tasks.select(*rework.REPEAT_KEYS).distinct().count()
     span = F.greatest(F.date_diff("completeDate", "startDate") + 1, F.lit(0))
