@@ -141,21 +141,28 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
     y, score = F.col(label), F.col("_score")
     gradient = F.when(y > score, F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
     rows = rows.withColumn("_score", F.lit(base))
+    placed: DataFrame | None = None
     for i in range(1, rounds + 1):
         tree = learner.fit(rows.withColumn("_gradient", gradient))
-        residuals = tree.transform(rows).groupBy(
+        before, placed = placed, tree.transform(rows).select(
+            "features", label, "weight", "_score", "_leaf").persist()
+        residuals = placed.groupBy(
             "_leaf", F.round(y - score, _RESIDUAL_DECIMALS).alias("residual"),
         ).agg(F.sum("weight").alias("weight"))
         quantiles = residuals.groupBy("_leaf").agg(
             F.percentile("residual", alpha, F.col("weight")).alias("value")
         ).collect()  # one row per leaf
+        if before is not None:
+            before.unpersist()
         values = [0.0] * ((tree.numNodes + 1) // 2)
         for row in quantiles:
             values[int(row["_leaf"])] = row["value"]
         model.rounds.append((tree, values))
-        rows = _add_tree(rows, tree, values, rate, "_score")
+        rows = placed.withColumn("_score", score + F.lit(rate) * _leaf_value(values)).drop("_leaf")
         if i % _STORE_EVERY == 0 and i < rounds:
             rows = stage(rows, "boost-rows")
+    if placed is not None:
+        placed.unpersist()
     return model
 
 

@@ -70,6 +70,10 @@ def _test_cleaned(source: Warehouse) -> DataFrame:
     return clean.clean(_test_extract(source))
 
 
+def _test_stored(source: Warehouse) -> DataFrame:
+    return clean.clean(stage(_test_extract(source), "test-tasks"))
+
+
 def _merged(source: Warehouse, form: str = "counts") -> DataFrame:
     return prepare.prepare_train(source, window=TRAIN, from_year=FROM_YEAR, form=form)
 
@@ -192,7 +196,7 @@ def tasks_min_count(source):
 
 @query
 def split_jeop(source):
-    plain, jeop = clean.split_by_jeop(_test_cleaned(source))
+    plain, jeop = clean.split_by_jeop(_test_stored(source))
     parts = [df.select("orderID", "subIntID", "taskJeop", F.lit(name).alias("part"))
              for name, df in (("none", plain), ("jeop", jeop))]
     return clean.append_rows(*parts)
@@ -349,7 +353,7 @@ def trim_bottom(source):
 
 @query
 def trim_both(source):
-    plain, _ = clean.split_by_jeop(clean.clean(stage(_test_extract(source), "test-tasks")))
+    plain, _ = clean.split_by_jeop(_test_stored(source))
     return outliers.trim_both(plain)
 
 
@@ -377,7 +381,7 @@ def head_rework(source):
 
 @query
 def union_by_name(source):
-    plain, jeop = clean.split_by_jeop(_test_cleaned(source))
+    plain, jeop = clean.split_by_jeop(_test_stored(source))
     jeop = jeop.withColumn("taskJeop_flagged", numbers.jeop_flag(F.col("taskJeop")))
     return clean.append_rows(plain, jeop)
 
