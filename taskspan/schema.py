@@ -89,6 +89,8 @@ TASK_SCHEMA = T.StructType([
     for name in TASK_COLUMNS
 ])
 
+# Keys the warehouse may hold as text or as numbers.
+_KEY_COLUMNS = ("orderid", "sourcekey", "_id", "taskid")
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _MOMENT = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -105,13 +107,18 @@ def check_schema(df: DataFrame, expected: T.StructType, name: str) -> DataFrame:
     """Return `df` unchanged, or fail naming the missing or mistyped columns.
 
     Names match without regard to case, whole numbers of any width match each other, and so do
-    dates and timestamps: the warehouse decides those.
+    dates and timestamps: the warehouse decides those. Keys may be text or whole numbers.
     """
     have = {f.name.lower(): _kind(f.dataType) for f in df.schema.fields}
+
+    def accepted(column: T.StructField) -> tuple[str, ...]:
+        key = column.name.lower() in _KEY_COLUMNS
+        return ("string", "whole") if key else (_kind(column.dataType),)
+
     wrong = [
-        f"{f.name}: expected {_kind(f.dataType)}, found {have.get(f.name.lower(), 'nothing')}"
+        f"{f.name}: expected {' or '.join(accepted(f))}, found {have.get(f.name.lower(), 'nothing')}"
         for f in expected.fields
-        if have.get(f.name.lower()) != _kind(f.dataType)
+        if have.get(f.name.lower()) not in accepted(f)
     ]
     if wrong:
         raise ValueError(f"{name} does not have the expected columns: " + "; ".join(wrong))

@@ -70,6 +70,18 @@ def read_warehouse(spark: SparkSession, names: dict[str, str]) -> Warehouse:
     return Warehouse(**{part: read_table(spark, names[part]) for part in Warehouse._fields}).checked()
 
 
+def read_jdbc_warehouse(spark: SparkSession, url: str, queries: dict[str, str],
+                        splits: dict[str, JdbcSplit], **extra: str) -> Warehouse:
+    """Read the six source tables over JDBC; the joins of the extracts then run in Spark.
+
+    Give a split for every table that is not small, so that it is read by parallel range queries.
+    """
+    return Warehouse(**{
+        part: read_jdbc_query(spark, url, queries[part], splits.get(part), **extra)
+        for part in Warehouse._fields
+    }).checked()
+
+
 def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet",
                     partition_by: Sequence[str] = ()) -> str:
     """Replace the table at `path`, schema included, and return the path.

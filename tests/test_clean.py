@@ -108,6 +108,21 @@ def test_schema_check_names_the_column(spark):
         check_schema(df, SOURCE_SCHEMAS["phases"], "phases")
 
 
-def test_warehouse_check_accepts_timestamps(source):
+def test_warehouse_check_accepts_timestamps_and_text_keys(source):
     calendar = source.calendar.withColumn("date", F.col("date").cast("timestamp"))
-    assert isinstance(source._replace(calendar=calendar).checked(), Warehouse)
+    orders = source.orders.withColumn("sourcekey", F.col("sourcekey").cast("string"))
+    changed = source._replace(calendar=calendar, orders=orders)
+    assert isinstance(changed.checked(), Warehouse)
+
+
+def test_extract_takes_timestamps(source):
+    """Times of day change neither the intervals nor the rows of a date-only window."""
+    def later(df, *columns):
+        return df.withColumns({c: F.col(c).cast("timestamp") + F.expr("interval 9 hours")
+                               for c in columns})
+
+    timed = source._replace(tasks=later(source.tasks, "startDate", "completeDate"))
+    window = ("1995-01-01", "2000-12-31")
+    want = extract.extract_tasks(source, window=window).drop("startdate", "completedate")
+    got = extract.extract_tasks(timed, window=window).drop("startdate", "completedate")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()

@@ -40,6 +40,35 @@ def test_jdbc_reader_gets_the_options():
     assert seen["format"] == "jdbc" and seen["driver"] == "d" and seen["query"] == "select 1"
 
 
+def test_jdbc_warehouse_splits_the_large_tables(source):
+    seen = {}
+
+    class Reader:
+        def format(self, name):
+            return self
+
+        def options(self, **options):
+            self.options_ = options
+            return self
+
+        def load(self):
+            query = self.options_.get("query") or self.options_["dbtable"][1:-3]
+            name = query.removeprefix("select * from ")
+            seen[name] = self.options_
+            return getattr(source, name)
+
+    class Session:
+        @property
+        def read(self):
+            return Reader()
+
+    queries = {name: f"select * from {name}" for name in source._fields}
+    splits = {"tasks": tables.JdbcSplit("sourcekey", 0, 10, 4)}
+    read = tables.read_jdbc_warehouse(Session(), "jdbc:x", queries, splits)
+    assert read.tasks is source.tasks and seen["tasks"]["numPartitions"] == "4"
+    assert "query" in seen["phases"]
+
+
 def test_overwrite_replaces_rows_and_schema(spark):
     path = stage_path(spark, "table")
     tables.overwrite_table(spark.range(5), path)
