@@ -166,13 +166,16 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
     return model
 
 
+def round_scores(scored: DataFrame, name: str = "Prediction") -> DataFrame:
+    """Predictions as whole days, halves to the even neighbour."""
+    return scored.withColumn(name, round_half_even(F.col(name)))
+
+
 def scored_table(model: QuantileBoost, test: DataFrame, *, label: str = DAYS,
                  rounded: bool = True) -> DataFrame:
     """Order, predictors, actual and predicted days. Metrics belong on unrounded predictions."""
     scored = model.predict(test.select("orderID", *FEATURES, F.col(label).alias("Actual")))
-    if not rounded:
-        return scored
-    return scored.withColumn("Prediction", round_half_even(F.col("Prediction")))
+    return round_scores(scored) if rounded else scored
 
 
 def run_record(settings: dict[str, float], metrics: DataFrame, model_path: str) -> DataFrame:

@@ -89,7 +89,10 @@ def group_dates(df: DataFrame, calendar: DataFrame, *, from_year: int,
 
 
 def workday_ordinals(calendar: DataFrame, from_year: int) -> DataFrame:
-    """Calendar with the number of business dates before and up to each date."""
+    """Calendar with the number of business dates before and up to each date.
+
+    The running sum goes through one task: the calendar has one row per day.
+    """
     off = (F.col("isworkday") == 0) & (F.year("date") >= from_year)
     business = F.when(off, 0).otherwise(1)
     upto = F.sum(business).over(Window.partitionBy(F.lit(0)).orderBy("date"))

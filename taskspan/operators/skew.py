@@ -57,6 +57,9 @@ def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "i
     A side of at most `broadcast_rows` rows, checked, is broadcast (0 skips the check). Otherwise
     both sides are shuffled, and the hot keys of `big` are spread over salts while the rows of
     `side` with those keys are repeated once per salt. `how` is "inner", "left" or "left_semi".
+
+    A salt depends on the row's values and its partition only, so a task that runs again gives each
+    row the same salt; copies of a row in different partitions still get different ones.
     """
     if broadcast_rows and rows_within(side, broadcast_rows):
         return big.join(F.broadcast(side), list(keys), how)
@@ -70,7 +73,10 @@ def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "i
         return df.join(salts, key_hash(keys) == F.col("_hash"), "left").withColumn(
             "_salts", F.coalesce("_salts", F.lit(1))).drop("_hash")
 
-    spread = F.pmod(F.monotonically_increasing_id(), F.col("_salts").cast("long")).cast("int")
+    scattered = F.xxhash64(F.spark_partition_id(), *(F.col(c) for c in big.columns))
+    spread = F.when(
+        F.col("_salts") > 1, F.pmod(scattered, F.col("_salts").cast("long")).cast("int")
+    ).otherwise(0)
     every = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
     salted_big = with_salts(big).withColumn("_salt", spread).drop("_salts")
     salted_side = with_salts(side).withColumn("_salt", every).drop("_salts")

@@ -99,9 +99,10 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def n_unique(df: DataFrame, column: str) -> DataFrame:
-    """Number of distinct values, missing ones left out."""
-    return df.agg(F.count_distinct(column).alias("n_unique"))
+def n_unique(df: DataFrame, column: str, *, approximate: bool = False) -> DataFrame:
+    """Number of distinct values, missing ones left out; a sketch's estimate on request."""
+    count = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+    return df.agg(count.alias("n_unique"))
 
 
 def audit(stages: Mapping[str, DataFrame]) -> DataFrame:

@@ -132,5 +132,6 @@ def test_counts(spark):
     df = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "c string")
     assert [tuple(r) for r in stats.value_counts(df, "c").collect()] == [("x", 2), ("y", 1)]
     assert stats.n_unique(df, "c").first()[0] == 2
+    assert stats.n_unique(df, "c", approximate=True).first()[0] == 2
     assert [tuple(r) for r in stats.audit({"a": df, "b": df.limit(1)}).collect()] == [
         ("a", 4), ("b", 1)]

@@ -38,9 +38,20 @@ def test_salted_join_gives_the_plain_result(big, side, how):
 
 
 def test_hot_rows_are_spread(big, side):
-    joined = join_hot(big, side, ["k"], broadcast_rows=0)
+    """No partition of the joined rows holds all rows of the hot key."""
+    joined = join_hot(big.repartition(4), side, ["k"], broadcast_rows=0)
+    parts = joined.hint("merge").where("k = 'hot'").groupBy(F.spark_partition_id()).count()
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    assert "_salt" in plan and "monotonically_increasing_id" not in plan
+    assert parts.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_salts_do_not_change_between_runs(big, side):
+    """Rows of one partition get the same salts in any order."""
+    salted = join_hot(big, side.withColumn("salted", F.lit(1)), ["k"], "left", broadcast_rows=0)
+    again = join_hot(big.orderBy(F.desc("v")), side.withColumn("salted", F.lit(1)), ["k"], "left",
+                     broadcast_rows=0)
+    assert salted.exceptAll(again).isEmpty() and again.exceptAll(salted).isEmpty()
 
 
 def test_rows_within(big):
