@@ -97,9 +97,18 @@ def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet",
     return path
 
 
-def overwrite_named_table(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """Replace a catalog table and return it."""
-    df.write.format(fmt).mode("overwrite").saveAsTable(name)
+def overwrite_named_table(df: DataFrame, name: str, fmt: str = "parquet",
+                          bucket_by: tuple[int, str] | None = None) -> DataFrame:
+    """Replace a catalog table and return it.
+
+    `bucket_by` gives a number of buckets and a column. Orders, attributes and tasks bucketed alike
+    by `sourcekey` join in the extracts without a shuffle.
+    """
+    writer = df.write.format(fmt).mode("overwrite")
+    if bucket_by:
+        buckets, column = bucket_by
+        writer = writer.bucketBy(buckets, column).sortBy(column)
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 
