@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskspan.functions import text
-from taskspan.operators.skew import broadcast_if_small, join_hot
+from taskspan.operators.skew import (
+    BROADCAST_ROWS, broadcast_if_small, join_hot, rows_within,
+)
 from taskspan.schema import (
     DAYS, DEPENDENCY_CODES, EXCLUDED_ORDER_TYPE, INCLUDED_FLAGS, SOURCE_SYSTEMS,
 )
@@ -80,12 +82,16 @@ def star_join(orders: DataFrame, attributes: DataFrame, tasks: DataFrame,
               types: DataFrame) -> DataFrame:
     """Orders with their attributes, tasks and task types.
 
-    Orders and attributes meet on `sourcekey` first; the tasks, of which one order may own a large
-    share, follow with a skew-safe join on the same key. The types come last, so that their names
-    are not part of the shuffled rows.
+    If a count shows that the orders are few, they are broadcast to the attributes and the result,
+    after the same check, to the tasks: nothing large is shuffled. Otherwise orders and attributes
+    meet on `sourcekey`, and the tasks, of which one order may own a large share, follow with a
+    skew-safe join on the same key. The types come last, so that their names are not part of the
+    shuffled rows.
     """
-    order_rows = orders.join(attributes, "sourcekey")
-    rows = join_hot(tasks, order_rows, ["sourcekey"], broadcast_rows=0)
+    few = rows_within(orders, BROADCAST_ROWS)
+    order_rows = attributes.join(F.broadcast(orders) if few else orders.hint("merge"), "sourcekey")
+    rows = join_hot(
+        tasks, order_rows, ["sourcekey"], broadcast_rows=BROADCAST_ROWS if few else 0)
     return join_hot(rows, types, ["subIntID"])
 
 

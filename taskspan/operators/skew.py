@@ -65,7 +65,7 @@ def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "i
         return big.join(F.broadcast(side), list(keys), how)
     hot = hot_keys(big, keys, share)
     if not hot:
-        return big.join(side, list(keys), how)
+        return big.join(side.hint("merge"), list(keys), how)
     salts = F.broadcast(big.sparkSession.createDataFrame(  # at most _MOST_KEYS rows
         list(hot.items()), "_hash long, _salts int"))
 
@@ -80,4 +80,4 @@ def join_hot(big: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "i
     every = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
     salted_big = with_salts(big).withColumn("_salt", spread).drop("_salts")
     salted_side = with_salts(side).withColumn("_salt", every).drop("_salts")
-    return salted_big.join(salted_side, [*keys, "_salt"], how).drop("_salt")
+    return salted_big.join(salted_side.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -5,6 +5,7 @@ from compare import difference, duck
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from taskspan.operators import extract
 from taskspan.operators.skew import hot_keys, join_hot, rows_within
 from taskspan.sources.stage import stage_path
 
@@ -80,11 +81,24 @@ def skewed_folder(spark):
     return folder.removeprefix("file:")
 
 
+def test_extract_salts_the_hot_order(spark, skewed_folder, monkeypatch):
+    plans = []
+    for few in (True, False):
+        monkeypatch.setattr(extract, "rows_within", lambda df, limit, few=few: few)
+        df = queries()["extract_tasks"](spark, skewed_folder)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    broadcast, shuffled = plans
+    assert "_salt" not in broadcast and "SortMergeJoin" not in broadcast
+    assert "_salt" in shuffled and shuffled.count("SortMergeJoin") == 2
+
+
 @pytest.mark.parametrize("name", [
     "extract_tasks", "trim_bottom", "threshold_outliers", "task_repeat_count", "rework_merge",
     "rework_days", "prepare_train", "prepare_test", "config_stats_named", "quantile_lookup",
 ])
-def test_pipelines_hold_under_skew(spark, skewed_folder, name):
+def test_pipelines_hold_under_skew(spark, skewed_folder, name, monkeypatch):
+    """With the orders taken for many, so that the tasks are salted and shuffled."""
+    monkeypatch.setattr(extract, "rows_within", lambda df, limit: False)
     connection = duck(skewed_folder, "/*.parquet")
     difference_ = difference(
         queries()[name](spark, skewed_folder), connection, oracle_sql()[name])

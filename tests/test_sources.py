@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from taskspan.operators.extract import extract_tasks
+from taskspan.operators import extract
 from taskspan.sources import tables
 from taskspan.sources.stage import shared_folder, stage, stage_path
 
@@ -95,26 +95,24 @@ def test_register_and_read_by_name(spark):
         spark.sql(f"drop table if exists {name}")
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, source):
+def test_bucketed_tables_join_without_a_shuffle(spark, source, monkeypatch):
     """Only the distinct of the extract shuffles when its three large tables share buckets."""
     window = ("1995-01-01", "2000-12-31")
-    want = extract_tasks(source, window=window)
+    want = extract.extract_tasks(source, window=window)
     names = {part: f"bucketed_{part}" for part in ("orders", "attributes", "tasks")}
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(extract, "rows_within", lambda df, limit: False)
     try:
         bucketed = source._replace(**{
             part: tables.overwrite_named_table(
                 getattr(source, part), name, bucket_by=(4, "sourcekey"))
             for part, name in names.items()
         })
-        got = extract_tasks(bucketed, window=window)
+        got = extract.extract_tasks(bucketed, window=window)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.count("SortMergeJoin") == 2
         assert plan.count("Exchange hashpartitioning") == 1
         assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         for name in names.values():
             spark.sql(f"drop table if exists {name}")
 
