@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskspan.llm import mixing, sharding
+from taskspan.llm import archives, decontaminate, mixing, oracles, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = quality.resampled(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
@@ -25,9 +41,16 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op9_ring_shards": op9_ring_shards,
+    "op10_archives": op10_archives,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
