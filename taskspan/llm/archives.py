@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +95,7 @@ def page_records(row: int, page_id: int | None, url: str | None, payload: bytes,
 
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES,
                    least_bytes: int = LEAST_REVISIT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Write one record per row of `pages` (page_id, url, html) as WARC files under `folder`.
+    """Write one record per row of `pages` (page_id, url, html) as gzipped WARC files under `folder`.
 
     Of rows with equal payloads of at least `least_bytes` bytes the one with the smallest page_id is
     a response (null last; of repeated rows one); the others become revisits that refer to it and
@@ -131,26 +134,25 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
     rows = rows.select("row", "page_id", "url", "payload", "first_row")
     lines = rows.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
     # a record ends in two line ends, which is what this sink puts behind each value
-    lines.write.option("lineSep", _END).option("maxRecordsPerFile", file_records).text(folder)
+    lines.write.option("lineSep", _END).option("maxRecordsPerFile", file_records).option(
+        "compression", "gzip").text(folder)
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive file, by their Content-Length."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        yield fields, content[start:stop]
-        at = stop + 4
+def parsed(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive, by their Content-Length."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record starts with {line[:20]!r}")
+        fields = {}
+        while (line := stream.readline().decode("utf-8", "replace").rstrip("\r\n")):
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        yield fields, stream.read(int(fields["content-length"]))
+        stream.read(len(_END))
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in `folder`, segments not yet joined."""
+    """All records of the archives in `folder`, gzipped or not; segments are not yet joined."""
     files = spark.read.format("binaryFile").load(folder).select("content")
     names = [x.split()[0] for x in RECORDS.split(",")]
 
@@ -167,7 +169,10 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for f, block in parsed(content.as_buffer().to_pybytes()):
+                stream = io.BytesIO(content.as_buffer())
+                if stream.getbuffer()[:2] == b"\x1f\x8b":  # unpacked bit by bit, record by record
+                    stream = gzip.open(stream)
+                for f, block in parsed(stream):
                     rows.append((
                         f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"),
                         f.get("warc-payload-digest", "").rpartition(":")[2] or None,
