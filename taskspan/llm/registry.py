@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskspan.llm import archives, decontaminate, mixing, oracles, pii, quality, repeats, sharding, toxicity
+from taskspan.llm import archives, decontaminate, mixing, near, oracles, pii, quality, repeats, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.marked(_table(spark, sf_dir, "documents")).drop("doc")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
     "op9_ring_shards": op9_ring_shards,
     "op10_archives": op10_archives,
