@@ -88,7 +88,24 @@ select page_id, payload_bytes, payload_digest,
 from named
 """
 
+LINKED_VECTORS = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as x from embeddings),
+link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(a, b) as (
+  select vec_id, vec_id from v
+  union
+  select reach.a, link.b from reach join link on reach.b = link.a),
+part as (select a as vec_id, min(b) as component_id from reach group by a),
+degree as (select a as vec_id, count(*) as n_links from link group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from part left join degree using (vec_id)
+"""
+
 ORACLES = {
+    "op1_linked_vectors": LINKED_VECTORS,
     "op3_decontaminate": DECONTAMINATE,
     "op4_mix_sources": MIX,
     "op10_archives": ARCHIVES,

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskspan.llm import archives, decontaminate, mixing, near, oracles, pii, quality, repeats, sharding, toxicity
+from taskspan.llm import archives, decontaminate, mixing, near, oracles, pii, quality, repeats, sharding, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = quality.resampled(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -62,6 +66,7 @@ def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_linked_vectors": op1_linked_vectors,
     "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_mix_sources": op4_mix_sources,
