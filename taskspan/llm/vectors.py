@@ -156,7 +156,8 @@ def _compared(pairs: DataFrame, leaves: DataFrame, cosine: float) -> DataFrame:
     is a node that keeps the linked nodes connected, or null."""
 
     def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        rows = column.values.slice(column.offsets[0].as_py(), len(column.values))
+        start, stop = column.offsets[0].as_py(), column.offsets[1].as_py()
+        rows = column.values.slice(start, stop - start)
         return (*(rows.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3)),
                 rows.field(4).to_pylist())
 
