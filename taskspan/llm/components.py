@@ -12,15 +12,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of the alternating star method on edges (a, b), a > b.
 
     Every node hangs its larger neighbours (large) or its smaller neighbours and itself (small) on
-    the smallest node around it. A node of many links is aggregated before it is joined, and the
-    join's large side can be split.
+    the smallest node around it. The smallest nodes are stored before they are joined, so that the
+    adaptive skew join can split the links of a node that has many.
     """
     if large:
         around = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = stage(around.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
     joined = around.join(least, F.col("a") == F.col("u"))
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

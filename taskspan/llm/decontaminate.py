@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskspan.llm import text as tx
+from taskspan.llm.columns import apart
 from taskspan.sources.stage import stage
 
 WINDOW = 10
@@ -233,8 +234,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     more than one block the documents are scanned once per block and stored in between.
 
     Null or empty texts have no words; items without words match nothing; an item_id on several rows
-    stands for all their texts; null item_ids match but appear as null in `items`. Columns of `docs`
-    called like the three new ones stay, in front of them.
+    stands for all their texts; null item_ids match but appear as null in `items`.
     """
     text, again = docs.columns.index("text"), False
     for automaton in _automata(benchmark, window, block_words):
@@ -259,13 +259,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_coverage: float =
     A span is cut from its first word to the start of the word behind it. n_chars, if there is such
     a column, becomes the new length; rows without hits stay as they are.
     """
-    found = matched(docs, benchmark, **settings)
+    found = matched(apart(docs, "text"), benchmark, **settings)
     text, counted = docs.columns.index("text"), "n_chars" in docs.columns
     length = docs.columns.index("n_chars") if counted else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(docs_schema)
+            n = len(kinds)
             spans, n_words = batch.column(n + 1), batch.column(n)
             hit = [row for row, s in enumerate(spans.to_pylist()) if s]
             columns = list(batch.columns[:n])
@@ -298,5 +298,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_coverage: float =
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
             yield out.filter(pa.array(keep))
 
-    docs_schema = docs.schema
-    return found.mapInArrow(cut, docs_schema)
+    kinds = T.StructType(found.schema.fields[:-3])
+    return found.mapInArrow(cut, kinds).toDF(*docs.columns)

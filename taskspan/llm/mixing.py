@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskspan.llm.columns import apart
 from taskspan.llm.ordering import ranked
 from taskspan.sources.stage import stage
 
@@ -101,11 +102,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     ).filter("_copies > 0").withColumnsRenamed(
         {"doc_id": "_doc_id", "source": "_source", "size": "_size"})
-    placed = docs.withColumns({"_words": words("text"), "_row": F.monotonically_increasing_id()})
-    rows = placed.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    rows = apart(docs, "doc_id", "source", "text")
+    placed = rows.withColumns({"_words": words("text"), "_row": F.monotonically_increasing_id()})
+    joined = placed.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc_id"))
                        & F.col("source").eqNullSafe(F.col("_source"))
                        & (F.col("_words") == F.col("_size")))
     drawn = F.pmod(F.xxhash64("_row"), F.col("_rows")) < F.col("_copies") % F.col("_rows")
     copies = F.floor(F.col("_copies") / F.col("_rows")) + drawn.cast("long")
     every = F.explode(F.array_repeat(F.lit(0), copies.cast("int")))
-    return rows.withColumn("_every", every).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return joined.withColumn("_every", every).select(*rows.columns).toDF(*docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskspan.llm import text as tx
+from taskspan.llm.columns import apart
 from taskspan.llm.components import components
 from taskspan.sources.stage import stage
 
@@ -204,6 +205,17 @@ def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
         "component")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, ..) of buckets with several members, with n and the smallest node.
+
+    The sizes are stored before they are joined: a join straight on an aggregation would keep its
+    dealing by key, and the adaptive skew join could not split a hot bucket.
+    """
+    sizes = stage(rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1"), "bucket_sizes")
+    return stage(rows.join(sizes, "key"), "buckets")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(doc, class) of every row of `docs` (doc, text) that has words: the smallest doc of its class.
 
@@ -219,8 +231,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
                                          F.min("doc").alias("node"))
     nodes = stage(nodes, "nodes")
     every = nodes.select("node", F.posexplode("sketches").alias("place", "key"))
-    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
-    buckets = stage(every.join(sizes.filter("n > 1"), "key"), "buckets")
+    buckets = _bucketed(every)
     involved = buckets.select(F.col("node").alias("doc")).distinct()
     texts = stage(docs.select("doc", "text").join(involved, "doc", "left_semi"), "texts")
     pairs = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -237,8 +248,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
         if buckets is None:
             break
         known = _with_class(buckets, classes)
-        open_ = known.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter(
-            "low <> high").select("key")
+        open_ = stage(known.groupBy("key").agg(
+            F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"),
+            "open_keys")
         known = stage(known.join(open_, "key", "left_semi"), "open_buckets")
         small, large = known.filter(F.col("n") <= bucket), known.filter(F.col("n") > bucket)
         members = small.groupBy("key").agg(F.collect_list(F.struct("node", "class")).alias("m"))
@@ -252,8 +264,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
             "node", "place", "key", F.posexplode("sketches").alias("next", "other")).filter(
             F.col("next") > F.col("place")).select(
             "node", F.col("next").alias("place"), F.xxhash64("key", "other").alias("key"))
-        sizes = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
-        buckets = stage(split.join(sizes.filter("n > 1"), "key"), "buckets")
+        buckets = _bucketed(split)
         pairs = pairs.unionAll(buckets.filter("node <> leader").select(
             F.col("leader").alias("a"), F.col("node").alias("b")))
     of_text = _with_class(nodes.select("h1", "h2", "node"), classes).select("h1", "h2", "class")
@@ -273,7 +284,8 @@ def marked(docs: DataFrame, **settings) -> DataFrame:
     rows = stage(numbered.select("doc", "doc_id").join(found, "doc", "left").withColumn(
         "class", F.coalesce("class", "doc")), "row_classes")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")
-    best = rows.groupBy("class").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    best = stage(rows.groupBy("class").agg(
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("class_size")), "class_rows")
     return rows.join(best, "class").select(
         "doc", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size",
         (F.col("doc") == F.col("first.doc")).alias("kept"))
@@ -281,7 +293,6 @@ def marked(docs: DataFrame, **settings) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """The rows and columns of `docs` that `marked` keeps."""
-    names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
     gone = marked(docs, **settings).filter("not kept").select("doc")
-    rows = docs.toDF(*names).withColumn("doc", F.monotonically_increasing_id())
+    rows = apart(docs).withColumn("doc", F.monotonically_increasing_id())
     return rows.join(gone, "doc", "left_anti").drop("doc").toDF(*docs.columns)

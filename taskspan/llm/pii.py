@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskspan.llm import text as tx
+from taskspan.llm.columns import apart
 from taskspan.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -313,8 +314,7 @@ def report(docs: DataFrame, **settings) -> DataFrame:
 
 def redacted(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` with every found span replaced by its kind in angle brackets."""
-    names = [c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)]
-    free = docs.toDF(*names).withColumn("whole", F.col("text"))
+    free = apart(docs, "text").withColumn("whole", F.col("text"))
     found = detect(free, fit(docs, **settings))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(
         s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k"))))
@@ -326,4 +326,4 @@ def redacted(docs: DataFrame, **settings) -> DataFrame:
     clean = F.when(F.col("whole").isNotNull(), F.concat(
         F.col("step.out"), F.expr("substring(whole, cast(step.at + 1 as int))")))
     return done.select(*((clean if n == "text" else F.col(n)).alias(c)
-                         for n, c in zip(names, docs.columns)))
+                         for n, c in zip(free.columns, docs.columns)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskspan.llm import text as tx
+from taskspan.llm.columns import apart
 from taskspan.llm.ordering import ranked
 from taskspan.sources.stage import stage
 
@@ -169,7 +170,5 @@ def resampled(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior:
 def good_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows and columns of `docs` that the resampling keeps."""
     _, ratio, least = resampled(docs, labels, **settings)
-    names = [f"c{k}" for k in range(len(docs.columns))]  # own names may clash with the new ones
-    free = docs.toDF(*(c if c in ("doc_id", "text") else n for c, n in zip(docs.columns, names)))
-    kept = weighed(free, ratio).filter(F.col("_key") >= F.lit(least)).drop("_log_weight", "_key")
+    kept = weighed(apart(docs, "doc_id", "text"), ratio).filter(F.col("_key") >= F.lit(least)).drop("_log_weight", "_key")
     return kept.toDF(*docs.columns)

@@ -250,7 +250,7 @@ def linked_vectors(table: DataFrame, vector_id: str = "vec_id", vector: str = "e
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                          F.col("row").alias("part"))
     every = stage(joined.unionByName(alone), "vector_parts")
-    first = every.groupBy("part").agg(F.min("vec_id").alias("component_id"))
+    first = stage(every.groupBy("part").agg(F.min("vec_id").alias("component_id")), "parts")
     return every.join(first, "part").select(
         "vec_id", "n_links", "component_id",
         F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
