@@ -12,7 +12,10 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ QUANTILE = 0.75
 ROUNDS = 300
 RATE = 0.1
 SEED = 40
-# Residuals are compared on this grid of a day when a leaf's quantile is taken.
-_RESIDUAL_DECIMALS = 3
+MAX_DEPTH = 7
+MIN_LEAF = 20
 _STORE_EVERY = 10
 
 
@@ -57,13 +60,17 @@ def unseen_categories(train: DataFrame, test: DataFrame,
 
 @dataclass
 class QuantileBoost:
-    """A fitted model: category encoder, starting value and one (tree, leaf values) per round."""
+    """A fitted model: category encoder, starting value and one (tree, leaf values) per round.
+
+    `settings` has what the model was fitted with.
+    """
 
     encoder: PipelineModel
     base: float
     rate: float
     alpha: float
     rounds: list[tuple[DecisionTreeRegressionModel, list[float]]] = field(default_factory=list)
+    settings: dict[str, float] = field(default_factory=dict)
 
     def leaf_table(self, spark: SparkSession) -> DataFrame:
         """Leaf values as rows."""
@@ -72,25 +79,43 @@ class QuantileBoost:
         return spark.createDataFrame(rows, "round int, leaf int, value double")
 
     def predict(self, df: DataFrame, name: str = "Prediction") -> DataFrame:
-        """Add the prediction; each row is scored where it lies."""
-        columns = df.columns
-        scored = self.encoder.transform(df).select(*columns, "features")
-        scored = scored.withColumn(name, F.lit(self.base))
-        for i, (tree, values) in enumerate(self.rounds, start=1):
-            scored = _add_tree(scored, tree, values, self.rate, name)
-            if i % (3 * _STORE_EVERY) == 0 and i < len(self.rounds):
-                scored = stage(scored, "scores")
-        return scored.select(*columns, name)
+        """Add the prediction.
+
+        Every distinct combination of categories is scored once, by all trees in one pass, and the
+        scores are joined back to the rows.
+        """
+        if not self.rounds:
+            return df.withColumn(name, F.lit(self.base))
+        features = self.encoder.stages[0].getInputCols()
+        forest = _forest(df.sparkSession, [tree for tree, _ in self.rounds])
+        forest.setLeafCol("_leaves").setPredictionCol("_sum")
+        combinations = df.select(*features).distinct()
+        leaves = forest.transform(self.encoder.transform(combinations)).select(
+            *(F.col(c).alias(f"_of_{c}") for c in features),
+            vector_to_array("_leaves").alias("_leaves"), self._values(df.sparkSession).alias("_values"))
+        score = F.aggregate(
+            F.sequence(F.lit(0), F.lit(len(self.rounds) - 1)), F.lit(self.base),
+            lambda total, i: total + F.lit(self.rate) * F.get(
+                F.get("_values", i), F.get("_leaves", i).cast("int")))
+        scores = leaves.withColumn(name, score).drop("_leaves", "_values")
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in features]
+        return df.join(scores, same).select(*df.columns, name)
+
+    def _values(self, spark: SparkSession) -> Column:
+        """Scalar subquery: the leaf values of all rounds, as bounded as the model."""
+        values = [[float(v) for v in values] for _, values in self.rounds]
+        return spark.createDataFrame([(values,)], "v array<array<double>>").scalar()
 
     def save(self, spark: SparkSession, path: str) -> str:
         """Write encoder, trees and leaf values under `path`."""
         self.encoder.write().overwrite().save(f"{path}/encoder")
-        for i, (tree, _) in enumerate(self.rounds):
-            tree.write().overwrite().save(f"{path}/trees/{i:05d}")
+        if self.rounds:
+            trees = _forest(spark, [tree for tree, _ in self.rounds])
+            trees.write().overwrite().save(f"{path}/trees")
         self.leaf_table(spark).write.mode("overwrite").parquet(f"{path}/leaves")
         spark.createDataFrame(
-            [(self.base, self.rate, self.alpha, len(self.rounds))],
-            "base double, rate double, alpha double, rounds int",
+            [(self.base, self.rate, self.alpha, len(self.rounds), self.settings)],
+            "base double, rate double, alpha double, rounds int, settings map<string, double>",
         ).write.mode("overwrite").parquet(f"{path}/settings")
         return path
 
@@ -102,27 +127,60 @@ class QuantileBoost:
         leaves = spark.read.parquet(f"{path}/leaves").orderBy("round", "leaf").collect()
         for row in leaves:  # the model itself: at most 2 ** depth values per round
             values.setdefault(row["round"], []).append(row["value"])
-        trees = [DecisionTreeRegressionModel.load(f"{path}/trees/{i:05d}")
-                 for i in range(settings["rounds"])]
+        trees = GBTRegressionModel.load(f"{path}/trees").trees if settings["rounds"] else []
         return cls(PipelineModel.load(f"{path}/encoder"), settings["base"], settings["rate"],
-                   settings["alpha"], [(tree, values[i]) for i, tree in enumerate(trees)])
+                   settings["alpha"], [(tree, values[i]) for i, tree in enumerate(trees)],
+                   settings["settings"])
+
+
+def _forest(spark: SparkSession, trees: list[DecisionTreeRegressionModel]) -> GBTRegressionModel:
+    """The trees as one model, which finds all leaves of a row in one pass and is saved as one table."""
+    context, ml = spark.sparkContext, spark._jvm.org.apache.spark.ml.regression
+    rows = context._gateway.new_array(ml.DecisionTreeRegressionModel, len(trees))
+    weights = context._gateway.new_array(spark._jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        rows[i], weights[i] = tree._java_obj, 1.0
+    uid = f"quantile_boost_{trees[0].uid}"
+    return GBTRegressionModel(ml.GBTRegressionModel(uid, rows, weights, trees[0].numFeatures))
 
 
 def _leaf_value(values: list[float]) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), F.col("_leaf").cast("int"))
 
 
-def _add_tree(df: DataFrame, tree: DecisionTreeRegressionModel, values: list[float], rate: float,
-              name: str) -> DataFrame:
-    """Move the running prediction by one tree."""
-    return tree.transform(df).withColumn(
-        name, F.col(name) + F.lit(rate) * _leaf_value(values)).select(*df.columns)
+def start_value(train: DataFrame, *, label: str = DAYS, alpha: float = QUANTILE) -> float:
+    """The quantile of all rows, where boosting starts."""
+    return interval_stats(train, [], value=label, percentiles={"q": alpha}).first()["q"]
+
+
+def gradient(actual: Column, score: Column, alpha: float = QUANTILE) -> Column:
+    """Negative gradient of the quantile loss at the running score."""
+    return F.when(actual > score, F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
+
+
+def leaf_quantiles(rows: DataFrame, *, leaf: str, residual: Column, weight: Column | None = None,
+                   alpha: float = QUANTILE, decimals: int | None = None) -> DataFrame:
+    """The alpha-quantile of the residuals per leaf, as `value`; exact unless `decimals` are given.
+
+    Equal residuals are added up first, so a leaf that holds most rows is shrunk before it is
+    shuffled.
+    """
+    residual = residual if decimals is None else F.round(residual, decimals)
+    counted = rows.groupBy(leaf, residual.alias("residual")).agg(
+        F.sum(F.lit(1) if weight is None else weight).alias("weight"))
+    return counted.groupBy(leaf).agg(
+        F.percentile("residual", alpha, F.col("weight")).alias("value"))
 
 
 def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES, label: str = DAYS,
                        alpha: float = QUANTILE, rounds: int = ROUNDS, rate: float = RATE,
-                       max_depth: int = 7, min_leaf: int = 20, seed: int = SEED) -> QuantileBoost:
-    """Fit the model. A depth of 7 allows 128 leaves; `min_leaf` is in training rows."""
+                       max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF, seed: int = SEED,
+                       decimals: int | None = None) -> QuantileBoost:
+    """Fit the model. A depth of 7 allows 128 leaves; `min_leaf` is in training rows.
+
+    Leaf quantiles are exact; `decimals` takes them of residuals rounded to a grid instead, which
+    bounds their number where combinations of categories are many.
+    """
     encoder = encode_categories(train, features)
     indexer, assembler = encoder.stages
     indexed = indexer.getOutputCols()
@@ -130,28 +188,27 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
         F.count(F.lit(1)).cast("long").alias("weight"))
     rows = stage(assembler.transform(weighted).select("features", label, "weight"), "boost-rows")
     total = rows.agg(F.sum("weight")).first()[0]
-    base = interval_stats(train, [], value=label, percentiles={"q": alpha}).first()["q"]
+    base = start_value(train, label=label, alpha=alpha)
     learner = DecisionTreeRegressor(
         featuresCol="features", labelCol="_gradient", weightCol="weight", leafCol="_leaf",
         predictionCol="_tree", maxDepth=max_depth, seed=seed,
         minWeightFractionPerNode=min(min_leaf / total, 0.49),
         maxBins=max(len(labels) + 2 for labels in indexer.labelsArray),
     )
-    model = QuantileBoost(encoder, base, rate, alpha)
+    model = QuantileBoost(encoder, base, rate, alpha, settings={
+        "alpha": float(alpha), "rounds": float(rounds), "rate": float(rate),
+        "max_depth": float(max_depth), "min_leaf": float(min_leaf), "seed": float(seed),
+        "decimals": -1.0 if decimals is None else float(decimals)})
     y, score = F.col(label), F.col("_score")
-    gradient = F.when(y > score, F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
     rows = rows.withColumn("_score", F.lit(base))
     placed: DataFrame | None = None
     for i in range(1, rounds + 1):
-        tree = learner.fit(rows.withColumn("_gradient", gradient))
+        tree = learner.fit(rows.withColumn("_gradient", gradient(y, score, alpha)))
         before, placed = placed, tree.transform(rows).select(
             "features", label, "weight", "_score", "_leaf").persist()
-        residuals = placed.groupBy(
-            "_leaf", F.round(y - score, _RESIDUAL_DECIMALS).alias("residual"),
-        ).agg(F.sum("weight").alias("weight"))
-        quantiles = residuals.groupBy("_leaf").agg(
-            F.percentile("residual", alpha, F.col("weight")).alias("value")
-        ).collect()  # one row per leaf
+        quantiles = leaf_quantiles(
+            placed, leaf="_leaf", residual=y - score, weight=F.col("weight"), alpha=alpha,
+            decimals=decimals).collect()  # one row per leaf
         if before is not None:
             before.unpersist()
         values = [0.0] * ((tree.numNodes + 1) // 2)
@@ -178,17 +235,25 @@ def scored_table(model: QuantileBoost, test: DataFrame, *, label: str = DAYS,
     return round_scores(scored) if rounded else scored
 
 
+RUN_SCHEMA = """logged_at timestamp, model_path string, settings map<string, double>, n long,
+    rmse double, mae double, r2 double, median_ae double"""
+
+
 def run_record(settings: dict[str, float], metrics: DataFrame, model_path: str) -> DataFrame:
     """One row with the parameters, the metrics and the place of the model."""
+    pairs = [F.lit(x) for name, value in settings.items() for x in (name, float(value))]
     return metrics.select(
         F.current_timestamp().alias("logged_at"),
         F.lit(model_path).alias("model_path"),
-        *(F.lit(float(value)).alias(name) for name, value in settings.items()),
+        F.create_map(*pairs).cast("map<string, double>").alias("settings"),
         *metrics.columns,
     )
 
 
 def log_run(record: DataFrame, path: str) -> DataFrame:
-    """Append a run record to the run table at `path` and return the table."""
+    """Append a run record to the run table at `path` and return the table.
+
+    The columns are the same for every run: settings are a map, so runs may differ in them.
+    """
     record.write.mode("append").parquet(path)
-    return record.sparkSession.read.parquet(path)
+    return record.sparkSession.read.schema(RUN_SCHEMA).parquet(path)

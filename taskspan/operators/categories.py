@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskspan.operators.skew import join_hot
 from taskspan.schema import MIN_CATEGORY_ORDERS, RARE_LABEL
 from taskspan.sources.stage import stage
 
@@ -29,6 +28,4 @@ def bin_rare(df: DataFrame, rare: DataFrame, *, col: str = "categoryCD",
     """Replace the rare categories in rows of any source system."""
     marked = stage(rare.select(col), "rare-categories").withColumn("_rare", F.lit(True))
     binned = F.when(F.col("_rare"), F.lit(label)).otherwise(F.col(col))
-    return (
-        join_hot(df, marked, [col], "left").withColumn(col, binned).select(*df.columns)
-    )
+    return df.join(marked, col, "left").withColumn(col, binned).select(*df.columns)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from taskspan.functions.numbers import at_least_one_day
 from taskspan.functions.text import joined_key
-from taskspan.operators.skew import join_hot
 from taskspan.operators.stats import CONFIG_PERCENTILES, WIDE_PERCENTILES, interval_stats
 from taskspan.schema import CONFIG_KEYS, CONFIG_STATS_COLUMNS, DAYS, FEATURES, TRAIN_COLUMNS
 from taskspan.sources.stage import stage
@@ -38,7 +37,7 @@ def config_stats(train: DataFrame) -> DataFrame:
 def config_stats_named(stats: DataFrame, types: DataFrame) -> DataFrame:
     """Add task and phase names; configurations of unknown task types drop."""
     names = types.select(F.col("subIntID").cast("string"), "subIntervalName", "phaseName")
-    return join_hot(stats, names, ["subIntID"]).select(*CONFIG_STATS_COLUMNS)
+    return stats.join(names, "subIntID").select(*CONFIG_STATS_COLUMNS)
 
 
 def config_stats_wide(tasks: DataFrame) -> DataFrame:
@@ -73,7 +72,6 @@ def quantile_lookup(train: DataFrame, test: DataFrame, *, alpha: float = 0.75,
     known = ["subIntID"]
     by_config = stage(quantiles(list(CONFIG_KEYS), "_config"), "config-quantiles")
     by_task = stage(quantiles(known, "_task"), "task-quantiles")
-    scored = join_hot(test, by_config, CONFIG_KEYS, "left")
-    scored = join_hot(scored, by_task, known, "left")
+    scored = test.join(by_config, list(CONFIG_KEYS), "left").join(by_task, known, "left")
     overall = quantiles([], "_all").scalar()
     return scored.withColumn(name, F.coalesce("_config", "_task", overall)).drop("_config", "_task")

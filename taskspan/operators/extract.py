@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskspan.functions import text
-from taskspan.operators.skew import (
-    BROADCAST_ROWS, broadcast_if_small, join_hot, rows_within,
-)
 from taskspan.schema import (
     DAYS, DEPENDENCY_CODES, EXCLUDED_ORDER_TYPE, INCLUDED_FLAGS, SOURCE_SYSTEMS,
 )
+from taskspan.sources.stage import stage
 from taskspan.sources.tables import Warehouse
 
 
@@ -51,9 +49,8 @@ def with_interval(df: DataFrame, calendar: DataFrame, start: str, complete: str,
 
     Faithful subtracts the days' numbers within their years, which is negative for most spans over
     a year end; repaired counts the days. Rows with a date outside the calendar drop in both. The
-    calendar has one row per day and is broadcast after a check of its size.
+    calendar has one row per day.
     """
-    calendar = broadcast_if_small(calendar)
     begin = calendar.select(F.col("date").alias("_begin"), F.col("daynuminyear").alias("_first"))
     end = calendar.select(F.col("date").alias("_end"), F.col("daynuminyear").alias("_last"))
     joined = (
@@ -70,7 +67,7 @@ def with_interval(df: DataFrame, calendar: DataFrame, start: str, complete: str,
 def task_types(dictionary: DataFrame, phases: DataFrame, *, all_types: bool = False) -> DataFrame:
     """Task types with the name of their phase; first-day types only on request."""
     kept = dictionary if all_types else dictionary.where(F.col("isfdtask") == 0)
-    return join_hot(kept, phases, ["PID"]).select(
+    return kept.join(phases, "PID").select(
         F.col("SubIntID").alias("subIntID"),
         F.col("SubIntervalName").alias("subIntervalName"),
         "PID",
@@ -82,17 +79,14 @@ def star_join(orders: DataFrame, attributes: DataFrame, tasks: DataFrame,
               types: DataFrame) -> DataFrame:
     """Orders with their attributes, tasks and task types.
 
-    If a count shows that the orders are few, they are broadcast to the attributes and the result,
-    after the same check, to the tasks: nothing large is shuffled. Otherwise orders and attributes
-    meet on `sourcekey`, and the tasks, of which one order may own a large share, follow with a
-    skew-safe join on the same key. The types come last, so that their names are not part of the
-    shuffled rows.
+    The orders of the window are stored before they meet the attributes, and the order rows before
+    they meet the tasks. So the planner knows the bytes of both: under its broadcast threshold
+    nothing large is shuffled. Otherwise the tables meet on `sourcekey`, and the adaptive skew join
+    splits the partition of an order that owns a large share of the tasks. The types come last, so
+    that their names are not part of the shuffled rows.
     """
-    few = rows_within(orders, BROADCAST_ROWS)
-    order_rows = attributes.join(F.broadcast(orders) if few else orders.hint("merge"), "sourcekey")
-    rows = join_hot(
-        tasks, order_rows, ["sourcekey"], broadcast_rows=BROADCAST_ROWS if few else 0)
-    return join_hot(rows, types, ["subIntID"])
+    order_rows = stage(attributes.join(stage(orders, "orders"), "sourcekey"), "order-rows")
+    return tasks.join(order_rows, "sourcekey").join(types, "subIntID")
 
 
 def _order_columns() -> dict[str, Column]:

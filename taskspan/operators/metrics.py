@@ -2,45 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskspan.functions.numbers import pinball
 from taskspan.sources.stage import stage
 
-_CELLS_PER_UNIT = 1000
+_CELLS = 1_024
+_FEW = 50_000
 
 
 def exact_quantile(df: DataFrame, value: str, p: float, name: str) -> DataFrame:
-    """Interpolated quantile of a real column, as one row.
+    """Interpolated quantile of a real column, as one row; missing without values.
 
-    Counts per cell of a thousandth locate the one or two cells the quantile lies in; only the
-    distinct values of those cells are then put in order. No task sees more than the cells or the
-    values of two cells.
+    The range of the values is cut into a fixed number of cells and their rows are counted, and the
+    cell that holds the rank is cut again, until few rows or a single value are left in it. Only
+    those are put in order. The driver sees one count per cell, never the values.
     """
-    values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    values = values.withColumn("cell", F.floor(F.col("v") * _CELLS_PER_UNIT))
-    everything = Window.partitionBy(F.lit(0))
-    cells = values.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumns({
-        "after": F.sum("rows").over(everything.orderBy("cell")),
-        "position": (F.sum("rows").over(everything) - 1) * F.lit(p),
-    }).withColumn("before", F.col("after") - F.col("rows"))
-    low, high = F.floor("position"), F.ceil("position")
-    hit = [(F.col("before") <= rank) & (rank < F.col("after")) for rank in (low, high)]
-    cells = stage(cells.where(hit[0] | hit[1]).select("cell", "before", "position"), "cells")
-    ranked = (
-        values.join(F.broadcast(cells), "cell")  # two rows at most
-        .groupBy("cell", "before", "position", "v").agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("upto", F.col("before") + F.sum("rows").over(
-            Window.partitionBy("cell").orderBy("v")))
-        .withColumn("from", F.col("upto") - F.col("rows"))
-    )
-    at = [
-        F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("v")))
-        for rank in (low, high)
-    ]
-    share = F.max(F.col("position") - low)
-    return ranked.agg((at[0] + (at[1] - at[0]) * share).alias(name))
+    spark = df.sparkSession
+    values = stage(df.where(F.col(value).isNotNull()).select(
+        F.col(value).cast("double").alias("v")), "values")
+    v = F.col("v")
+    rows, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not rows:
+        return spark.range(1).select(F.lit(None).cast("double").alias(name))
+    position, before = (rows - 1) * p, 0
+    rank = math.floor(position)
+    while rows > _FEW and low < high:
+        width = (high - low) / _CELLS
+        cell = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(_CELLS - 1))
+        cells = values.where(v.between(low, high)).groupBy(cell.alias("cell")).agg(
+            F.count(v), F.min(v), F.max(v)).orderBy("cell").collect()  # at most _CELLS rows
+        if len(cells) == 1:
+            break  # neighbouring floating point numbers
+        for _, rows, low, high in cells:
+            if rank < before + rows:
+                break
+            before += rows
+    if low == high:
+        at, following = low, low if rank + 1 < before + rows else None
+    else:
+        inside = values.where(v.between(low, high)).agg(F.sort_array(F.collect_list(v)).alias("s"))
+        at, following = inside.select(
+            F.get("s", F.lit(rank - before)), F.get("s", F.lit(rank - before + 1))).first()
+    if following is None and position > rank:
+        following = values.where(v > high).agg(F.min(v)).first()[0]
+    if position > rank:
+        at += (following - at) * (position - rank)
+    return spark.range(1).select(F.lit(at).alias(name))
 
 
 def eval_metrics(df: DataFrame, *, actual: str = "Actual",

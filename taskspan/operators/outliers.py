@@ -10,12 +10,12 @@ and a second histogram over its leading digits leaves a sliver of them to rank r
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskspan.functions.numbers import category_threshold, p99_category
-from taskspan.operators.skew import broadcast_if_small, join_hot
 from taskspan.operators.stats import TASK_PERCENTILES, histogram, interval_stats, task_group
 from taskspan.schema import DAYS, MIN_TASK_ROWS, P99_BUCKETS, TRIM_FRACTION
 from taskspan.sources.stage import stage
@@ -77,9 +77,10 @@ def _tie_cuts(ties: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def _with_cuts(df: DataFrame, group: str, value: str, cuts: DataFrame) -> DataFrame:
+    """The cuts are stored, so the planner broadcasts them by their size; beyond that the adaptive
+    skew join splits a common value."""
     return df.join(
-        broadcast_if_small(cuts),
-        (F.col(group) == F.col("_group")) & F.col(value).eqNullSafe(F.col("_value")))
+        cuts, (F.col(group) == F.col("_group")) & F.col(value).eqNullSafe(F.col("_value")))
 
 
 def _edge_rows(edges: DataFrame, columns: Sequence[str], order: Column) -> DataFrame:
@@ -131,18 +132,29 @@ def keep_ranks(df: DataFrame, *, group: str, value: str,
     return inside.select(*columns).unionAll(_edge_rows(edges, columns, order))
 
 
-def _share(count: Column, tenths: int, frac: float) -> Column:
-    """floor(count * frac * tenths), in whole numbers."""
-    return F.floor(count * F.lit(round(frac * 1000) * tenths) / F.lit(1000)).cast("long")
+def _share(count: Column, part: Fraction) -> Column:
+    """floor(count * part), in whole numbers."""
+    product = count.cast("decimal(38,0)") * F.lit(part.numerator)
+    divisor = F.lit(part.denominator)
+    return ((product - product % divisor) / divisor).cast("long")
+
+
+def _fraction(frac: float, below: float) -> Fraction:
+    """The decimal number as it is written, exactly."""
+    if not 0 <= frac < below:
+        raise ValueError(f"frac must be at least 0 and less than {below}")
+    return Fraction(str(frac))
 
 
 def trim_bottom(df: DataFrame, *, group: str = "subIntervalName", value: str = DAYS,
                 frac: float = TRIM_FRACTION, min_count: int = MIN_TASK_ROWS,
                 keep_small: bool = False, tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Drop the shortest tenth of each task; tasks under `min_count` rows drop, or stay on request."""
+    part = _fraction(frac, 1)
+
     def limits(rows: Column, values: Column) -> tuple[Column, Column]:
         small = values < min_count
-        low = F.when(small, F.lit(0) if keep_small else rows).otherwise(_share(values, 1, frac))
+        low = F.when(small, F.lit(0) if keep_small else rows).otherwise(_share(values, part))
         return low, rows
 
     return keep_ranks(df, group=group, value=value, limits=limits, tiebreak=tiebreak)
@@ -151,13 +163,17 @@ def trim_bottom(df: DataFrame, *, group: str = "subIntervalName", value: str = D
 def trim_both(df: DataFrame, *, group: str = "subIntervalName", value: str = DAYS,
               frac: float = TRIM_FRACTION, min_count: int = MIN_TASK_ROWS,
               tiebreak: Sequence[str] | None = None) -> DataFrame:
-    """Drop the shortest and the longest tenth of each task with more than `min_count` rows."""
+    """Drop the shortest and the longest tenth of each task with more than `min_count` rows.
+
+    Of n rows the ranks over floor(n * frac), up to floor(n * (1 - frac)), stay.
+    """
+    part = _fraction(frac, 0.5)
+
     def limits(rows: Column, values: Column) -> tuple[Column, Column]:
         small = rows <= min_count
-        kept = round(1 / frac) - 1
         return (
-            F.when(small, F.lit(0)).otherwise(_share(rows, 1, frac)),
-            F.when(small, rows).otherwise(_share(rows, kept, frac)),
+            F.when(small, F.lit(0)).otherwise(_share(rows, part)),
+            F.when(small, rows).otherwise(_share(rows, 1 - part)),
         )
 
     return keep_ranks(df, group=group, value=value, limits=limits, tiebreak=tiebreak)
@@ -167,7 +183,7 @@ def tasks_with_rows(df: DataFrame, *, group: str = "subIntervalName", value: str
                     min_count: int = MIN_TASK_ROWS) -> DataFrame:
     """Rows of the tasks that reach `min_count` rows."""
     names = task_group(df, [group], value).where(F.col("count") >= min_count).select(group)
-    return join_hot(df, stage(names, "task-names"), [group], "left_semi")
+    return df.join(stage(names, "task-names"), group, "left_semi")
 
 
 def task_thresholds(df: DataFrame, *, keys: Sequence[str] = ("subIntervalName", "subIntID"),
@@ -186,7 +202,7 @@ def join_thresholds(df: DataFrame, thresholds: DataFrame,
     Joining on the name alone repeats the rows of names that several task ids share.
     """
     side = thresholds.select(*join_keys, "Category", "Outlier_threshold")
-    return join_hot(df, stage(side, "thresholds"), join_keys)
+    return df.join(stage(side, "thresholds"), list(join_keys))
 
 
 def threshold_outliers(df: DataFrame, *, join_keys: Sequence[str] = ("subIntervalName",),

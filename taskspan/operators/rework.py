@@ -1,7 +1,7 @@
 """Business days and the merging of repeated ("rework") tasks.
 
-A group's dates come from the longest span per start date, so the state of one group is bounded by
-the calendar however many rows the group has.
+A group's dates come from the longest span per start date, cut off where spans overlap, so the state
+of one group is bounded by the calendar however many rows the group has.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskspan.operators.extract import extract_nonworkdays
-from taskspan.operators.skew import broadcast_if_small, join_hot
 from taskspan.schema import DAYS
 from taskspan.sources.stage import stage
 
@@ -30,28 +29,34 @@ def repeat_counts(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS,
 
 def with_repeat_count(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
     """Give each row the number of rows of its order and task."""
-    return join_hot(df, repeat_counts(df, keys), keys, broadcast_rows=0)
+    return df.join(repeat_counts(df, keys), list(keys))
 
 
 def nonwork_flags(calendar: DataFrame, from_year: int) -> Column:
-    """Scalar subquery: for each day since 1970-01-01, whether it is a non-work day of the calendar.
+    """Scalar subquery: the first non-work day of the calendar (days since 1970-01-01) and, for each
+    day from there on, whether it is one.
 
     The array is as long as the calendar reaches and is computed once per query.
     """
     days = extract_nonworkdays(calendar, from_year=from_year).select(
         F.unix_date(F.to_date("date")).alias("day"))
     flags = F.transform(
-        F.sequence(F.lit(0), F.max("day")),
+        F.sequence(F.min("day"), F.max("day")),
         lambda day: F.array_contains(F.collect_set("day"), day),
     )
-    return days.agg(flags.alias("flags")).scalar()
+    return days.agg(F.struct(F.min("day").alias("first"), flags.alias("flags")).alias("off")).scalar()
 
 
-def dates_between(start: Column, complete: Column, flags: Column) -> Column:
+def _works(day: Column, off: Column) -> Column:
+    """Whether a date is a business date; dates the calendar lacks are."""
+    return ~F.coalesce(F.get(off["flags"], F.unix_date(day) - off["first"]), F.lit(False))
+
+
+def dates_between(start: Column, complete: Column, off: Column) -> Column:
     """Business dates from start to complete, both included; empty if they are the wrong way round."""
     span = F.when(start <= complete, F.sequence(start, complete)).otherwise(
         F.array().cast("array<date>"))
-    return F.filter(span, lambda day: ~F.coalesce(F.get(flags, F.unix_date(day)), F.lit(False)))
+    return F.filter(span, lambda day: _works(day, off))
 
 
 def business_dates(df: DataFrame, calendar: DataFrame, *, from_year: int,
@@ -63,28 +68,35 @@ def business_dates(df: DataFrame, calendar: DataFrame, *, from_year: int,
     return flagged.withColumn(name, dates).drop("_nonwork")
 
 
-def longest_spans(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
-    """Per group and start date the latest completion; spans that end before they start drop."""
-    return (
-        df.where(F.col("startDate") <= F.col("completeDate"))
-        .groupBy(*keys, "startDate").agg(F.max("completeDate").alias("completeDate"))
-    )
+def distinct_spans(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS, *,
+                   repeated: bool = False) -> DataFrame:
+    """Per group spans (`_from`, `completeDate`) without overlaps that cover the same dates.
+
+    Each start date keeps its latest completion and is cut off against the latest completion before
+    it; spans that end before they start drop. With `repeated`, only groups of several named rows
+    are worked out.
+    """
+    valid = F.when(F.col("startDate") <= F.col("completeDate"), F.col("completeDate"))
+    spans = df.groupBy(*keys, "startDate").agg(
+        F.max(valid).alias("completeDate"), F.count("subIntervalName").alias("_named"))
+    if repeated:
+        group = Window.partitionBy(*keys)
+        spans = spans.withColumn("_named", F.sum("_named").over(group)).where(F.col("_named") > 1)
+    earlier = Window.partitionBy(*keys).orderBy("startDate").rowsBetween(
+        Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("startDate"), F.date_add(F.max("completeDate").over(earlier), 1))
+    return spans.withColumn("_from", fresh).where(F.col("_from") <= F.col("completeDate"))
 
 
 def group_dates(df: DataFrame, calendar: DataFrame, *, from_year: int,
                 keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
     """Distinct business dates per group, sorted, as `B_dates`; groups without a valid span lack."""
-    spans = longest_spans(df, keys).groupBy(*keys).agg(
-        F.collect_list(F.struct("startDate", "completeDate")).alias("_spans"))
+    spans = distinct_spans(df, keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_from", "completeDate"))).alias("_spans"))
     flagged = spans.withColumn("_nonwork", nonwork_flags(calendar, from_year))
     dates = F.flatten(F.transform(
-        "_spans",
-        lambda span: F.sequence(span["startDate"], span["completeDate"]),
-    ))
-    merged = F.array_sort(F.filter(
-        F.array_distinct(dates),
-        lambda day: ~F.coalesce(F.get(F.col("_nonwork"), F.unix_date(day)), F.lit(False)),
-    ))
+        "_spans", lambda span: F.sequence(span["_from"], span["completeDate"])))
+    merged = F.filter(dates, lambda day: _works(day, F.col("_nonwork")))
     return flagged.withColumn("B_dates", merged).select(*keys, "B_dates")
 
 
@@ -100,24 +112,38 @@ def workday_ordinals(calendar: DataFrame, from_year: int) -> DataFrame:
 
 
 def rework_days(df: DataFrame, calendar: DataFrame, *, from_year: int,
-                keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
+                keys: Sequence[str] = REPEAT_KEYS, repeated: bool = False) -> DataFrame:
     """Distinct business days per group as column `days`, without listing the dates.
 
-    Overlaps are cut off against the latest completion so far, and each remaining span is counted
-    with the ordinals of the calendar, which must have every date between its first and last.
+    Each span is counted with the ordinals of the calendar. As in `group_dates`, dates before and
+    after the calendar are business dates; a date missing in between is an error.
     """
-    earlier = Window.partitionBy(*keys).orderBy("startDate").rowsBetween(
-        Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.col("startDate"), F.date_add(F.max("completeDate").over(earlier), 1))
-    spans = longest_spans(df, keys).withColumn("_from", fresh).where(
-        F.col("_from") <= F.col("completeDate"))
-    ordinals = broadcast_if_small(stage(workday_ordinals(calendar, from_year), "workday-ordinals"))
+    ordinals = stage(workday_ordinals(calendar, from_year), "workday-ordinals")
+    ends = ordinals.agg(F.struct(
+        F.min("date").alias("first"), F.max("date").alias("last"), F.max("upto").alias("all"),
+    ).alias("ends"))
+
+    def count(day: Column, found: Column, included: int) -> Column:
+        """Business dates up to a day, itself included or not."""
+        outside = (
+            F.when(F.col("_ends.first").isNull(), F.unix_date(day) + included)
+            .when(day < F.col("_ends.first"), F.date_diff(day, F.col("_ends.first")) + included)
+            .when(day > F.col("_ends.last"),
+                  F.col("_ends.all") + F.date_diff(day, F.col("_ends.last")) + included - 1)
+            .otherwise(F.raise_error(F.concat(F.lit("the calendar lacks "), day.cast("string"))))
+        )
+        return F.when(found.isNotNull(), found).otherwise(outside.cast("long"))
+
     first = ordinals.select(F.col("date").alias("_from"), "before")
     last = ordinals.select(F.col("date").alias("completeDate"), "upto")
-    return (
-        spans.join(first, "_from").join(last, "completeDate").groupBy(*keys)
-        .agg(F.sum(F.col("upto") - F.col("before")).cast("int").alias("days"))
+    spans = (
+        distinct_spans(df, keys, repeated=repeated)
+        .join(first, "_from", "left").join(last, "completeDate", "left")
+        .withColumn("_ends", ends.scalar())
     )
+    days = (count(F.col("completeDate"), F.col("upto"), 1)
+            - count(F.col("_from"), F.col("before"), 0))
+    return spans.groupBy(*keys).agg(F.sum(days).cast("int").alias("days"))
 
 
 def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -176,7 +202,8 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
         dates = F.coalesce("B_dates", F.array().cast("array<date>"))
         extra, days = [dates.alias("B_dates")], F.size(dates)
     else:
-        found = rework_days(keyed, calendar, from_year=from_year, keys=keys)
+        found = rework_days(keyed, calendar, from_year=from_year, keys=keys,
+                            repeated=not recompute_singles)
         extra, days = [], F.coalesce("days", F.lit(0))
     if not recompute_singles:
         days = F.when(F.col("count") > 1, days).otherwise(F.col(DAYS))
@@ -190,7 +217,7 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
     # A group with one named row may also hold rows without a name: those stay as they are.
     apart = stage(
         groups.where((F.col("count") == 1) & (F.col("_rows") > 1)).select(*keys), "mixed-tasks")
-    rows = join_hot(keyed, apart, keys, "left_semi").withColumn("count", F.lit(1).cast("long"))
+    rows = keyed.join(apart, list(keys), "left_semi").withColumn("count", F.lit(1).cast("long"))
     if form == "dates":
         rows = business_dates(rows, calendar, from_year=from_year)
     return result.where((F.col("count") > 1) | (F.col("_rows") == 1)).drop("_rows").unionByName(rows)

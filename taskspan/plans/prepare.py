@@ -1,8 +1,9 @@
 """Training and test preparation.
 
 Only the extracts shuffle whole task rows. Their result is stored; what follows is a chain of
-filters, expressions and joins with small checked tables over that stored table, up to the one
-aggregation that merges repeated tasks.
+filters, expressions and joins with small stored tables, up to the one aggregation that merges
+repeated tasks. The training rows are stored twice more on the way, trimmed and binned, as both are
+read again.
 """
 
 from __future__ import annotations
@@ -29,39 +30,48 @@ def rare_order_categories(source: Warehouse, *, window: tuple[str, str],
     return rare_categories(orders)
 
 
-def train_stages(source: Warehouse, *, window: tuple[str, str], from_year: int,
-                 mode: str = "faithful", keep_small: bool = False,
-                 include_cancelled: bool = False, recompute_singles: bool = False,
-                 form: str = "dates") -> dict[str, DataFrame]:
-    """Every step of the training preparation by name, in order.
+def binned_stages(source: Warehouse, *, window: tuple[str, str], mode: str = "faithful",
+                  keep_small: bool = False,
+                  include_cancelled: bool = False) -> dict[str, DataFrame]:
+    """The steps of the training preparation before the merge by name, in order.
 
-    `mode="repaired"` counts days across year ends, takes the last day of the window whole and
-    looks thresholds up by task id as well as name.
+    Stored are the extract, the trimmed and the binned rows, each of which is read more than once.
     """
     extracted = stage(extract_tasks(source, window=window, mode=mode), "tasks")
     cleaned = clean(extracted)
-    trimmed = trim_bottom(cleaned, keep_small=keep_small, tiebreak=TASK_IDS)
+    trimmed = stage(
+        trim_bottom(cleaned, keep_small=keep_small, tiebreak=TASK_IDS), "trimmed")
     keys = ("subIntervalName",) if mode == "faithful" else ("subIntervalName", "subIntID")
     thresholded = threshold_outliers(trimmed, join_keys=keys)
     binned = task_table(
         bin_rare(thresholded, rare_order_categories(source, window=window, mode=mode)))
-    nullable = missing_columns(extracted, NULLABLE_COLUMNS)
     if include_cancelled:
-        cancelled = stage(
-            extract_cancelled_dependency(source, window=window, mode=mode), "cancelled")
-        binned = add_cancelled(binned, cancelled)
-        others = [c for c in TASK_COLUMNS if c not in nullable]
-        nullable += missing_columns(cancelled, others)
+        binned = add_cancelled(
+            binned, extract_cancelled_dependency(source, window=window, mode=mode))
     check_schema(binned, TASK_SCHEMA, "binned tasks")
-    merged = rework_merge(
-        binned, source.calendar, from_year=from_year, nullable=nullable,
-        recompute_singles=recompute_singles, form=form)
     return {
         "extracted": extracted, "cleaned": cleaned, "trimmed": trimmed,
-        "thresholded": thresholded, "binned": binned, "merged": merged,
+        "thresholded": thresholded, "binned": stage(binned, "binned"),
     }
 
 
+def train_stages(source: Warehouse, *, window: tuple[str, str], from_year: int,
+                 recompute_singles: bool = False, form: str = "dates",
+                 **options) -> dict[str, DataFrame]:
+    """Every step of the training preparation by name, in order.
+
+    `mode="repaired"` counts days across year ends, takes the last day of the window whole and
+    looks thresholds up by task id as well as name.
+    """
+    stages = binned_stages(source, window=window, **options)
+    columns = TASK_COLUMNS if options.get("include_cancelled") else NULLABLE_COLUMNS
+    merged = rework_merge(
+        stages["binned"], source.calendar, from_year=from_year,
+        nullable=missing_columns(stages["binned"], columns),
+        recompute_singles=recompute_singles, form=form)
+    return stages | {"merged": merged}
+
+
 def prepare_train(source: Warehouse, **options) -> DataFrame:
     """Training rows: one per order and task, outliers removed. Options as in `train_stages`."""
     return train_stages(source, **options)["merged"]
@@ -79,4 +89,4 @@ def prepare_test(source: Warehouse, *, window: tuple[str, str], mode: str = "fai
     plain, jeop = split_by_jeop(clean(extracted))
     result = task_table(append_rows(trim_both(plain), jeop))
     check_schema(result, TASK_SCHEMA, "test tasks")
-    return bin_rare(result, rare) if rare is not None else result
+    return result if rare is None else bin_rare(stage(result, "test-rows"), rare)

@@ -20,8 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TRAIN, TEST, FROM_YEAR = mapping.TRAIN_WINDOW, mapping.TEST_WINDOW, mapping.NONWORK_FROM_YEAR
-BOOST_ROUNDS = 12
-BOOST_RATE = 0.3
+_models: dict[tuple[str, str], str] = {}
 
 
 def query(build: Callable[[Warehouse], DataFrame]) -> Callable[[Warehouse], DataFrame]:
@@ -101,8 +100,13 @@ def _looked_up(source: Warehouse) -> DataFrame:
 
 
 def _fitted(source: Warehouse) -> boost.QuantileBoost:
-    return boost.fit_quantile_boost(
-        stage(_train(source), "train"), rounds=BOOST_ROUNDS, rate=BOOST_RATE)
+    """The model at its default settings, fitted once per application and set of tables."""
+    spark = source.tasks.sparkSession
+    key = (spark.sparkContext.applicationId, source.tasks.inputFiles()[0])
+    if key not in _models:
+        model = boost.fit_quantile_boost(stage(_train(source), "train"))
+        _models[key] = model.save(spark, stage_path(spark, "model"))
+    return boost.QuantileBoost.load(spark, _models[key])
 
 
 # ---- extracts, sources and sinks -------------------------------------------------------------
@@ -517,6 +521,35 @@ def pinball_loss(source):
     return _rounded(metrics.pinball_loss(_looked_up(source), 0.75), "pinball_loss", "coverage")
 
 
+@query
+def boost_start(source):
+    """Where boosting starts, and the gradients of the first round by feature and category."""
+    train = stage(_train(source), "train")
+    base = boost.start_value(train)
+    first = boost.gradient(F.col(DAYS), F.lit(base))
+    pairs = F.explode(F.array(*(
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"))
+        for c in FEATURES)))
+    return train.select(pairs.alias("pair"), first.alias("gradient")).groupBy(
+        "pair.feature", "pair.category").agg(
+        F.lit(base).alias("base"), F.count(F.lit(1)).alias("rows"),
+        F.round(F.sum("gradient"), 6).alias("gradient"))
+
+
+@query
+def boost_leaves(source):
+    """Leaf values of the first round for a given assignment: the phase of a task as its leaf."""
+    train = stage(_train(source), "train")
+    residual = F.col(DAYS) - F.lit(boost.start_value(train))
+    return boost.leaf_quantiles(train, leaf="PID", residual=residual)
+
+
+@query
+def scored_columns(source):
+    """What the scored table holds besides the predictions."""
+    return boost.scored_table(_fitted(source), _test(source)).drop("Prediction")
+
+
 @query
 def quantile_boost_fit(source):
     model = _fitted(source)
@@ -540,6 +573,5 @@ def run_record(source):
     path = stage_path(spark, "model")
     scored = stage(boost.scored_table(model, _test(source), rounded=False), "scored")
     record = boost.run_record(
-        {"alpha": model.alpha, "rate": model.rate, "rounds": len(model.rounds)},
-        metrics.eval_metrics(scored), model.save(spark, path))
+        model.settings, metrics.eval_metrics(scored), model.save(spark, path))
     return boost.log_run(record, stage_path(spark, "runs"))

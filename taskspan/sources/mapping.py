@@ -12,7 +12,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskspan.operators.skew import join_hot
 from taskspan.sources.stage import stage
 from taskspan.sources.tables import Warehouse
 
@@ -150,7 +149,7 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     dictionary, phases, calendar = _dimension_tables(spark, sf_dir)
     return Warehouse(
         orders=_select(orders, ORDERS),
-        attributes=_select(join_hot(orders, customers, ["o_custkey"]), ATTRIBUTES),
+        attributes=_select(orders.join(customers, "o_custkey"), ATTRIBUTES),
         tasks=_select(items, TASKS),
         dictionary=dictionary,
         phases=phases,

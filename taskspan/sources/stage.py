@@ -7,19 +7,26 @@ Catalyst knows: a small stage is broadcast by the planner's own size check and a
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local session without one gets a scratch folder."""
+    """The checkpoint folder of the session; a session in one process without one gets a scratch
+    folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
@@ -28,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/stages/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stages/{app}/{_run.get()}{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -37,3 +44,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def run_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete the stages that are written inside once it ends; nothing may read them after that."""
+    folder = f"run-{uuid.uuid4().hex}/"
+    token = _run.set(_run.get() + folder)
+    try:
+        top = f"{shared_folder(spark)}/stages/{spark.sparkContext.applicationId}/{_run.get()}"
+        yield
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -113,6 +113,12 @@ def overwrite_named_table(df: DataFrame, name: str, fmt: str = "parquet",
 
 
 def register_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """Name the files at `path` as an external catalog table and return it."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING {fmt} LOCATION '{path}'")
+    """Name the files at `path` as an external catalog table and return it.
+
+    A table of that name is named anew: its place, its columns and the list of its files are those
+    of `path` now. The files themselves are not touched.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING {fmt} LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
     return spark.table(name)

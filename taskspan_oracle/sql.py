@@ -529,3 +529,13 @@ _oracle("pinball_loss", """
                           else 0.25 * (Prediction - Actual) end), 6) as pinball_loss,
       round(avg(case when Actual <= Prediction then 1.0 else 0.0 end), 6) as coverage
     from looked""")
+_BASE = "(select quantile_cont(subIntIntervalsDays, 0.75) from train)"
+_oracle("boost_start", " union all ".join(f"""
+    select '{c}' as feature, cast({c} as string) as category, {_BASE} as base, count(*) as rows,
+      round(cast(sum(case when subIntIntervalsDays > {_BASE} then 0.75 else -0.25 end) as double), 6)
+        as gradient
+    from train group by {c}""" for c in _FEATURES.split(", ")))
+_oracle("boost_leaves", f"""
+    select PID, quantile_cont(subIntIntervalsDays - {_BASE}, 0.75) as value from train group by PID""")
+_oracle("scored_columns",
+        f"select orderID, {_FEATURES}, subIntIntervalsDays as Actual from test")

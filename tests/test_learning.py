@@ -74,19 +74,58 @@ def test_scored_table_rounds_half_even(model, test_rows):
     assert scored.where(F.col("Prediction") != F.floor("Prediction")).isEmpty()
 
 
-def test_run_record_appends(spark, model, test_rows):
+def test_runs_with_different_settings_share_a_table(spark, model, test_rows):
     scored = stage(boost.scored_table(model, test_rows, rounded=False), "scored")
     path = stage_path(spark, "runs")
-    record = boost.run_record({"alpha": 0.75}, metrics.eval_metrics(scored), "somewhere")
-    assert boost.log_run(record, path).count() == 1
-    assert boost.log_run(record, path).count() == 2
-    assert {"rmse", "mae", "r2", "median_ae", "alpha"} <= set(record.columns)
+    for settings in (model.settings, {"alpha": 0.5, "other": 1.0}):
+        runs = boost.log_run(
+            boost.run_record(settings, metrics.eval_metrics(scored), "somewhere"), path)
+    found = [r["settings"] for r in runs.orderBy("logged_at").collect()]
+    assert found == [model.settings, {"alpha": 0.5, "other": 1.0}]
+    assert {"rounds", "rate", "max_depth", "min_leaf", "seed"} <= set(model.settings)
+    assert {"rmse", "mae", "r2", "median_ae", "model_path"} <= set(runs.columns)
+
+
+def test_scoring_reads_the_rows_once_and_stores_none(spark, model, test_rows, monkeypatch):
+    monkeypatch.setattr(boost, "stage", lambda df, name: pytest.fail("a stage was written"))
+    many = boost.QuantileBoost(
+        model.encoder, model.base, model.rate, model.alpha, model.rounds * 40)
+    scored = many.predict(test_rows)
+    assert scored.count() == test_rows.count() and scored.columns == [*test_rows.columns, "Prediction"]
+
+
+def test_one_pass_over_the_trees_equals_tree_after_tree(model, test_rows):
+    rows = model.encoder.transform(test_rows).withColumn("score", F.lit(model.base))
+    for tree, values in model.rounds:
+        rows = tree.transform(rows).withColumn(
+            "score", F.col("score") + F.lit(model.rate) * boost._leaf_value(values)).drop(
+            "_leaf", "_tree")
+    want = rows.select("orderID", F.col("score").alias("Prediction"))
+    assert want.exceptAll(model.predict(test_rows).select("orderID", "Prediction")).isEmpty()
+
+
+def test_missing_categories_are_scored(spark, model, test_rows):
+    holes = test_rows.limit(30).withColumn("categoryCD", F.lit(None).cast("string"))
+    assert model.predict(holes).where(F.col("Prediction").isNotNull()).count() == 30
+
+
+def test_leaf_quantiles_are_exact_unless_a_grid_is_given(spark):
+    rows = spark.createDataFrame([(1, 0.1234, 3), (1, 0.5678, 1), (2, 9.0, 1)],
+                                 "leaf int, e double, w long")
+    def found(**options):
+        return {r["leaf"]: r["value"] for r in boost.leaf_quantiles(
+            rows, leaf="leaf", residual=F.col("e"), weight=F.col("w"), alpha=0.5, **options).collect()}
+    assert found() == {1: 0.1234, 2: 9.0} and found(decimals=2) == {1: 0.12, 2: 9.0}
 
 
 @pytest.mark.parametrize("errors", [[1.0], [1.0, 2.0], [0.5, 0.50001, 7.25, 300.0],
                                     [2.0] * 50 + [3.0] * 50, [i * 0.137 for i in range(1001)]])
 @pytest.mark.parametrize("p", [0.5, 0.9])
-def test_exact_quantile(spark, errors, p):
+@pytest.mark.parametrize("few", [50_000, 5])
+def test_exact_quantile(spark, errors, p, few, monkeypatch):
+    """With few rows left to order, the range is cut again and again."""
+    monkeypatch.setattr(metrics, "_FEW", few)
+    monkeypatch.setattr(metrics, "_CELLS", 7)
     df = spark.createDataFrame([(e,) for e in errors], "e double")
     want = df.agg(F.percentile("e", p)).first()[0]
     assert metrics.exact_quantile(df, "e", p, "q").first()["q"] == pytest.approx(want, abs=1e-12)

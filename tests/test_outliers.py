@@ -1,4 +1,6 @@
 import random
+from fractions import Fraction
+from math import floor
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,27 @@ def test_trim_both_keeps_the_middle_ranks(spark):
     assert sorted(r[DAYS] for r in got.collect()) == list(range(1, 9))
 
 
+@pytest.mark.parametrize("frac", [0.0, 0.15, 0.3, 0.4, 0.49, 0.125])
+def test_trim_both_cuts_any_fraction_exactly(spark, frac):
+    got = outliers.trim_both(tasks(spark, {"a": 20}), frac=frac)
+    part = Fraction(str(frac))
+    want = list(range(floor(20 * part), floor(20 * (1 - part))))
+    assert sorted(r[DAYS] for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("frac", [0.0004, 0.15, 0.3, 0.4])
+def test_trim_bottom_cuts_any_fraction_exactly(spark, frac):
+    got = outliers.trim_bottom(tasks(spark, {"a": 10_000}), frac=frac)
+    assert sorted(r[DAYS] for r in got.collect())[0] == floor(10_000 * Fraction(str(frac)))
+    assert got.count() == 10_000 - floor(10_000 * Fraction(str(frac)))
+
+
+@pytest.mark.parametrize("frac", [-0.1, 0.5, 1])
+def test_fractions_that_leave_nothing_are_errors(spark, frac):
+    with pytest.raises(ValueError):
+        outliers.trim_both(tasks(spark, {"a": 20}), frac=frac)
+
+
 def test_trim_matches_a_full_sort(spark):
     """Skewed, tied, with copies and missing values: the rows a row-by-row ranking keeps."""
     rng = random.Random(7)

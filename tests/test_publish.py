@@ -1,5 +1,7 @@
 """The whole batch on the smallest tables."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from taskspan.plans import prepare
 from taskspan.plans.publish import Publisher, publish_model, publish_tables, published_counts
 from taskspan.schema import CONFIG_STATS_COLUMNS, FEATURES, TASK_COLUMNS, TRAIN_COLUMNS
 from taskspan.sources import mapping
+from taskspan.sources import stage as stages
 from taskspan.sources.stage import stage_path
 
 
@@ -50,13 +53,71 @@ def test_publishing_again_replaces(source, publisher, tables):
 
 def test_model_run(spark, publisher, tables):
     model, runs = publish_model(tables, publisher, rounds=3, rate=0.3)
-    assert runs.count() == 1 and runs.first()["rounds"] == 3
+    assert runs.count() == 1 and runs.first()["settings"]["rounds"] == 3
     scored = publisher.read(tables["test_data"], "scored_data")
     assert scored.columns == ["orderID", *FEATURES, "Actual", "Prediction"]
     assert scored.count() == tables["test_data"].count()
     assert scored.where(F.col("Prediction") != F.floor("Prediction")).isEmpty()
-    loaded = QuantileBoost.load(spark, f"{publisher.folder}/model")
-    assert len(loaded.rounds) == 3 and loaded.base == model.base
+    again, runs = publish_model(tables, publisher, rounds=2, rate=0.2, max_depth=3)
+    found = {r["settings"]["rounds"]: r["model_path"] for r in runs.collect()}
+    for fitted, rounds in ((model, 3), (again, 2)):
+        loaded = QuantileBoost.load(spark, found[rounds])
+        assert len(loaded.rounds) == rounds and loaded.base == fitted.base
+        assert loaded.settings == fitted.settings
+
+
+def test_repaired_test_rows_are_binned_like_the_training_rows(spark, source):
+    publisher = Publisher(stage_path(spark, "repaired"))
+    options = {"train_window": mapping.TRAIN_WINDOW, "test_window": mapping.TEST_WINDOW,
+               "from_year": mapping.NONWORK_FROM_YEAR}
+    tables = publish_tables(source, publisher, mode="repaired", **options)
+    assert tables["test_data"].where("categoryCD = 'Others'").count() > 0
+
+
+def test_publishing_again_with_a_database_and_another_schema(spark, tables):
+    spark.sql("create database if not exists published_twice")
+    try:
+        named = Publisher(stage_path(spark, "named"), database="published_twice")
+        first = named.write("rows", tables["train_data"])
+        assert first.count() == tables["train_data"].count()
+        other = spark.range(7).withColumn("more", F.lit("x"))
+        again = named.write("rows", other)
+        assert again.count() == 7 and again.columns == ["id", "more"]
+        assert spark.table("published_twice.rows").count() == 7
+        moved = Publisher(stage_path(spark, "moved"), database="published_twice")
+        assert moved.write("rows", other.limit(2)).count() == 2
+    finally:
+        spark.sql("drop database published_twice cascade")
+
+
+def test_stages_of_a_run_are_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(stages, "shared_folder", lambda spark: str(tmp_path))
+    before = stages.stage(spark.range(2), "rows")
+    with stages.run_stages(spark):
+        with stages.run_stages(spark):
+            assert stages.stage(spark.range(3), "rows").count() == 3
+        assert stages.stage(spark.range(4), "rows").count() == 4
+        assert len({p.parent for p in tmp_path.rglob("*.parquet")}) == 2
+    assert len({p.parent for p in tmp_path.rglob("*.parquet")}) == 1 and before.count() == 2
+
+
+def test_publishing_leaves_no_stages(spark, source, tables, publisher):
+    folder = Path(stages.shared_folder(spark).removeprefix("file:"))
+    assert not list(folder.glob("stages/*/run-*"))
+    assert all(table.count() for table in tables.values())
+
+
+def test_only_one_process_may_use_a_scratch_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *names: None)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        stages.shared_folder(Session)
 
 
 def test_registered_tables(spark, source, tables):

@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +42,43 @@ def test_single_task_keeps_its_interval(spark, calendar):
     assert merged(spark, calendar, rows, recompute_singles=True).first()[DAYS] == 2
 
 
+def old_calendar(spark):
+    return mapping.calendar_between(spark, 1968, 1971).cache()
+
+
+@pytest.mark.parametrize("start, complete", [
+    (date(1969, 12, 1), date(1969, 12, 31)), (date(1969, 12, 20), date(1970, 1, 20)),
+    (date(1967, 12, 20), date(1968, 1, 10)), (date(1971, 12, 1), date(1972, 2, 1)),
+    (date(1966, 1, 1), date(1966, 1, 9)), (date(1960, 1, 1), date(1980, 1, 1)),
+])
+def test_forms_agree_before_1970_and_beside_the_calendar(spark, start, complete):
+    off = {r["date"] for r in old_calendar(spark).where("isworkday = 0").collect()}
+    days = [start + timedelta(d) for d in range((complete - start).days + 1)]
+    want = sum(day not in off for day in days)
+    rows = [("o", 1, "t", "x", start, complete, 1)] * 2 + [("o", 1, "t", "x", start, start, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for form in ("dates", "counts"):
+        merged_rows = rework.rework_merge(df, old_calendar(spark), from_year=1968, form=form)
+        assert [r[DAYS] for r in merged_rows.collect()] == [want]
+
+
+def test_a_calendar_that_ends_before_1970(spark):
+    calendar = mapping.calendar_between(spark, 1968, 1968)
+    rows = [("o", 1, "t", "x", date(1968, 1, 1), date(1968, 1, 14), 1)] * 2
+    for form in ("dates", "counts"):
+        row = rework.rework_merge(
+            spark.createDataFrame(rows, SCHEMA), calendar, from_year=1968, form=form).first()
+        assert row[DAYS] == 9
+
+
+def test_a_gap_in_the_calendar_is_an_error(spark):
+    calendar = mapping.calendar_between(spark, 1968, 1968).where("date <> date'1968-01-03'")
+    rows = [("o", 1, "t", "x", date(1968, 1, 1), date(1968, 1, 3), 1)] * 2
+    with pytest.raises(Exception, match="the calendar lacks 1968-01-03"):
+        rework.rework_merge(spark.createDataFrame(rows, SCHEMA), calendar, from_year=1968,
+                            form="counts").collect()
+
+
 def test_backward_span_has_no_dates(spark, calendar):
     rows = [("o", 1, "t", "x", date(2000, 1, 1), date(1999, 12, 30), 363)] * 2
     for form in ("dates", "counts"):

@@ -5,60 +5,9 @@ from compare import difference, duck
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from taskspan.operators import extract
-from taskspan.operators.skew import hot_keys, join_hot, rows_within
 from taskspan.sources.stage import stage_path
 
 
-@pytest.fixture(scope="module")
-def big(spark):
-    rows = [("hot", i) for i in range(1000)] + [(f"k{i % 700}", i) for i in range(2000)]
-    return spark.createDataFrame(rows, "k string, v int").cache()
-
-
-@pytest.fixture(scope="module")
-def side(spark):
-    return spark.createDataFrame(
-        [("hot", "H"), ("k1", "one"), ("k2", "two"), ("k2", "zwei"), ("no", "no")],
-        "k string, name string").cache()
-
-
-def test_only_the_hot_key_is_found(big):
-    hot = hot_keys(big, ["k"])
-    key = big.where("k = 'hot'").select(F.xxhash64("k")).first()[0]
-    assert list(hot) == [key] and hot[key] >= 2
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_salted_join_gives_the_plain_result(big, side, how):
-    want = big.join(side, "k", how)
-    for limit in (0, 100):
-        got = join_hot(big, side, ["k"], how, broadcast_rows=limit)
-        assert got.columns == want.columns and got.count() == want.count()
-        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-
-
-def test_hot_rows_are_spread(big, side):
-    """No partition of the joined rows holds all rows of the hot key."""
-    joined = join_hot(big.repartition(4), side, ["k"], broadcast_rows=0)
-    parts = joined.hint("merge").where("k = 'hot'").groupBy(F.spark_partition_id()).count()
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and "monotonically_increasing_id" not in plan
-    assert parts.agg(F.sum("count")).first()[0] == 1000
-
-
-def test_salts_do_not_change_between_runs(big, side):
-    """Rows of one partition get the same salts in any order."""
-    salted = join_hot(big, side.withColumn("salted", F.lit(1)), ["k"], "left", broadcast_rows=0)
-    again = join_hot(big.orderBy(F.desc("v")), side.withColumn("salted", F.lit(1)), ["k"], "left",
-                     broadcast_rows=0)
-    assert salted.exceptAll(again).isEmpty() and again.exceptAll(salted).isEmpty()
-
-
-def test_rows_within(big):
-    assert rows_within(big, 3000) and not rows_within(big, 2999)
-
-
 @pytest.fixture(scope="module")
 def skewed_folder(spark):
     """The test tables with a third of the line items on one order and one part."""
@@ -81,24 +30,52 @@ def skewed_folder(spark):
     return folder.removeprefix("file:")
 
 
-def test_extract_salts_the_hot_order(spark, skewed_folder, monkeypatch):
-    plans = []
-    for few in (True, False):
-        monkeypatch.setattr(extract, "rows_within", lambda df, limit, few=few: few)
-        df = queries()["extract_tasks"](spark, skewed_folder)
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-    broadcast, shuffled = plans
-    assert "_salt" not in broadcast and "SortMergeJoin" not in broadcast
-    assert "_salt" in shuffled and shuffled.count("SortMergeJoin") == 2
+SHUFFLED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Every join is a shuffle, and a partition is large from 64 kB on."""
+    old = {name: spark.conf.get(name) for name in SHUFFLED}
+    for name, value in SHUFFLED.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_order_rows_are_broadcast(spark, skewed_folder):
+    plan = executed(queries()["extract_tasks"](spark, skewed_folder))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["extract_tasks", "task_repeat_count"])
+def test_the_hot_order_is_split(spark, skewed_folder, shuffled, name):
+    plan = executed(queries()[name](spark, skewed_folder))
+    assert "SortMergeJoin(skew=true)" in plan
+
+
+@pytest.mark.parametrize("name", ["extract_tasks", "extract_cancelled", "task_repeat_count"])
+def test_no_rows_meet_in_one_task(spark, skewed_folder, name):
+    plan = queries()[name](spark, skewed_folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("name", [
     "extract_tasks", "trim_bottom", "threshold_outliers", "task_repeat_count", "rework_merge",
     "rework_days", "prepare_train", "prepare_test", "config_stats_named", "quantile_lookup",
 ])
-def test_pipelines_hold_under_skew(spark, skewed_folder, name, monkeypatch):
-    """With the orders taken for many, so that the tasks are salted and shuffled."""
-    monkeypatch.setattr(extract, "rows_within", lambda df, limit: False)
+def test_pipelines_hold_under_skew(spark, skewed_folder, shuffled, name):
     connection = duck(skewed_folder, "/*.parquet")
     difference_ = difference(
         queries()[name](spark, skewed_folder), connection, oracle_sql()[name])
