@@ -156,8 +156,8 @@ def resampled(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior:
     rows = stage(weighed(known.drop("_target"), ratio).select(
         "doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"), "_held"),
         "weights")
-    held = rows.filter("_held is not null").select("log_weight", "_held").toPandas()
-    cut = best_cut(held["log_weight"].to_numpy(float), held["_held"].to_numpy(float) > 0)
+    held = rows.filter("_held is not null").select("log_weight", "_held").collect()  # bounded sample
+    cut = best_cut(np.array([r["log_weight"] for r in held]), np.array([r["_held"] > 0 for r in held], bool))
     wanted, total = rows.agg(F.count_if(F.col("log_weight") >= F.lit(cut)), F.count(F.lit(1))).first()
     least = float("-inf")
     if wanted < total:
