@@ -31,6 +31,7 @@ SEED = 40
 MAX_DEPTH = 7
 MIN_LEAF = 20
 _STORE_EVERY = 10
+_TASK_ROWS = 50_000  # weighted rows that a task of their own is worth
 
 
 def encode_categories(train: DataFrame, features: Sequence[str] = FEATURES) -> PipelineModel:
@@ -200,7 +201,7 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
         "max_depth": float(max_depth), "min_leaf": float(min_leaf), "seed": float(seed),
         "decimals": -1.0 if decimals is None else float(decimals)})
     y, score = F.col(label), F.col("_score")
-    rows = rows.withColumn("_score", F.lit(base))
+    rows = rows.coalesce(1 + rows.count() // _TASK_ROWS).withColumn("_score", F.lit(base))
     placed: DataFrame | None = None
     for i in range(1, rounds + 1):
         tree = learner.fit(rows.withColumn("_gradient", gradient(y, score, alpha)))

@@ -28,8 +28,14 @@ def repeat_counts(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS,
 
 
 def with_repeat_count(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
-    """Give each row the number of rows of its order and task."""
-    return df.join(repeat_counts(df, keys), list(keys))
+    """Give each row with keys the number of rows of its order and task.
+
+    Most tasks occur once, so only the other counts are stored and joined.
+    """
+    counts = stage(repeat_counts(df, keys).where(F.col("count") != 1), "repeat-counts")
+    keyed = df.where(" and ".join(f"{k} is not null" for k in keys))
+    return keyed.join(counts, list(keys), "left").withColumn(
+        "count", F.coalesce("count", F.lit(1).cast("long")))
 
 
 def nonwork_flags(calendar: DataFrame, from_year: int) -> Column:
