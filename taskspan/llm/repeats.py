@@ -208,8 +208,9 @@ def _compare_windows(classes: DataFrame, length: int) -> DataFrame:
 
     rows = stage(classes.select("head", "context", "before", "bytes").mapInArrow(
         explode, "head long, context long, shift int, value long"), "windows")
-    twice = rows.groupBy("value").agg(
-        F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("value")
+    twice = stage(rows.groupBy("value").agg(
+        F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("value"),
+        "shared_windows")
     found = rows.join(twice, "value")
     return found.groupBy("head", "context").agg(F.transform(
         F.array_sort(F.collect_list("shift")), lambda s: F.struct(s.alias("first"), s.alias("last"))
@@ -250,11 +251,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     family = IndexFamily()
     for batch in range(batches):
         family.add(rows.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == batch))
-    candidates = stage(rows.join(family.repeated(), "head", "left_semi"), "candidates")
+    # aggregates are stored before joins on their key, so that a hot head can be split there
+    repeated = stage(family.repeated(), "all_repeated_heads")
+    candidates = stage(rows.join(repeated, "head", "left_semi"), "candidates")
     classes = stage(candidates.groupBy("head", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "before", "least")).alias("one")
     ).select("head", "context", "n", "one.*"), "classes")
-    heads = classes.groupBy("head").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    heads = stage(classes.groupBy("head").agg(F.count(F.lit(1)).alias("classes")).filter(
+        "classes > 1"), "shared_heads")
     unlike = classes.join(heads, "head").withColumn("hot", F.col("classes") > GROUP_CLASSES)
     unlike = stage(_contexts(docs, unlike, length), "contexts")
     partial = _compare_groups(unlike.filter("not hot"), length).unionByName(
