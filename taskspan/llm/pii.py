@@ -18,6 +18,7 @@ from taskspan.llm.tagger import Tagger
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48  # characters
 TRAINING_WINDOWS = 2_000  # windows with digits or @ that the tagger is fitted to, at most
+TRAINING_TEXTS = 50_000  # texts that they are looked for in, about
 HIDDEN, STEPS, BATCH = 12, 300, 48
 SEED = 3
 WINDOWS_TOGETHER = 1_024  # windows decoded at a time
@@ -182,8 +183,10 @@ def variant(text: str, spans: list[Span], draw: np.random.Generator) -> tuple[st
 
 def training_rows(docs: DataFrame, most: int) -> list:
     """Pieces of text around windows with a digit or an @, as (text, kinds, starts, ends); at most
-    `most` of all, the ones with the smallest hash."""
+    `most`, the ones with the smallest hash, of a bounded sample of the texts drawn by hash."""
     reach = 2 * WINDOW
+    share = min(1.0, TRAINING_TEXTS / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +204,7 @@ def training_rows(docs: DataFrame, most: int) -> list:
                 *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (1, 2, 3))],
                 ["text", "kinds", "starts", "ends"])
 
-    found = docs.select("text").mapInArrow(
+    found = docs.filter(drawn).select("text").mapInArrow(
         pick, "text string, kinds array<long>, starts array<long>, ends array<long>")
     return found.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(most).collect()
 
