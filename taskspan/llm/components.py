@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from taskspan.sources.stage import stage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+FEW_LINKS = 1_000_000  # so many links of one node may meet in a task
+TASK_LINKS = 100_000  # links that a task of their own is worth
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """One step of the alternating star method on edges (a, b), a > b.
 
     Every node hangs its larger neighbours (large) or its smaller neighbours and itself (small) on
-    the smallest node around it. The smallest nodes are stored before they are joined, so that the
-    adaptive skew join can split the links of a node that has many.
+    the smallest node around it. Unless the links are few altogether, the smallest nodes are stored
+    before they are joined, so that the adaptive skew join can split the links of a node that has many.
     """
     if large:
         around = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges
-    least = stage(around.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
+    least = around.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    if not few:
+        least = stage(least, "least")
     joined = around.join(least, F.col("a") == F.col("u"))
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -45,6 +51,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == mark:
             break
         mark = state
-        edges = stage(_star(_star(edges, large=True), large=False), "edges")
+        few = state[0] <= FEW_LINKS
+        hung = _star(_star(edges, True, few), False, few)
+        edges = stage(hung.coalesce(1 + state[0] // TASK_LINKS), "edges")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

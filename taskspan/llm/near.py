@@ -19,7 +19,7 @@ from taskspan.sources.stage import stage
 SHINGLE = 5  # words of a k-mer
 SIMILARITY = 0.8  # 1 - edit distance of the words / words of the longer text
 SKETCHES = 32
-SAMPLED = 2  # k-mers of one sketch, kept in text order
+SAMPLED = 3  # k-mers of one sketch, kept in text order
 BUCKET = 24  # members of a bucket that are compared all with all; larger ones are split further
 SEED = 29
 WORDS = tx.classes(bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(33, 127)), high=1)
@@ -221,10 +221,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
 
     Texts that are equal are one node. Nodes with an equal sketch share a bucket. First every member
     is compared with the smallest one of its bucket, which joins large groups of copies with one
-    comparison per member. Then only buckets that still hold several classes matter: members of
-    different classes are compared all with all if the bucket has at most `bucket` members, else
-    with the smallest one, and the bucket is split by a second sketch, then a third, until no large
-    bucket holds several classes. So no cap drops a pair, and no bucket gives its square of pairs.
+    comparison per member. Then only buckets that still hold several classes matter. With at most
+    `bucket` members, those of different classes are compared all with all. With more members, but at
+    most `bucket` classes, each class is compared through its smallest member there, which is another
+    one in each of the buckets that two alike texts share. With more classes every member is compared
+    with the smallest one, and the bucket is split by a second sketch, then a third. So no bucket
+    gives its square of pairs, and none is cut off.
     """
     rows = stage(_nodes(docs), "sketches")
     nodes = rows.groupBy("h1", "h2").agg(F.min_by("sketches", "doc").alias("sketches"),
@@ -243,17 +245,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
         pairs = stage(pairs, "pairs")
         seen = pairs if seen is None else seen.unionAll(pairs)
         found = stage(_verified(pairs, texts, similarity), "links")
-        links = found if links is None else links.unionAll(found)
-        classes = stage(components(links), "classes")
+        if classes is None or not found.isEmpty():
+            links = found if links is None else links.unionAll(found)
+            classes = stage(components(links), "classes")
         if buckets is None:
             break
         known = _with_class(buckets, classes)
         open_ = stage(known.groupBy("key").agg(
-            F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"),
-            "open_keys")
-        known = stage(known.join(open_, "key", "left_semi"), "open_buckets")
-        small, large = known.filter(F.col("n") <= bucket), known.filter(F.col("n") > bucket)
-        members = small.groupBy("key").agg(F.collect_list(F.struct("node", "class")).alias("m"))
+            F.min("class").alias("low"), F.max("class").alias("high"),
+            F.count_distinct("class").alias("classes")).filter("low <> high"), "open_keys")
+        known = stage(known.join(open_.select("key", "classes"), "key"), "open_buckets")
+        small = known.filter(F.col("n") <= bucket).select("key", "node", "class")
+        led = known.filter((F.col("n") > bucket) & (F.col("classes") <= bucket)).groupBy(
+            "key", "class").agg(F.min("node").alias("node")).select("key", "node", "class")
+        large = known.filter((F.col("n") > bucket) & (F.col("classes") > bucket))
+        members = small.unionAll(led).groupBy("key").agg(F.collect_list(F.struct("node", "class")).alias("m"))
         pairs = members.select(F.explode(F.expr(
             "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.class <> x.class),"
             " y -> struct(x.node as a, y.node as b))))")).alias("p")).select("p.a", "p.b")
