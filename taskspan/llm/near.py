@@ -16,10 +16,12 @@ from taskspan.llm.columns import apart
 from taskspan.llm.components import components
 from taskspan.sources.stage import stage
 
-SHINGLE = 5  # words of a k-mer
+SHINGLE = 5  # words of a k-mer unless another size is given
+GRAM = 3  # words of a k-mer of the search; an edit touches so many of them
 SIMILARITY = 0.8  # 1 - edit distance of the words / words of the longer text
-SKETCHES = 32
-SAMPLED = 3  # k-mers of one sketch, kept in text order
+SKETCHES = 80
+SAMPLED = 2  # k-mers of one sketch, kept in text order
+EXACT = 130  # words of a text up to which the search is exact
 BUCKET = 24  # members of a bucket that are compared all with all; larger ones are split further
 SEED = 29
 WORDS = tx.classes(bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(33, 127)), high=1)
@@ -85,6 +87,75 @@ def sketches(labels: np.ndarray, start: np.ndarray, count: int = SKETCHES,
     return out
 
 
+def edits(words: np.ndarray | int, similarity: float) -> np.ndarray:
+    """The largest edit distance of alike texts of which the longer one has so many words."""
+    return (words * (1 - similarity) + 1e-9).astype(np.int64) if isinstance(words, np.ndarray) else int(
+        words * (1 - similarity) + 1e-9)
+
+
+def prefixes(similarity: float, most: int = EXACT) -> np.ndarray:
+    """How many k-mers of least hash a text of 0 .. `most` words has to show.
+
+    Of two texts at e edits the longer one, of n words, has n - GRAM + 1 k-mers, of which an edit
+    touches GRAM at most. So n - GRAM + 1 - GRAM * e are common, and if a text of m words shows all
+    but so many and one more, the least hash of the common ones is shown by both.
+    """
+    out = np.zeros(most + 1, np.int64)
+    for m in range(1, most + 1):
+        longest = int(m / similarity + 1e-9)
+        out[m] = max(m - n + GRAM * edits(n, similarity) + 1 for n in range(m, longest + 1))
+    return out
+
+
+def search_keys(words: np.ndarray, first: np.ndarray, similarity: float = SIMILARITY
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every row, and the first key of each row; alike texts share a key.
+
+    That is certain if both have at most EXACT words: up to five words, the text and, for five, the
+    text without one of its words; from five words on, the k-mers that `prefixes` asks for. Longer
+    texts, and shorter ones that can be alike to them, have sketches. At SIMILARITY at least 0.4 of
+    the k-mers are common wherever the edits are, a quarter of all that the two texts have, so that
+    one of 80 sketches of two k-mers is common with a probability of 0.99 or more.
+    """
+    counts = np.diff(first)
+    labels, start = labelled_kmers(words, first, GRAM)
+    row = np.repeat(np.arange(len(counts)), np.diff(start))
+    owners, found = [], []
+
+    shown = prefixes(similarity)
+    some = np.flatnonzero(((counts >= 5) & (counts <= EXACT))[row])
+    order = some[np.lexsort((labels[some], row[some]))]
+    of = row[order]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    good = rank < shown[counts[of]]
+    owners.append(of[good])
+    found.append(labels[order[good]])
+
+    for size in range(1, 6):
+        rows = np.flatnonzero(counts == size)
+        if not len(rows):
+            continue
+        own = words[first[rows][:, None] + np.arange(size)]
+        for left_out in [None, *range(size)] if edits(size, similarity) else [None]:
+            value = np.full(len(rows), np.uint64(GRAM))
+            for k in range(size):
+                if k != left_out:
+                    value = tx.mixed(value * np.uint64(3) + own[:, k])
+            owners.append(rows)
+            found.append(value)
+
+    rows = np.flatnonzero(counts > int(EXACT * similarity) - 1)
+    if len(rows):
+        begin = np.append(0, np.cumsum(np.diff(start)[rows]))
+        inside = np.repeat(start[rows], np.diff(begin)) + np.arange(begin[-1]) - np.repeat(
+            begin[:-1], np.diff(begin))
+        owners.append(np.repeat(rows, SKETCHES))
+        found.append(sketches(labels[inside], begin).ravel())
+    owner, found = np.concatenate(owners), np.concatenate(found)
+    return found[np.argsort(owner, kind="stable")], np.append(
+        0, np.cumsum(np.bincount(owner, minlength=len(counts))))
+
+
 def within(a: list[int], b: list[int], most: int) -> bool:
     """Whether the edit distance of two sequences is at most `most`.
 
@@ -130,7 +201,7 @@ def within(a: list[int], b: list[int], most: int) -> bool:
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether the edit similarity of two word sequences reaches the threshold."""
     longer = max(len(a), len(b))
-    most = int(longer * (1 - similarity) + 1e-9)
+    most = edits(longer, similarity)
     if not len(a) or not len(b) or abs(len(a) - len(b)) > most:
         return False
     size = min(len(a), len(b))
@@ -150,8 +221,9 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return within(a.tolist(), b.tolist(), most)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """(doc, h1, h2, sketches) of every row with words; h1 and h2 identify the text."""
+def _nodes(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc, h1, h2, sketches) of every row with words; h1 and h2 identify the text, the sketches are
+    the keys of the search."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,14 +232,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 at = offsets[low:high + 1] - offsets[low]
                 part = data[offsets[low]:offsets[high]]
                 words, first = words_of(part, at)
-                labels, start = labelled_kmers(words, first)
-                made = sketches(labels, start)
+                made, start = search_keys(words, first, similarity)
                 some = np.flatnonzero(np.diff(first))
                 texts = [tx.Rolling(part, seed).of(at[:-1], at[1:])[some].view(np.int64)
                          for seed in (1, 2)]
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(some) + 1) * made.shape[1], pa.int32()),
-                    pa.array(made[some].ravel().view(np.int64)))
+                    pa.array(np.append(start[some], start[-1]), pa.int32()),
+                    pa.array(made.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low).take(pa.array(some)),
                      pa.array(texts[0]), pa.array(texts[1]), lists], ["doc", "h1", "h2", "sketches"])
@@ -228,7 +299,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
     with the smallest one, and the bucket is split by a second sketch, then a third. So no bucket
     gives its square of pairs, and none is cut off.
     """
-    rows = stage(_nodes(docs), "sketches")
+    if similarity < SIMILARITY:
+        raise ValueError(f"the search finds texts of similarity {SIMILARITY} and more")
+    rows = stage(_nodes(docs, similarity), "sketches")
     nodes = rows.groupBy("h1", "h2").agg(F.min_by("sketches", "doc").alias("sketches"),
                                          F.min("doc").alias("node"))
     nodes = stage(nodes, "nodes")

@@ -334,6 +334,29 @@ def test_near_classes_equal_brute_force(spark, documents, bucket):
     assert got == brute_classes(rows)
 
 
+def test_near_pairs_just_over_the_threshold(spark):
+    """Pairs of their own, with as many edits as the threshold allows."""
+    draw = np.random.default_rng(12)
+
+    def pair(words, places):
+        text = [f"n{k}" for k in draw.integers(0, 1 << 40, words)]
+        edited = [f"e{k}" if at in places else w for at, (k, w) in enumerate(
+            zip(draw.integers(0, 1 << 40, words), text))]
+        return [" ".join(text), " ".join(edited)]
+
+    short = [pair(n, {n // 2}) for n in range(5, 10) for _ in range(10)]
+    short += [pair(n, set(range(2, n, 5))) for n in (10, 40, 130) for _ in range(30)]
+    long = [pair(n, set(draw.choice(n, n // 5, replace=False).tolist())) for n in (150, 400) for _ in range(60)]
+    long += [pair(n, set(range(2, n, 5))) for n in (150, 400) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(t for p in short + long for t in p)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "pairs_just_over")
+    found = {r.doc_id: r.class_id for r in near.marked(docs).collect()}
+    got = [found[2 * k] == found[2 * k + 1] for k in range(len(rows) // 2)]
+    assert all(got[:len(short)])
+    assert sum(got[len(short):]) >= 0.98 * len(long)
+    assert len(set(found.values())) == len(rows) - sum(got)
+
+
 def test_near_duplicates_on_awkward_rows(awkward, empty):
     rows = near.marked(awkward).collect()
     assert len(rows) == 12
