@@ -22,7 +22,9 @@ SIMILARITY = 0.8  # 1 - edit distance of the words / words of the longer text
 SKETCHES = 80
 SAMPLED = 2  # k-mers of one sketch, kept in text order
 EXACT = 130  # words of a text up to which the search is exact
-BUCKET = 24  # members of a bucket that are compared all with all; larger ones are split further
+BUCKET = 1024  # members of a block; larger buckets are compared block by block
+BINS = 128  # counts of the words of a text that bound the edit distance from below
+CLOSEST = 3  # partners that a member of a block has before all others are looked at
 SEED = 29
 WORDS = tx.classes(bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(33, 127)), high=1)
 _FIRST = np.uint64((1 << 27) - 1)  # k-mers looked at together at most
@@ -222,8 +224,8 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 
 def _nodes(docs: DataFrame, similarity: float) -> DataFrame:
-    """(doc, h1, h2, sketches) of every row with words; h1 and h2 identify the text, the sketches are
-    the keys of the search."""
+    """(doc, h1, h2, sketches, words, bag) of every row with words; h1 and h2 identify the text, the
+    sketches are the keys of the search, and the bag counts its words in BINS bins (to 255)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +235,12 @@ def _nodes(docs: DataFrame, similarity: float) -> DataFrame:
                 part = data[offsets[low]:offsets[high]]
                 words, first = words_of(part, at)
                 made, start = search_keys(words, first, similarity)
-                some = np.flatnonzero(np.diff(first))
+                counts = np.diff(first)
+                some = np.flatnonzero(counts)
+                bins = np.repeat(np.arange(len(counts)), counts) * BINS + (words >> np.uint64(40)).astype(
+                    np.int64) % BINS
+                bags = np.minimum(np.bincount(bins, minlength=len(counts) * BINS), 255).astype(np.uint8)
+                bags = bags.reshape(-1, BINS)[some]
                 texts = [tx.Rolling(part, seed).of(at[:-1], at[1:])[some].view(np.int64)
                          for seed in (1, 2)]
                 lists = pa.ListArray.from_arrays(
@@ -241,9 +248,12 @@ def _nodes(docs: DataFrame, similarity: float) -> DataFrame:
                     pa.array(made.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low).take(pa.array(some)),
-                     pa.array(texts[0]), pa.array(texts[1]), lists], ["doc", "h1", "h2", "sketches"])
+                     pa.array(texts[0]), pa.array(texts[1]), lists, pa.array(counts[some], pa.int32()),
+                     pa.array([bag.tobytes() for bag in bags], pa.binary())],
+                    ["doc", "h1", "h2", "sketches", "words", "bag"])
 
-    return docs.select("doc", "text").mapInArrow(sketch, "doc long, h1 long, h2 long, sketches array<long>")
+    return docs.select("doc", "text").mapInArrow(
+        sketch, "doc long, h1 long, h2 long, sketches array<long>, words int, bag binary")
 
 
 @lru_cache(maxsize=32)  # the pairs of a hot text follow each other
@@ -269,9 +279,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def _with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        return rows.withColumn("class", F.col("node"))
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop(
         "component")
 
@@ -287,65 +295,124 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     return stage(rows.join(sizes, "key"), "buckets")
 
 
+def partners(block: dict[str, np.ndarray], similarity: float, closest: int | None
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in a block whose nodes are of different classes and can be alike by their
+    numbers of words and their bags; for each place all of them, or the `closest` ones.
+
+    `part` is 0 or 1; if both occur, only pairs of one and the other count. An edit moves one word,
+    so the words that one bag has more than the other are at most as many as the edits.
+    """
+    words, kind, part = block["words"], block["class"], block["part"]
+    bags = block["bag"].astype(np.int16)
+    most = edits(words, similarity)
+    apart = part.any() and not part.all()
+    ones, others = [], []
+    for at in range(len(words)):
+        rest = np.arange(at + 1, len(words)) if closest is None else np.arange(len(words))
+        rest = rest[kind[rest] != kind[at]]
+        if apart:
+            rest = rest[part[rest] != part[at]]
+        allowed = np.maximum(most[rest], most[at])
+        good = np.abs(words[rest] - words[at]) <= allowed
+        rest, allowed = rest[good], allowed[good]
+        if not len(rest):
+            continue
+        more = bags[rest] - bags[at]
+        bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        good = np.flatnonzero(bound <= allowed)
+        if closest is not None and len(good) > closest:
+            good = good[np.argsort((bound - allowed)[good], kind="stable")[:closest]]
+        ones.append(np.full(len(good), at))
+        others.append(rest[good])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ones]), np.concatenate([none, *others])
+
+
+def _candidates(members: DataFrame, similarity: float, bucket: int, closest: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of the members (key, node, class, n, words, bag) of a bucket that can be
+    alike, once per block; n is the number of members of the bucket.
+
+    The members of a bucket are dealt to n / `bucket` blocks, and each two blocks meet, so that a task
+    holds two blocks at a time and every two members meet. Rows are copied once per block, not once
+    per partner.
+    """
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("int").alias("part"), "node", "class", "words", "bag")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+            held = table.slice(begin, end - begin)
+            block = {name: held[name].to_numpy().astype(np.int64) for name in ("words", "class", "part")}
+            block["bag"] = np.frombuffer(b"".join(held["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+            nodes = held["node"].to_numpy()
+            one, other = partners(block, similarity, closest)
+            return np.minimum(nodes[one], nodes[other]), np.maximum(nodes[one], nodes[other])
+
+        def made(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = [pairs(table, *x) for x in zip(bounds[:-1], bounds[1:]) if x[1] > x[0] + 1]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+        left: list[pa.Table] = []
+        for batch in batches:
+            table = pa.concat_tables([*left, pa.Table.from_batches([batch])]).combine_chunks()
+            named = [table[name].to_numpy() for name in ("key", "low", "high")]
+            change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in named])) + 1
+            bounds = np.append(0, change)
+            yield from made(table, bounds)
+            left = [table.slice(int(bounds[-1]))]
+        if left:
+            yield from made(left[0], np.array([0, left[0].num_rows]))
+
+    place = ["key", "low", "high"]
+    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(doc, class) of every row of `docs` (doc, text) that has words: the smallest doc of its class.
 
-    Texts that are equal are one node. Nodes with an equal sketch share a bucket. First every member
-    is compared with the smallest one of its bucket, which joins large groups of copies with one
-    comparison per member. Then only buckets that still hold several classes matter. With at most
-    `bucket` members, those of different classes are compared all with all. With more members, but at
-    most `bucket` classes, each class is compared through its smallest member there, which is another
-    one in each of the buckets that two alike texts share. With more classes every member is compared
-    with the smallest one, and the bucket is split by a second sketch, then a third. So no bucket
-    gives its square of pairs, and none is cut off.
+    Texts that are equal are one node, and nodes with an equal key share a bucket. Every node is first
+    compared with the smallest one that any of its buckets holds, which joins large groups of copies
+    with one comparison per member. Buckets that then hold several classes are compared block by
+    block: first every member with the few of other classes that are closest by their words, then,
+    as the classes have grown, with all of other classes that can be alike. So no bucket is cut off,
+    whatever its size, and members of one class are not compared again.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the search finds texts of similarity {SIMILARITY} and more")
     rows = stage(_nodes(docs, similarity), "sketches")
-    nodes = rows.groupBy("h1", "h2").agg(F.min_by("sketches", "doc").alias("sketches"),
-                                         F.min("doc").alias("node"))
-    nodes = stage(nodes, "nodes")
-    every = nodes.select("node", F.posexplode("sketches").alias("place", "key"))
-    buckets = _bucketed(every)
-    involved = buckets.select(F.col("node").alias("doc")).distinct()
-    texts = stage(docs.select("doc", "text").join(involved, "doc", "left_semi"), "texts")
-    pairs = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    seen, links, classes = None, None, None
-    while True:
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionAll(pairs)
+    nodes = rows.groupBy("h1", "h2").agg(
+        F.min_by(F.struct("sketches", "words", "bag"), "doc").alias("of"), F.min("doc").alias("node"))
+    nodes = stage(nodes.select("h1", "h2", "node", "of.*"), "nodes")
+    buckets = _bucketed(nodes.select("node", F.explode("sketches").alias("key")))
+    involved = stage(buckets.groupBy("node").agg(F.min("leader").alias("leader")), "involved")
+    texts = stage(docs.select("doc", "text").join(
+        involved.select(F.col("node").alias("doc")), "doc", "left_semi"), "texts")
+    profiles = nodes.select("node", "words", "bag")
+    seen = stage(involved.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")),
+                 "pairs")
+    links = stage(_verified(seen, texts, similarity), "links")
+    classes = stage(components(links), "classes")
+    for closest in (CLOSEST, None):
+        known = _with_class(buckets, classes)
+        several = stage(known.groupBy("key").agg(
+            F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"),
+            "open_keys")
+        buckets = stage(buckets.join(several, "key", "left_semi"), "open_buckets")
+        members = _with_class(buckets, classes).join(profiles, "node")
+        pairs = _candidates(members, similarity, bucket, closest).distinct()
+        pairs = stage(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         found = stage(_verified(pairs, texts, similarity), "links")
-        if classes is None or not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
+        seen = seen.unionAll(pairs)
+        if not found.isEmpty():
+            links = links.unionAll(found)
             classes = stage(components(links), "classes")
-        if buckets is None:
-            break
-        known = _with_class(buckets, classes)
-        open_ = stage(known.groupBy("key").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"),
-            F.count_distinct("class").alias("classes")).filter("low <> high"), "open_keys")
-        known = stage(known.join(open_.select("key", "classes"), "key"), "open_buckets")
-        small = known.filter(F.col("n") <= bucket).select("key", "node", "class")
-        led = known.filter((F.col("n") > bucket) & (F.col("classes") <= bucket)).groupBy(
-            "key", "class").agg(F.min("node").alias("node")).select("key", "node", "class")
-        large = known.filter((F.col("n") > bucket) & (F.col("classes") > bucket))
-        members = small.unionAll(led).groupBy("key").agg(F.collect_list(F.struct("node", "class")).alias("m"))
-        pairs = members.select(F.explode(F.expr(
-            "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.class <> x.class),"
-            " y -> struct(x.node as a, y.node as b))))")).alias("p")).select("p.a", "p.b")
-        if large.isEmpty():
-            buckets = None
-            continue
-        split = large.join(nodes.select("node", "sketches"), "node").select(
-            "node", "place", "key", F.posexplode("sketches").alias("next", "other")).filter(
-            F.col("next") > F.col("place")).select(
-            "node", F.col("next").alias("place"), F.xxhash64("key", "other").alias("key"))
-        buckets = _bucketed(split)
-        pairs = pairs.unionAll(buckets.filter("node <> leader").select(
-            F.col("leader").alias("a"), F.col("node").alias("b")))
     of_text = _with_class(nodes.select("h1", "h2", "node"), classes).select("h1", "h2", "class")
     return rows.select("doc", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc", "class")
 

@@ -357,6 +357,25 @@ def test_near_pairs_just_over_the_threshold(spark):
     assert len(set(found.values())) == len(rows) - sum(got)
 
 
+def test_near_classes_linked_by_members_that_are_not_the_smallest(spark):
+    """Two classes in the same large buckets, linked by their last members only."""
+    base = [f"w{k}" for k in range(200)]
+
+    def changed(text, places, tag):
+        return [f"{tag}{k}" if k in places else w for k, w in enumerate(text)]
+
+    last = [base, changed(base, range(40), "b")]
+    rows = []
+    for side, text in enumerate(last):
+        near_edge = changed(text, range(5, 35), f"c{side}")
+        rows += [changed(near_edge, range(40 + 10 * k, 50 + 10 * k), f"d{side}{copy}")
+                 for k in range(15) for copy in range(2 - side)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(rows + last)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "two_classes")
+    assert set(brute_classes(rows).values()) == {0}
+    assert {r.class_id for r in near.marked(docs).collect()} == {0}
+
+
 def test_near_duplicates_on_awkward_rows(awkward, empty):
     rows = near.marked(awkward).collect()
     assert len(rows) == 12
