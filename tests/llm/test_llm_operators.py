@@ -376,6 +376,21 @@ def test_near_classes_linked_by_members_that_are_not_the_smallest(spark):
     assert {r.class_id for r in near.marked(docs).collect()} == {0}
 
 
+def test_near_pairs_that_meet_only_in_large_buckets(spark):
+    """Pairs whose common k-mers all lie in a passage that many other texts have too."""
+    draw = np.random.default_rng(13)
+    passage = [f"p{k}" for k in range(120)]
+    rows = []
+    for _ in range(100):
+        own = [f"o{k}" for k in draw.integers(0, 1 << 40, 80)]
+        other = [f"e{draw.integers(0, 1 << 40)}" if k % 2 else w for k, w in enumerate(own)]
+        rows += [" ".join(passage + own), " ".join(passage + other)]
+    rows = list(enumerate(rows))
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "common_passage")
+    found = {r.doc_id: r.class_id for r in near.marked(docs).collect()}
+    assert found == {k: k - k % 2 for k in found}
+
+
 def test_near_duplicates_on_awkward_rows(awkward, empty):
     rows = near.marked(awkward).collect()
     assert len(rows) == 12
