@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -13,6 +13,11 @@ from taskspan.sources.stage import stage
 _PARTITION_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
 
 
+def parts_of(spark: SparkSession) -> int:
+    """Ranges that a table is dealt into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ranked(table: DataFrame, order: Sequence[Column], within: Sequence[str] = (),
            name: str = "rank") -> DataFrame:
     """`table` with the place (from 0) of each row within its group, as a stored table.
@@ -25,8 +30,7 @@ def ranked(table: DataFrame, order: Sequence[Column], within: Sequence[str] = ()
     rows that tie in `order` are told apart by their place in the files. Rows that tie and are equal
     in all other columns are interchangeable, so the result is the same however they are placed.
     """
-    spark = table.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = parts_of(table.sparkSession)
     keyed = table.withColumn("_row", F.monotonically_increasing_id())
     keys = [*(F.col(c) for c in within), *order, F.col("_row")]
     placed = stage(

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskspan.llm import archives, decontaminate, mixing, near, oracles, pii, quality, repeats, sharding, toxicity, vectors
+from taskspan.llm import (
+    archives, decontaminate, mixing, near, oracles, packing, pii, quality, repeats, sharding, toxicity,
+    treap, trie, vectors)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,21 @@ def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archived(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # vocabulary files beside the library, not in it
+
+    return packing.encoded(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_linked_vectors": op1_linked_vectors,
     "op2_quality": op2_quality,
@@ -76,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ring_shards": op9_ring_shards,
     "op10_archives": op10_archives,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_token_ids": op12_token_ids,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
