@@ -104,9 +104,74 @@ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component
 from part left join degree using (vec_id)
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED_SEARCH = f"""
+with doc as (select row_number() over () as r, doc_id, {_TERMS} as w from documents),
+size as (select r, doc_id, len(w) as n from doc where len(w) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as terms from size),
+asked as (
+  select distinct i, item_id, unnest(w) as term
+  from (select row_number() over () as i, item_id, {_TERMS} as w from benchmark)),
+post as (
+  select r, term, count(*) as tf from (select r, unnest(w) as term from doc)
+  where term in (select term from asked) group by r, term),
+weight as (
+  select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * count(*) + 1))) as bigint) as w
+  from post, total group by term, docs),
+scored as (
+  select i, item_id, r, doc_id, cast(sum(
+    w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) as bigint) as score
+  from asked join post using (term) join weight using (term) join size using (r), total
+  group by i, item_id, r, doc_id)
+select item_id, cast(place as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as place
+      from scored where score > 0)
+where place <= 50
+"""
+
+# crc32 of an ASCII text, a bit at a time: each byte is followed by seven zeros
+_CRC = """xor(list_reduce(list_concat([cast(4294967295 as bigint)], flatten(list_transform(
+    string_split(cast(conv_id as varchar), ''), lambda c: [cast(ascii(c) as bigint), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"""
+
+PREFIX_TRIE = f"""
+with own as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id),
+head as (select conv_id, turns, cast({_CRC} % 9 as bigint) as h from own),
+conv as (
+  select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns
+  from head c left join own b on b.conv_id = c.conv_id - c.conv_id % 5),
+prefix as (
+  select conv_id, d, turns[1:d] as node, len(turns) = d as ends
+  from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from conv)),
+node as (
+  select node, d, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from prefix group by node, d),
+kids as (select node[1:d - 1] as node, count(*) as n_children from node where d > 0 group by 1),
+sums as (
+  select above as node, cast(sum(leaf) as bigint) as n_leaves, cast(sum(saved) as bigint) as saved_tokens
+  from (
+    select unnest(list_transform(range(0, d + 1), lambda k: n.node[1:k])) as above,
+      case when n_children is null then 1 else 0 end as leaf,
+      case when d > 0 then (n_convs - 1) * octet_length(encode(n.node[d].text)) else 0 end as saved
+    from node n left join kids k on n.node = k.node)
+  group by above)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs,
+  coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, n.ends_sha256
+from node n left join node p on n.d > 0 and p.d = n.d - 1 and p.node = n.node[1:n.d - 1]
+left join kids k on k.node = n.node join sums s on s.node = n.node
+"""
+
 ORACLES = {
     "op1_linked_vectors": LINKED_VECTORS,
     "op3_decontaminate": DECONTAMINATE,
     "op4_mix_sources": MIX,
     "op10_archives": ARCHIVES,
+    "op11_ranked_search": RANKED_SEARCH,
+    "op13_prefix_trie": PREFIX_TRIE,
 }
