@@ -37,7 +37,7 @@ BLOCK_BITS = 12  # 4,096 ids of a block
 RECORD_IDS = 1 << 18  # a record is closed once it holds so many ids
 FILE_RECORDS = 32
 BATCH_BYTES = 1 << 23  # text that is encoded together
-KNOWN = 1 << 19  # pieces of text a task remembers the ids of, then it starts anew
+KNOWN = 1 << 18  # pieces of text a worker remembers the ids of, and as many that it met before
 ROW = 512  # pieces that are encoded in a row
 _HEAD = struct.Struct("<4sBBHQIIQQ")
 
@@ -148,14 +148,6 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cuts, np.searchsorted(cuts, offsets)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class Encoder:
     """Ids of whole texts; a piece that repeats is encoded once per batch, many only once.
 
@@ -164,7 +156,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.model = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
         size = max(self.model.get_vocab_size(with_added_tokens=True), END + 1)
         self.bits = width_of(size)
         special = {k for k, v in self.model.get_added_tokens_decoder().items()}
@@ -172,25 +167,35 @@ class Encoder:
         for token, k in self.model.get_vocab(with_added_tokens=True).items():
             self.bytes[k] = len(token.encode() if k in special else token)  # a letter per byte
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, texts: list[bytes]) -> None:
-        """Encode pieces that are not known."""
-        regular, single = [], []
-        for t in texts:
-            good = len(t) > 2 and t[0] == 0x20 and _AFTER[t[1]] and (
-                _PLAIN[t[-1]] or (t[-1] >= 0x80 and 0xC3 <= t[-2] < 0xE0))
-            (regular if good else single).append(t)
-        self.known.update(zip(single, self._ids([t.decode() for t in single])))
+    def _fresh(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of pieces that are not known."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        end = np.cumsum(size)
+        good = size > 2
+        at, last = np.where(good, end - size, 0), np.where(good, end - 1, 2)
+        wide = (data[last] >= 0x80) & (data[last - 1] >= 0xC3) & (data[last - 1] < 0xE0) if len(data) > 2 else False
+        if len(data) > 2:
+            good &= (data[at] == 0x20) & _AFTER[data[at + 1]] & (_PLAIN[data[last]] | wide)
+        found = [b""] * len(texts)
+        alone = np.flatnonzero(~good).tolist()
+        for k, ids in zip(alone, self._ids([texts[k].decode() for k in alone])):
+            found[k] = ids
+        regular = np.flatnonzero(good)
         rows = [regular[at:at + ROW] for at in range(0, len(regular), ROW)]
-        for row, ids in zip(rows, self._ids([b"".join(r).decode() for r in rows])):
-            ends = np.cumsum([len(t) for t in row])
+        lists = [[texts[k] for k in row.tolist()] for row in rows]
+        for row, ids in zip(rows, self._ids([b"".join(x).decode() for x in lists])):
             reached = np.cumsum(self.bytes[np.frombuffer(ids, "<u4")])
-            at = [0, *((np.searchsorted(reached, ends) + 1) * 4).tolist()]
-            self.known.update(zip(row, (ids[a:b] for a, b in zip(at[:-1], at[1:]))))
+            at = [0, *((np.searchsorted(reached, np.cumsum(size[row])) + 1) * 4).tolist()]
+            for k, a, b in zip(row.tolist(), at[:-1], at[1:]):
+                found[k] = ids[a:b]
+        return found
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each row, END at its end."""
@@ -198,12 +203,20 @@ class Encoder:
         words = pa.Array.from_buffers(
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         coded = words.dictionary_encode()
-        texts = coded.dictionary.to_pylist()
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        self._fresh([t for t in texts if t not in self.known])
-        found = [self.known[t] for t in texts]
-        sizes = np.array([len(x) for x in found], np.int64) // 4
+        texts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > KNOWN:  # what is met again moves on, the rest is forgotten
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, texts))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        named = [texts[k] for k in new]
+        ids = list(map(self.older.get, named))
+        fresh = [k for k, x in enumerate(ids) if x is None]
+        for k, x in zip(fresh, self._fresh([named[k] for k in fresh])):
+            ids[k] = x
+        for k, x in zip(new, ids):
+            found[k] = x
+        self.known.update(zip(named, ids))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         begin = np.append(0, np.cumsum(sizes))
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -215,6 +228,11 @@ class Encoder:
         return [np.concatenate([ids[a:b], end]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
+@lru_cache(maxsize=1)  # the tasks of a worker share what it knows
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, record_ids: int = RECORD_IDS,
               block_bits: int = BLOCK_BITS, file_records: int = FILE_RECORDS) -> None:
     """Encode every row of `docs` (doc_id, text) and write the ids under `folder`, by doc_id.
@@ -231,7 +249,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, record_ids: int = RE
     dealt = rows.repartitionByRange(parts, *order, "row").sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         names: list[int | None] = []
         held: list[np.ndarray] = []
         size = number = 0
