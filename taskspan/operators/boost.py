@@ -1,25 +1,28 @@
 """Quantile regression by boosted decision trees.
 
 The predictors are categories and the label is whole days, so the training rows are first summed up
-into weighted distinct rows; every round then runs over those. A round fits MLlib's decision tree to
-the gradient of the quantile loss and sets each leaf to the quantile of its residuals.
+into weighted distinct rows. Every round grows a tree leaf by leaf on the gradient of the quantile
+loss (`trees`) and sets each leaf to the exact quantile of its residuals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel,
-)
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taskspan.functions.numbers import round_half_even
+from taskspan.operators import trees
+from taskspan.operators.dictionary import (
+    category_counts, category_dictionary, dictionary_sizes, encode,
+)
 from taskspan.operators.stats import interval_stats
 from taskspan.schema import DAYS, FEATURES
 from taskspan.sources.stage import stage
@@ -27,96 +30,86 @@ from taskspan.sources.stage import stage
 QUANTILE = 0.75
 ROUNDS = 300
 RATE = 0.1
-SEED = 40
-MAX_DEPTH = 7
+LEAVES = 128
+MAX_DEPTH = 12
 MIN_LEAF = 20
-_STORE_EVERY = 10
-_TASK_ROWS = 50_000  # weighted rows that a task of their own is worth
-
-
-def encode_categories(train: DataFrame, features: Sequence[str] = FEATURES) -> PipelineModel:
-    """Category indexes learnt from the training rows; unseen and missing values share one index."""
-    indexed = [f"{name}_index" for name in features]
-    indexer = StringIndexer(
-        inputCols=list(features), outputCols=indexed, handleInvalid="keep",
-        stringOrderType="frequencyDesc",
-    ).fit(train)
-    return PipelineModel([indexer, VectorAssembler(inputCols=indexed, outputCol="features")])
+_STORE_EVERY = 25
 
 
 def unseen_categories(train: DataFrame, test: DataFrame,
                       features: Sequence[str] = FEATURES) -> DataFrame:
     """Test rows per feature and category that the training rows lack."""
-    def categories(df: DataFrame) -> DataFrame:
-        pairs = F.explode(F.array(*(
-            F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("category"))
-            for name in features
-        )))
-        return df.select(pairs.alias("pair")).groupBy("pair.feature", "pair.category").agg(
-            F.count(F.lit(1)).alias("rows"))
-
-    return categories(test).join(
-        categories(train).drop("rows"), ["feature", "category"], "left_anti")
+    return category_counts(test, features).join(
+        category_counts(train, features).drop("rows"), ["feature", "category"], "left_anti")
 
 
 @dataclass
 class QuantileBoost:
-    """A fitted model: category encoder, starting value and one (tree, leaf values) per round.
+    """A fitted model: stored category dictionary, starting value and one tree per round.
 
     `settings` has what the model was fitted with.
     """
 
-    encoder: PipelineModel
+    dictionary: DataFrame
+    features: Sequence[str]
     base: float
     rate: float
     alpha: float
-    rounds: list[tuple[DecisionTreeRegressionModel, list[float]]] = field(default_factory=list)
+    rounds: list[trees.Tree] = field(default_factory=list)
     settings: dict[str, float] = field(default_factory=dict)
 
     def leaf_table(self, spark: SparkSession) -> DataFrame:
-        """Leaf values as rows."""
-        rows = [(i, leaf, value) for i, (_, values) in enumerate(self.rounds)
-                for leaf, value in enumerate(values)]
+        """Leaf values as rows; leaves are numbered like the nodes of their tree."""
+        rows = [(i, leaf, float(value)) for i, tree in enumerate(self.rounds)
+                for leaf, value in sorted(tree.values.items())]
         return spark.createDataFrame(rows, "round int, leaf int, value double")
 
+    def split_table(self, spark: SparkSession) -> DataFrame:
+        """The cuts as rows; `left_codes` has a bit per code of the feature."""
+        rows = [(i, node, s.feature, np.packbits(s.left).tobytes(), len(s.left), s.low, s.high)
+                for i, tree in enumerate(self.rounds) for node, s in sorted(tree.splits.items())]
+        return spark.createDataFrame(
+            rows, "round int, node int, feature int, left_codes binary, codes int, low int, high int")
+
     def predict(self, df: DataFrame, name: str = "Prediction") -> DataFrame:
         """Add the prediction.
 
         Every distinct combination of categories is scored once, by all trees in one pass, and the
-        scores are joined back to the rows.
+        scores are joined back to the rows. The broadcast model is as bounded as its settings.
         """
         if not self.rounds:
             return df.withColumn(name, F.lit(self.base))
-        features = self.encoder.stages[0].getInputCols()
-        forest = _forest(df.sparkSession, [tree for tree, _ in self.rounds])
-        forest.setLeafCol("_leaves").setPredictionCol("_sum")
+        features, base, rate = list(self.features), self.base, self.rate
+        sizes = dictionary_sizes(self.dictionary, features)
+        forest = df.sparkSession.sparkContext.broadcast(self.rounds)
         combinations = df.select(*features).distinct()
-        leaves = forest.transform(self.encoder.transform(combinations)).select(
-            *(F.col(c).alias(f"_of_{c}") for c in features),
-            vector_to_array("_leaves").alias("_leaves"), self._values(df.sparkSession).alias("_values"))
-        score = F.aggregate(
-            F.sequence(F.lit(0), F.lit(len(self.rounds) - 1)), F.lit(self.base),
-            lambda total, i: total + F.lit(self.rate) * F.get(
-                F.get("_values", i), F.get("_leaves", i).cast("int")))
-        scores = leaves.withColumn(name, score).drop("_leaves", "_values")
+        coded = encode(combinations, self.dictionary, features).select(
+            *(F.col(c).alias(f"_of_{c}") for c in features), *(f"{c}_index" for c in features))
+        kept = T.StructType([*coded.schema.fields[:len(features)], T.StructField(name, T.DoubleType())])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[len(features):]]
+                codes = np.array([np.where(c < 0, n, c) for c, n in zip(columns, sizes)], np.int32)
+                total = np.full(batch.num_rows, base)
+                for tree in forest.value:
+                    total = total + rate * tree.scores(codes)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(features)], pa.array(total)], names=kept.names)
+
+        scores = coded.mapInArrow(score, kept)
         same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in features]
         return df.join(scores, same).select(*df.columns, name)
 
-    def _values(self, spark: SparkSession) -> Column:
-        """Scalar subquery: the leaf values of all rounds, as bounded as the model."""
-        values = [[float(v) for v in values] for _, values in self.rounds]
-        return spark.createDataFrame([(values,)], "v array<array<double>>").scalar()
-
     def save(self, spark: SparkSession, path: str) -> str:
-        """Write encoder, trees and leaf values under `path`."""
-        self.encoder.write().overwrite().save(f"{path}/encoder")
-        if self.rounds:
-            trees = _forest(spark, [tree for tree, _ in self.rounds])
-            trees.write().overwrite().save(f"{path}/trees")
+        """Write dictionary, cuts and leaf values under `path`."""
+        self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
+        self.split_table(spark).write.mode("overwrite").parquet(f"{path}/splits")
         self.leaf_table(spark).write.mode("overwrite").parquet(f"{path}/leaves")
         spark.createDataFrame(
-            [(self.base, self.rate, self.alpha, len(self.rounds), self.settings)],
-            "base double, rate double, alpha double, rounds int, settings map<string, double>",
+            [(self.base, self.rate, self.alpha, len(self.rounds), list(self.features), self.settings)],
+            "base double, rate double, alpha double, rounds int, features array<string>, "
+            "settings map<string, double>",
         ).write.mode("overwrite").parquet(f"{path}/settings")
         return path
 
@@ -124,29 +117,15 @@ class QuantileBoost:
     def load(cls, spark: SparkSession, path: str) -> "QuantileBoost":
         """Read a saved model."""
         settings = spark.read.parquet(f"{path}/settings").first()
-        values: dict[int, list[float]] = {}
-        leaves = spark.read.parquet(f"{path}/leaves").orderBy("round", "leaf").collect()
-        for row in leaves:  # the model itself: at most 2 ** depth values per round
-            values.setdefault(row["round"], []).append(row["value"])
-        trees = GBTRegressionModel.load(f"{path}/trees").trees if settings["rounds"] else []
-        return cls(PipelineModel.load(f"{path}/encoder"), settings["base"], settings["rate"],
-                   settings["alpha"], [(tree, values[i]) for i, tree in enumerate(trees)],
-                   settings["settings"])
-
-
-def _forest(spark: SparkSession, trees: list[DecisionTreeRegressionModel]) -> GBTRegressionModel:
-    """The trees as one model, which finds all leaves of a row in one pass and is saved as one table."""
-    context, ml = spark.sparkContext, spark._jvm.org.apache.spark.ml.regression
-    rows = context._gateway.new_array(ml.DecisionTreeRegressionModel, len(trees))
-    weights = context._gateway.new_array(spark._jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        rows[i], weights[i] = tree._java_obj, 1.0
-    uid = f"quantile_boost_{trees[0].uid}"
-    return GBTRegressionModel(ml.GBTRegressionModel(uid, rows, weights, trees[0].numFeatures))
-
-
-def _leaf_value(values: list[float]) -> Column:
-    return F.get(F.array(*(F.lit(v) for v in values)), F.col("_leaf").cast("int"))
+        rounds = [trees.Tree() for _ in range(settings["rounds"])]
+        for row in spark.read.parquet(f"{path}/splits").collect():  # the model itself
+            bits = np.unpackbits(np.frombuffer(row["left_codes"], np.uint8), count=row["codes"])
+            rounds[row["round"]].splits[row["node"]] = trees.Split(
+                row["feature"], bits.astype(bool), row["low"], row["high"])
+        for row in spark.read.parquet(f"{path}/leaves").collect():
+            rounds[row["round"]].values[row["leaf"]] = row["value"]
+        return cls(spark.read.parquet(f"{path}/dictionary"), settings["features"], settings["base"],
+                   settings["rate"], settings["alpha"], rounds, settings["settings"])
 
 
 def start_value(train: DataFrame, *, label: str = DAYS, alpha: float = QUANTILE) -> float:
@@ -175,55 +154,59 @@ def leaf_quantiles(rows: DataFrame, *, leaf: str, residual: Column, weight: Colu
 
 def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES, label: str = DAYS,
                        alpha: float = QUANTILE, rounds: int = ROUNDS, rate: float = RATE,
-                       max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF, seed: int = SEED,
-                       decimals: int | None = None) -> QuantileBoost:
-    """Fit the model. A depth of 7 allows 128 leaves; `min_leaf` is in training rows.
+                       leaves: int = LEAVES, max_depth: int = MAX_DEPTH,
+                       min_leaf: int = MIN_LEAF, task_rows: int = trees.TASK_ROWS) -> QuantileBoost:
+    """Fit the model; `min_leaf` is in training rows.
 
-    Leaf quantiles are exact; `decimals` takes them of residuals rounded to a grid instead, which
-    bounds their number where combinations of categories are many.
+    There is a task per `task_rows` cells. Every so many rounds the cells are written to the shared
+    folder with their scores, so a lost executor costs no more than these. The model does not depend
+    on the number of tasks.
     """
-    encoder = encode_categories(train, features)
-    indexer, assembler = encoder.stages
-    indexed = indexer.getOutputCols()
-    weighted = indexer.transform(train).groupBy(*indexed, label).agg(
-        F.count(F.lit(1)).cast("long").alias("weight"))
-    rows = stage(assembler.transform(weighted).select("features", label, "weight"), "boost-rows")
-    total = rows.agg(F.sum("weight")).first()[0]
+    dictionary = category_dictionary(train, features)
+    sizes = dictionary_sizes(dictionary, features)
     base = start_value(train, label=label, alpha=alpha)
-    learner = DecisionTreeRegressor(
-        featuresCol="features", labelCol="_gradient", weightCol="weight", leafCol="_leaf",
-        predictionCol="_tree", maxDepth=max_depth, seed=seed,
-        minWeightFractionPerNode=min(min_leaf / total, 0.49),
-        maxBins=max(len(labels) + 2 for labels in indexer.labelsArray),
-    )
-    model = QuantileBoost(encoder, base, rate, alpha, settings={
-        "alpha": float(alpha), "rounds": float(rounds), "rate": float(rate),
-        "max_depth": float(max_depth), "min_leaf": float(min_leaf), "seed": float(seed),
-        "decimals": -1.0 if decimals is None else float(decimals)})
-    y, score = F.col(label), F.col("_score")
-    rows = rows.coalesce(1 + rows.count() // _TASK_ROWS).withColumn("_score", F.lit(base))
-    placed: DataFrame | None = None
-    for i in range(1, rounds + 1):
-        tree = learner.fit(rows.withColumn("_gradient", gradient(y, score, alpha)))
-        before, placed = placed, tree.transform(rows).select(
-            "features", label, "weight", "_score", "_leaf").persist()
-        quantiles = leaf_quantiles(
-            placed, leaf="_leaf", residual=y - score, weight=F.col("weight"), alpha=alpha,
-            decimals=decimals).collect()  # one row per leaf
-        if before is not None:
-            before.unpersist()
-        values = [0.0] * ((tree.numNodes + 1) // 2)
-        for row in quantiles:
-            values[int(row["_leaf"])] = row["value"]
-        model.rounds.append((tree, values))
-        rows = placed.withColumn("_score", score + F.lit(rate) * _leaf_value(values)).drop("_leaf")
-        if i % _STORE_EVERY == 0 and i < rounds:
-            rows = stage(rows, "boost-rows")
-    if placed is not None:
-        placed.unpersist()
+    model = QuantileBoost(dictionary, tuple(features), base, rate, alpha, settings={
+        "alpha": float(alpha), "rounds": float(rounds), "rate": float(rate), "leaves": float(leaves),
+        "max_depth": float(max_depth), "min_leaf": float(min_leaf)})
+    weighted = stage(train.groupBy(*features, label).agg(F.count(F.lit(1)).alias("_weight")), "distinct-rows")
+    cells = stage(encode(weighted, dictionary, features).select(
+        *(f"{c}_index" for c in features), label, "_weight", F.lit(base).alias("_score")), "cells")
+    tasks = 1 + cells.count() // task_rows
+    blocks = trees.unpacked(stage(trees.packed(cells.coalesce(tasks), sizes), "blocks"), len(sizes))
+    options = {"alpha": alpha, "leaves": leaves, "max_depth": max_depth, "min_leaf": min_leaf}
+    while len(model.rounds) < rounds:
+        ahead = min(_STORE_EVERY, rounds - len(model.rounds))
+        if tasks == 1:
+            grown = blocks.coalesce(1).mapPartitions(
+                lambda part, n=ahead: trees.fitted_in_a_row(part, sizes, n, rate, **options)).collect()
+        else:
+            grown = _spread_rounds(blocks, sizes, ahead, rate, options)
+        model.rounds += grown
+        if len(model.rounds) < rounds:
+            scored = blocks.map(lambda block, grown=grown: trees.as_row(reduce(
+                lambda b, tree: trees.with_scores(b, tree, rate), grown, block)))
+            rows = train.sparkSession.createDataFrame(scored, trees.PACKED)
+            blocks = trees.unpacked(stage(rows, "blocks"), len(sizes))
     return model
 
 
+def _spread_rounds(blocks: RDD, sizes: Sequence[int], rounds: int, rate: float, options: dict
+                   ) -> list[trees.Tree]:
+    """Rounds over blocks on many executors, which keep them, with their scores, between the jobs."""
+    grown, before = [], None
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    for _ in range(rounds):
+        tree = trees.fitted(trees.Spread(blocks), sizes, **options)
+        if before is not None:  # the blocks no longer need what they are made from
+            before.unpersist()
+        grown.append(tree)
+        before, blocks = blocks, blocks.map(
+            lambda block, tree=tree: trees.with_scores(block, tree, rate)).persist(StorageLevel.MEMORY_AND_DISK)
+    for held in (before, blocks):
+        held.unpersist()
+    return grown
+
+
 def round_scores(scored: DataFrame, name: str = "Prediction") -> DataFrame:
     """Predictions as whole days, halves to the even neighbour."""
     return scored.withColumn(name, round_half_even(F.col(name)))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskspan.functions import numbers, text
-from taskspan.operators import boost, categories, clean, configs, extract, metrics, outliers
-from taskspan.operators import rework, stats
+from taskspan.operators import boost, categories, clean, configs, dictionary, extract, metrics
+from taskspan.operators import outliers, rework, stats
 from taskspan.plans import prepare
 from taskspan.schema import DAYS, FEATURES, TASK_COLUMNS, TASK_IDS
 from taskspan.sources import mapping
@@ -494,9 +494,8 @@ def test_features(source):
 @query
 def category_index(source):
     train = stage(_train(source), "train")
-    indexer = boost.encode_categories(train).stages[0]
-    return indexer.transform(train).select(
-        "orderID", "subIntID", *(F.col(f"{c}_index").cast("int") for c in FEATURES))
+    return dictionary.encode(train, dictionary.category_dictionary(train, FEATURES), FEATURES).select(
+        "orderID", "subIntID", *(f"{c}_index" for c in FEATURES))
 
 
 @query

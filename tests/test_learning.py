@@ -1,9 +1,12 @@
 import random
+from dataclasses import replace
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskspan.operators import boost, configs, metrics
+from taskspan.operators import boost, configs, dictionary, metrics, trees
 from taskspan.schema import CONFIG_KEYS, DAYS, FEATURES
 from taskspan.sources.stage import stage, stage_path
 
@@ -47,8 +50,7 @@ def test_boosting_beats_the_constant_and_improves(model, train):
     actual = train.withColumnRenamed(DAYS, "Actual")
     losses = []
     for rounds in (0, 2, 8):
-        part = boost.QuantileBoost(
-            model.encoder, model.base, model.rate, model.alpha, model.rounds[:rounds])
+        part = replace(model, rounds=model.rounds[:rounds])
         losses.append(loss(part.predict(actual)))
     assert losses[0] > losses[1] > losses[2] and losses[2] < 0.6 * losses[0]
 
@@ -82,26 +84,131 @@ def test_runs_with_different_settings_share_a_table(spark, model, test_rows):
             boost.run_record(settings, metrics.eval_metrics(scored), "somewhere"), path)
     found = [r["settings"] for r in runs.orderBy("logged_at").collect()]
     assert found == [model.settings, {"alpha": 0.5, "other": 1.0}]
-    assert {"rounds", "rate", "max_depth", "min_leaf", "seed"} <= set(model.settings)
+    assert {"rounds", "rate", "max_depth", "min_leaf", "leaves"} <= set(model.settings)
     assert {"rmse", "mae", "r2", "median_ae", "model_path"} <= set(runs.columns)
 
 
 def test_scoring_reads_the_rows_once_and_stores_none(spark, model, test_rows, monkeypatch):
     monkeypatch.setattr(boost, "stage", lambda df, name: pytest.fail("a stage was written"))
-    many = boost.QuantileBoost(
-        model.encoder, model.base, model.rate, model.alpha, model.rounds * 40)
+    many = replace(model, rounds=model.rounds * 40)
     scored = many.predict(test_rows)
     assert scored.count() == test_rows.count() and scored.columns == [*test_rows.columns, "Prediction"]
 
 
-def test_one_pass_over_the_trees_equals_tree_after_tree(model, test_rows):
-    rows = model.encoder.transform(test_rows).withColumn("score", F.lit(model.base))
-    for tree, values in model.rounds:
-        rows = tree.transform(rows).withColumn(
-            "score", F.col("score") + F.lit(model.rate) * boost._leaf_value(values)).drop(
-            "_leaf", "_tree")
-    want = rows.select("orderID", F.col("score").alias("Prediction"))
-    assert want.exceptAll(model.predict(test_rows).select("orderID", "Prediction")).isEmpty()
+def walked(model, row):
+    """The prediction for one row by following every tree from its root."""
+    codes = {(r["feature"], r["category"]): r["code"] for r in model.dictionary.collect()}
+    score = model.base
+    for tree in model.rounds:
+        node = 0
+        while node in tree.splits:
+            split = tree.splits[node]
+            name = model.features[split.feature]
+            code = codes.get((name, str(row[name])), len(split.left) - 1)
+            node = split.low if split.left[code] else split.high
+        score += model.rate * tree.values[node]
+    return score
+
+
+def test_scores_are_those_of_the_trees_followed_row_by_row(model, test_rows):
+    for row in model.predict(test_rows.limit(60)).collect():
+        assert row["Prediction"] == walked(model, row)
+
+
+def blocks_of(draw, rows, sizes, parts=1):
+    out = []
+    for _ in range(parts):
+        codes = np.array([draw.integers(0, n + 1, rows) for n in sizes], np.int32)
+        actual = (codes[0] * 3 + codes[1] % 2 * 5 + draw.integers(0, 9, rows)).astype(float)
+        out.append(trees.Block(codes, actual, draw.integers(1, 5, rows), np.full(rows, 9.0)))
+    return out
+
+
+def test_the_first_cut_is_the_best_of_all_subsets():
+    """Every feature, every set of its categories, by brute force."""
+    sizes, draw = [4, 6, 3], np.random.default_rng(3)
+    for _ in range(5):
+        (block,) = blocks_of(draw, 120, sizes)
+        gradient = np.where(block.actual > block.score, 0.75, -0.25) * block.weight
+
+        def gain(inside):
+            out = 0.0
+            for some in (inside, ~inside):
+                if block.weight[some].sum() < 10:
+                    return -1.0
+                out += gradient[some].sum() ** 2 / block.weight[some].sum()
+            return out - gradient.sum() ** 2 / block.weight.sum()
+
+        best = max(gain(np.isin(block.codes[f], left)) for f, n in enumerate(sizes)
+                   for k in range(1, n + 1) for left in combinations(range(n + 1), k))
+        tree = trees.grow(trees.Held([block]), sizes, alpha=0.75, leaves=2, max_depth=12, min_leaf=10)
+        split = tree.splits[0]
+        assert gain(split.left[block.codes[split.feature]]) == pytest.approx(best)
+
+
+def test_leaves_depth_and_rows_of_a_leaf_are_bounded():
+    sizes, draw = [9, 30, 7], np.random.default_rng(4)
+    (block,) = blocks_of(draw, 4_000, sizes)
+    for leaves, depth, least in ((128, 12, 5), (40, 3, 5), (128, 12, 900)):
+        tree = trees.grow(trees.Held([block]), sizes, alpha=0.75, leaves=leaves, max_depth=depth, min_leaf=least)
+        level = {0: 0}
+        for node in sorted(tree.splits):
+            level[tree.splits[node].low] = level[tree.splits[node].high] = level[node] + 1
+        rows = np.bincount(tree.leaves(block.codes), block.weight)
+        assert len(tree.splits) + 1 <= leaves and max(level.values()) <= depth
+        assert rows[rows > 0].min() >= least
+    assert len(tree.splits) > 0
+
+
+def test_any_number_of_tasks_gives_the_same_model(train):
+    one = boost.fit_quantile_boost(train, rounds=3, leaves=12)
+    many = boost.fit_quantile_boost(train, rounds=3, leaves=12, task_rows=200)
+    assert [t.values for t in one.rounds] == [t.values for t in many.rounds]
+    assert [[(n, s.feature, s.left.tolist()) for n, s in sorted(t.splits.items())] for t in one.rounds] == [
+        [(n, s.feature, s.left.tolist()) for n, s in sorted(t.splits.items())] for t in many.rounds]
+
+
+@pytest.mark.parametrize("kept", [8, 512])
+@pytest.mark.parametrize("alpha", [0.5, 0.75, 0.99])
+def test_quantiles_of_all_leaves_at_once(kept, alpha):
+    """One leaf has nine of ten rows, all of distinct residuals; tasks report few of them."""
+    draw = np.random.default_rng(5)
+    tree = trees.Tree({0: trees.Split(0, np.array([True, False, False]), 1, 2),
+                       2: trees.Split(0, np.array([False, True, False]), 3, 4)})
+    parts = []
+    for _ in range(3):
+        code = np.where(draw.random(2_000) < 0.9, 0, 1).astype(np.int32)
+        parts.append(trees.Block(code[None, :], draw.normal(size=2_000), draw.integers(1, 4, 2_000),
+                                 np.zeros(2_000)))
+
+    class Tasks(trees.Held):
+        def residuals(self, *asked):
+            return [r for b in self.blocks for r in trees._residuals([b], *asked)]
+
+    got = trees.leaf_values(Tasks(parts), tree, alpha, kept)
+    code, value, weight = (np.concatenate(x) for x in zip(*((b.codes[0], b.actual, b.weight) for b in parts)))
+    for leaf, which in ((1, 0), (3, 1)):
+        rows = np.repeat(value[code == which], weight[code == which])
+        assert got[leaf] == pytest.approx(np.quantile(rows, alpha), abs=1e-12)
+    assert got[4] == 0.0 and set(got) == {1, 3, 4}
+
+
+def test_a_feature_of_many_categories(spark, monkeypatch):
+    """Codes are ranks by rows, then text; no label passes through the driver."""
+    many = spark.range(200_000).select(
+        F.lit("x").alias("a"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("b")).unionByName(
+        spark.createDataFrame([("y", "c7"), ("y", "c7"), ("y", "c3"), (None, None)], "a string, b string"))
+    monkeypatch.setattr(type(many), "collect", lambda self: pytest.fail("rows came to the driver"))
+    found = dictionary.category_dictionary(many, ["a", "b"])
+    monkeypatch.undo()
+    assert found.where("feature = 'b'").agg(F.count("*"), F.count_distinct("code"), F.max("code")).first()[:] == (
+        200_000, 200_000, 199_999)
+    order = [r["category"] for r in found.where("feature = 'b' and code < 6").orderBy("code").collect()]
+    assert order == ["c7", "c3", "c0", "c1", "c10", "c100"]
+    assert dictionary.dictionary_sizes(found, ["b", "a", "none"]) == [200_000, 2, 0]
+    coded = dictionary.encode(spark.createDataFrame(
+        [("x", "c7"), ("z", None), (None, "c3")], "a string, b string"), found, ["a", "b"])
+    assert sorted(tuple(r)[2:] for r in coded.collect()) == [(-1, -1), (-1, 1), (0, 0)]
 
 
 def test_missing_categories_are_scored(spark, model, test_rows):

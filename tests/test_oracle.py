@@ -5,10 +5,7 @@ from compare import difference, duck
 from conftest import SF
 
 from __spark_entry__ import entry, oracle_sql, queries
-from taskspan.operators import boost
 from taskspan.plans import queries as plans
-from taskspan.sources import mapping
-from taskspan.sources.stage import stage, stage_path
 from taskspan_oracle.sql import ORACLES
 
 ROWS_ONLY = {"quantile_boost_fit", "quantile_boost_predict", "scored_table", "run_record"}
@@ -19,18 +16,6 @@ def connection():
     return duck(SF)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def small_model(spark):
-    """A model of three rounds in place of the default one, for the queries that need some model."""
-    source = mapping.warehouse(spark, SF)
-    train = stage(plans._train(source), "train")
-    model = boost.fit_quantile_boost(train, rounds=3)
-    key = (spark.sparkContext.applicationId, source.tasks.inputFiles()[0])
-    plans._models[key] = model.save(spark, stage_path(spark, "model"))
-    yield
-    del plans._models[key]
-
-
 def test_every_query_but_the_model_has_an_oracle():
     assert set(plans.QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(plans.QUERIES)
