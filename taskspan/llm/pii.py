@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
     """The spans of the base patterns, by kind and start; offsets are code points."""
     spans = [("email", s, e) for s, e in emails(text)]
     spans += [("ip", *m.span()) for m in _IP.finditer(text)
-              if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+              if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups())]
     for m in _CARD.finditer(text):
         digits = _NO_DIGIT.sub("", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
