@@ -22,9 +22,9 @@ SIMILARITY = 0.8  # 1 - edit distance of the words / words of the longer text
 SKETCHES = 80
 SAMPLED = 2  # k-mers of one sketch, kept in text order
 EXACT = 130  # words of a text up to which the search is exact
-BUCKET = 1024  # members of a block; larger buckets are compared block by block
+BUCKET = 2048  # members of a block; larger buckets are compared block by block
 BINS = 128  # counts of the words of a text that bound the edit distance from below
-CLOSEST = 3  # partners that a member of a block has before all others are looked at
+FINE_BINS = 1024  # the same for texts that are at hand
 SEED = 29
 WORDS = tx.classes(bytes(range(1, 9)) + bytes(range(14, 32)) + bytes(range(33, 127)), high=1)
 _FIRST = np.uint64((1 << 27) - 1)  # k-mers looked at together at most
@@ -262,6 +262,34 @@ def _words(text: bytes) -> np.ndarray:
     return words_of(data, np.array([0, len(data)]))[0]
 
 
+def _bound(bags: np.ndarray, at: int, rest: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of one text and others: the words that one of the two bags
+    has more than the other. An edit moves one word."""
+    more = bags[rest] - bags[at]
+    total = more.sum(1)
+    over = (np.abs(more).sum(1) + total) // 2
+    return np.maximum(over, over - total)
+
+
+def _plausible(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that can be alike by their numbers of words and their bags, stored."""
+
+    def bags(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(k).to_numpy() for k in (2, 3)]
+            most = edits(np.maximum(*words).astype(np.int64), similarity)
+            more = bags(batch.column(4)) - bags(batch.column(5))
+            bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+            yield batch.select([0, 1]).filter(pa.array((bound <= most) & (np.abs(words[0] - words[1]) <= most)))
+
+    one, other = (profiles.toDF(x, f"words_{x}", f"bag_{x}") for x in "ab")
+    return stage(pairs.join(one, "a").join(other, "b").select(
+        "a", "b", "words_a", "words_b", "bag_a", "bag_b").mapInArrow(check, "a long, b long"), "plausible")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are alike; both texts are joined to the pair, sides that hold a
     hot text can be split."""
@@ -295,94 +323,152 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     return stage(rows.join(sizes, "key"), "buckets")
 
 
-def partners(block: dict[str, np.ndarray], similarity: float, closest: int | None
-             ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in a block whose nodes are of different classes and can be alike by their
-    numbers of words and their bags; for each place all of them, or the `closest` ones.
-
-    `part` is 0 or 1; if both occur, only pairs of one and the other count. An edit moves one word,
-    so the words that one bag has more than the other are at most as many as the edits.
-    """
-    words, kind, part = block["words"], block["class"], block["part"]
-    bags = block["bag"].astype(np.int16)
-    most = edits(words, similarity)
-    apart = part.any() and not part.all()
+def _mates(at: int, words: np.ndarray, most: np.ndarray, part: np.ndarray, kind: np.ndarray,
+           bags: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in `rest` that can be alike to the one at `at` and are of another kind, and their
+    bounds less what is allowed. `part` is 0 or 1 where two blocks meet: only the other one counts."""
+    rest = rest[(kind[rest] != kind[at]) & (part[rest] != part[at] if part.any() and not part.all() else True)]
+    allowed = np.maximum(most[rest], most[at])
+    good = np.abs(words[rest] - words[at]) <= allowed
+    rest, allowed = rest[good], allowed[good]
+    over = _bound(bags, at, rest) - allowed if len(rest) else allowed
+    return rest[over <= 0], over[over <= 0]
+
+
+def partners(block: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which places of a block have a partner: a node of another class that can be alike by the
+    numbers of words and the bags; and for each place the closest such one, or -1."""
+    words = block["words"]
+    most, bags = edits(words, similarity), block["bag"].astype(np.int16)
+    closest = np.full(len(words), -1)
+    some = np.zeros(len(words), bool)
+    everyone = np.arange(len(words))
+    for at in everyone:
+        rest, over = _mates(at, words, most, block["part"], block["class"], bags, everyone)
+        if len(rest):
+            some[at], closest[at] = True, rest[np.argmin(over)]
+    return some, closest
+
+
+def joined(words: list[np.ndarray], kind: np.ndarray, part: np.ndarray, similarity: float
+           ) -> tuple[list[int], list[int]]:
+    """Links between places of a block whose texts are alike: a forest that connects, with the kinds,
+    all that the alike pairs connect. A pair that is connected already is not compared."""
+    count = np.array([len(w) for w in words], np.int64)
+    most = edits(count, similarity)
+    bags = np.zeros((len(words), FINE_BINS), np.int16)
+    for row, own in zip(bags, words):
+        row[:] = np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % FINE_BINS, minlength=FINE_BINS),
+                            1 << 14)
+    kind = kind.copy()
     ones, others = [], []
     for at in range(len(words)):
-        rest = np.arange(at + 1, len(words)) if closest is None else np.arange(len(words))
-        rest = rest[kind[rest] != kind[at]]
-        if apart:
-            rest = rest[part[rest] != part[at]]
-        allowed = np.maximum(most[rest], most[at])
-        good = np.abs(words[rest] - words[at]) <= allowed
-        rest, allowed = rest[good], allowed[good]
-        if not len(rest):
-            continue
-        more = bags[rest] - bags[at]
-        bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-        good = np.flatnonzero(bound <= allowed)
-        if closest is not None and len(good) > closest:
-            good = good[np.argsort((bound - allowed)[good], kind="stable")[:closest]]
-        ones.append(np.full(len(good), at))
-        others.append(rest[good])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *ones]), np.concatenate([none, *others])
-
-
-def _candidates(members: DataFrame, similarity: float, bucket: int, closest: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of the members (key, node, class, n, words, bag) of a bucket that can be
-    alike, once per block; n is the number of members of the bucket.
-
-    The members of a bucket are dealt to n / `bucket` blocks, and each two blocks meet, so that a task
-    holds two blocks at a time and every two members meet. Rows are copied once per block, not once
-    per partner.
+        rest, over = _mates(at, count, most, part, kind, bags, np.arange(at + 1, len(words)))
+        for other in rest[np.argsort(over, kind="stable")].tolist():
+            if kind[other] != kind[at] and alike(words[at], words[other], similarity):
+                ones.append(at)
+                others.append(other)
+                kind[kind == kind[other]] = kind[at]
+    return ones, others
+
+
+def _blocks(members: DataFrame, bucket: int) -> DataFrame:
+    """The members (key, node, class, n, ..) of buckets once per pair of blocks they take part in.
+
+    The members of a bucket are dealt to n / `bucket` blocks, and each two blocks (`low`, `high`)
+    meet, so that a task holds two blocks at a time and every two members meet.
     """
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn(
+    return members.withColumn("blocks", blocks).withColumn(
         "own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        (F.col("own") > F.col("other")).cast("int").alias("part"), "node", "class", "words", "bag")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-            held = table.slice(begin, end - begin)
-            block = {name: held[name].to_numpy().astype(np.int64) for name in ("words", "class", "part")}
-            block["bag"] = np.frombuffer(b"".join(held["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
-            nodes = held["node"].to_numpy()
-            one, other = partners(block, similarity, closest)
-            return np.minimum(nodes[one], nodes[other]), np.maximum(nodes[one], nodes[other])
-
-        def made(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-            found = [pairs(table, *x) for x in zip(bounds[:-1], bounds[1:]) if x[1] > x[0] + 1]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
+            "low": F.least("own", "other"), "high": F.greatest("own", "other"),
+            "part": (F.col("own") > F.col("other")).cast("int")}).drop("n", "blocks", "own", "other")
+
+
+def _per_block(rows: DataFrame, look, schema: str) -> DataFrame:
+    """`look` at the rows of each (key, low, high) as one Arrow table; it returns a batch or None."""
+    place = ["key", "low", "high"]
 
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[pa.Table] = []
         for batch in batches:
-            table = pa.concat_tables([*left, pa.Table.from_batches([batch])]).combine_chunks()
-            named = [table[name].to_numpy() for name in ("key", "low", "high")]
+            if not batch.num_rows:
+                continue
+            table = pa.concat_tables([*left, pa.Table.from_batches([batch])])
+            named = [table[name].to_numpy() for name in place]
             change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in named])) + 1
             bounds = np.append(0, change)
-            yield from made(table, bounds)
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                found = look(table.slice(int(start), int(end - start))) if end > start + 1 else None
+                if found is not None:
+                    yield found
             left = [table.slice(int(bounds[-1]))]
-        if left:
-            yield from made(left[0], np.array([0, left[0].num_rows]))
+        if left and left[0].num_rows > 1:
+            found = look(left[0])
+            if found is not None:
+                yield found
 
-    place = ["key", "low", "high"]
-    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(compared, "a long, b long")
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(held, schema)
+
+
+def _profiled(table: pa.Table) -> dict[str, np.ndarray]:
+    block = {name: table[name].to_numpy().astype(np.int64) for name in ("words", "class", "part")}
+    block["bag"] = np.frombuffer(b"".join(table["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+    return block
+
+
+def _closest(members: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """(a, b), a < b: for each member and pair of blocks the closest partner, if there is one."""
+
+    def look(table: pa.Table) -> pa.RecordBatch:
+        _, other = partners(_profiled(table), similarity)
+        node = table["node"].to_numpy()
+        one = np.flatnonzero(other >= 0)
+        a, b = node[one], node[other[one]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return _per_block(_blocks(members, bucket), look, "a long, b long")
+
+
+def _linked(members: DataFrame, texts: DataFrame, similarity: float, bucket: int) -> DataFrame:
+    """(a, b): links between members of different classes, compared within their blocks.
+
+    First the members that have any partner at all are found by their bags; only these get their
+    texts. A block returns a forest, at most one link per member.
+    """
+
+    def involved(table: pa.Table) -> pa.RecordBatch:
+        some, _ = partners(_profiled(table), similarity)
+        return table.select(["key", "low", "high", "part", "class", "node"]).filter(
+            pa.array(some)).combine_chunks().to_batches(None)[0] if some.any() else None
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        texts = [x.as_buffer().to_pybytes() for x in table["text"]]
+        ends = np.append(0, np.cumsum([len(t) for t in texts]))
+        hashes, first = words_of(np.frombuffer(b"".join(texts), np.uint8), ends)
+        words = [hashes[x:y] for x, y in zip(first[:-1], first[1:])]
+        one, other = joined(words, table["class"].to_numpy(), table["part"].to_numpy(), similarity)
+        node = table["node"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[one]), pa.array(node[other])], ["a", "b"])
+
+    kinds = "key long, low int, high int, part int, class long, node long"
+    narrow = stage(_per_block(_blocks(members, bucket), involved, kinds), "involved_members")
+    side = texts.select(F.col("doc").alias("node"), F.col("text").cast("binary").alias("text"))
+    return _per_block(narrow.join(side, "node").select(*(k.split()[0] for k in kinds.split(", ")), "text"),
+                      compared, "a long, b long")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """(doc, class) of every row of `docs` (doc, text) that has words: the smallest doc of its class.
 
-    Texts that are equal are one node, and nodes with an equal key share a bucket. Every node is first
-    compared with the smallest one that any of its buckets holds, which joins large groups of copies
-    with one comparison per member. Buckets that then hold several classes are compared block by
-    block: first every member with the few of other classes that are closest by their words, then,
-    as the classes have grown, with all of other classes that can be alike. So no bucket is cut off,
-    whatever its size, and members of one class are not compared again.
+    `docs` must be a stored table. Texts that are equal are one node, and nodes with an equal key
+    share a bucket. Every node is first compared with the smallest one that any of its buckets
+    holds, which joins large groups of copies with one comparison per member, then with the closest
+    member of another class in each of its blocks. Buckets that still hold several classes are
+    compared whole, block by block: a block compares all members of different classes that can be
+    alike and returns a forest of the links it finds. So no bucket is cut off, whatever its size, and
+    no pair leaves its block unless it is a link.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the search finds texts of similarity {SIMILARITY} and more")
@@ -391,41 +477,41 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
         F.min_by(F.struct("sketches", "words", "bag"), "doc").alias("of"), F.min("doc").alias("node"))
     nodes = stage(nodes.select("h1", "h2", "node", "of.*"), "nodes")
     buckets = _bucketed(nodes.select("node", F.explode("sketches").alias("key")))
-    involved = stage(buckets.groupBy("node").agg(F.min("leader").alias("leader")), "involved")
-    texts = stage(docs.select("doc", "text").join(
-        involved.select(F.col("node").alias("doc")), "doc", "left_semi"), "texts")
     profiles = nodes.select("node", "words", "bag")
-    seen = stage(involved.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")),
-                 "pairs")
-    links = stage(_verified(seen, texts, similarity), "links")
+    seen = stage(buckets.groupBy("node").agg(F.min("leader").alias("leader")).filter("node <> leader").select(
+        F.col("leader").alias("a"), F.col("node").alias("b")), "pairs")
+    links = stage(_verified(_plausible(seen, profiles, similarity), docs, similarity), "links")
     classes = stage(components(links), "classes")
-    for closest in (CLOSEST, None):
+    for whole in (False, True):
         known = _with_class(buckets, classes)
         several = stage(known.groupBy("key").agg(
             F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"),
             "open_keys")
         buckets = stage(buckets.join(several, "key", "left_semi"), "open_buckets")
-        members = _with_class(buckets, classes).join(profiles, "node")
-        pairs = _candidates(members, similarity, bucket, closest).distinct()
-        pairs = stage(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        found = stage(_verified(pairs, texts, similarity), "links")
-        seen = seen.unionAll(pairs)
+        members = _with_class(buckets, classes).drop("leader").join(profiles, "node")
+        if whole:
+            found = _linked(members, docs, similarity, bucket)
+        else:
+            pairs = _closest(members, similarity, bucket).distinct().join(seen, ["a", "b"], "left_anti")
+            found = _verified(stage(pairs, "pairs"), docs, similarity)
+        found = stage(found, "links")
         if not found.isEmpty():
-            links = links.unionAll(found)
+            # of links found so far a tree per class is enough
+            links = classes.filter("node <> component").select(
+                F.col("component").alias("a"), F.col("node").alias("b")).unionAll(found)
             classes = stage(components(links), "classes")
     of_text = _with_class(nodes.select("h1", "h2", "node"), classes).select("h1", "h2", "class")
     return rows.select("doc", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc", "class")
 
 
-def marked(docs: DataFrame, **settings) -> DataFrame:
-    """doc (place in the table), doc_id, class_id, class_size and kept for every row of `docs`.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number per row, doc, in a stored copy: the number of a row must not change when
+    its partition is read again."""
+    return stage(docs.withColumn("doc", F.monotonically_increasing_id()), "numbered")
 
-    Rows whose texts are alike are linked, and a class is what links connect; class_id is its
-    smallest doc_id (null last), and of every class one row with that doc_id is kept. Rows without
-    words are never linked. Repeated rows are linked like other equal texts. Extra columns are left
-    out. `docs` must be read from stored tables, as rows are numbered by their place there.
-    """
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text")
+
+def _marked(numbered: DataFrame, **settings) -> DataFrame:
+    """`marked` for a stored table (doc, doc_id, text)."""
     found = near_classes(numbered.select("doc", "text"), **settings)
     rows = stage(numbered.select("doc", "doc_id").join(found, "doc", "left").withColumn(
         "class", F.coalesce("class", "doc")), "row_classes")
@@ -437,8 +523,19 @@ def marked(docs: DataFrame, **settings) -> DataFrame:
         (F.col("doc") == F.col("first.doc")).alias("kept"))
 
 
+def marked(docs: DataFrame, **settings) -> DataFrame:
+    """doc (a number), doc_id, class_id, class_size and kept for every row of `docs`.
+
+    Rows whose texts are alike are linked, and a class is what links connect; class_id is its
+    smallest doc_id (null last), and of every class one row with that doc_id is kept. Rows without
+    words are never linked. Repeated rows are linked like other equal texts. Extra columns are left
+    out. Rows are numbered in a stored copy, so the table may be read in any order again.
+    """
+    return _marked(_numbered(docs.select("doc_id", "text")), **settings)
+
+
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """The rows and columns of `docs` that `marked` keeps."""
-    gone = marked(docs, **settings).filter("not kept").select("doc")
-    rows = apart(docs).withColumn("doc", F.monotonically_increasing_id())
-    return rows.join(gone, "doc", "left_anti").drop("doc").toDF(*docs.columns)
+    numbered = _numbered(apart(docs, "doc_id", "text"))
+    gone = _marked(numbered.select("doc", "doc_id", "text"), **settings).filter("not kept").select("doc")
+    return numbered.join(gone, "doc", "left_anti").drop("doc").toDF(*docs.columns)
