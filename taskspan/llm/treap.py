@@ -220,31 +220,24 @@ def search(block: Block, rows: np.ndarray, weights: np.ndarray, best: Best, wide
             continue
         seen, place = tuple(x[live] for x in seen), place[live]
         impact = block.impacts[block.levels[block.side - s + 1].codes[node]]
-        for low in range(0, len(ranges), max(1, wide // q)):
-            high = min(low + max(1, wide // q), len(ranges))
-            most = np.zeros((high - low, q), np.int64)
-            mine = np.flatnonzero((place >= low) & (place < high))
-            mine = mine[np.argsort(seen[2][mine], kind="stable")]  # of equal cells the last one stays
-            most[place[mine] - low, seen[1][mine]] = seen[2][mine]
-            path = np.flatnonzero((at >= low) & (at < high))
-            cell = at[path] - low, term[path]
-            most[cell] = np.maximum(most[cell], impact[path])
-            bound = most @ weights
-            keep = bound >= best.least
-            if not keep.any():
+        most = np.zeros((len(ranges), q), np.int64)
+        mine = np.argsort(seen[2], kind="stable")  # of equal cells the last one stays
+        most[place[mine], seen[1][mine]] = seen[2][mine]
+        most[at, term] = np.maximum(most[at, term], impact)
+        bound = most @ weights
+        keep = bound >= best.least
+        parts = [keep]
+        if keep.sum() * q > wide:  # the ranges with the higher bounds go on apart from the others
+            cut = np.median(bound[keep])
+            parts = [keep & (bound > cut), keep & (bound <= cut)]
+        for part in parts:
+            if not part.any():
                 continue
-            # half of the ranges with the higher bounds go on apart from the others
-            cut = np.median(bound[keep]) if keep.sum() > 8 else -1
-            for part in (keep & (bound > cut), keep & (bound <= cut)):
-                if not part.any():
-                    continue
-                new = np.cumsum(part) - 1
-                on = path[part[at[path] - low]]
-                with_seen = mine[part[place[mine] - low]]
-                number += 1
-                heapq.heappush(heap, (-int(bound[part].max()), number, _Front(
-                    s - 1, ranges[low:high][part], new[at[on] - low], term[on], node[on],
-                    tuple(x[with_seen] for x in seen))))
+            new = np.cumsum(part) - 1
+            on, with_seen = part[at], part[place]
+            number += 1
+            heapq.heappush(heap, (-int(bound[part].max()), number, _Front(
+                s - 1, ranges[part], new[at[on]], term[on], node[on], tuple(x[with_seen] for x in seen))))
 
 
 def _counted(docs: DataFrame) -> tuple[int, int]:
