@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,38 +171,32 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
     cells = stage(encode(weighted, dictionary, features).select(
         *(f"{c}_index" for c in features), label, "_weight", F.lit(base).alias("_score")), "cells")
     tasks = 1 + cells.count() // task_rows
-    blocks = trees.unpacked(stage(trees.packed(cells.coalesce(tasks), sizes), "blocks"), len(sizes))
+    blocks = stage(trees.packed(cells.coalesce(tasks), sizes), "blocks")
     options = {"alpha": alpha, "leaves": leaves, "max_depth": max_depth, "min_leaf": min_leaf}
     while len(model.rounds) < rounds:
         ahead = min(_STORE_EVERY, rounds - len(model.rounds))
         if tasks == 1:
-            grown = blocks.coalesce(1).mapPartitions(
-                lambda part, n=ahead: trees.fitted_in_a_row(part, sizes, n, rate, **options)).collect()
+            grown = trees.told(blocks.coalesce(1), len(sizes), lambda part, n=ahead: trees.fitted_in_a_row(
+                part, sizes, n, rate, **options))
         else:
             grown = _spread_rounds(blocks, sizes, ahead, rate, options)
         model.rounds += grown
         if len(model.rounds) < rounds:
-            scored = blocks.map(lambda block, grown=grown: trees.as_row(reduce(
-                lambda b, tree: trees.with_scores(b, tree, rate), grown, block)))
-            rows = train.sparkSession.createDataFrame(scored, trees.PACKED)
-            blocks = trees.unpacked(stage(rows, "blocks"), len(sizes))
+            blocks = stage(trees.rescored(blocks, len(sizes), grown, rate), "blocks")
     return model
 
 
-def _spread_rounds(blocks: RDD, sizes: Sequence[int], rounds: int, rate: float, options: dict
+def _spread_rounds(blocks: DataFrame, sizes: Sequence[int], rounds: int, rate: float, options: dict
                    ) -> list[trees.Tree]:
     """Rounds over blocks on many executors, which keep them, with their scores, between the jobs."""
-    grown, before = [], None
-    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    grown, held = [], [blocks.persist(StorageLevel.MEMORY_AND_DISK)]
     for _ in range(rounds):
-        tree = trees.fitted(trees.Spread(blocks), sizes, **options)
-        if before is not None:  # the blocks no longer need what they are made from
-            before.unpersist()
-        grown.append(tree)
-        before, blocks = blocks, blocks.map(
-            lambda block, tree=tree: trees.with_scores(block, tree, rate)).persist(StorageLevel.MEMORY_AND_DISK)
-    for held in (before, blocks):
-        held.unpersist()
+        grown.append(trees.fitted(trees.Spread(held[-1], len(sizes)), sizes, **options))
+        if len(held) > 1:  # the blocks no longer need what they are made from
+            held.pop(0).unpersist()
+        held.append(trees.rescored(held[-1], len(sizes), grown[-1:], rate).persist(StorageLevel.MEMORY_AND_DISK))
+    for one in held:
+        one.unpersist()
     return grown
 
 

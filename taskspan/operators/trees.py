@@ -6,27 +6,25 @@ category, the rows and those above the running score; the driver orders the cate
 their share, finds the best cut, and splits the leaves of the largest gains. All sums are whole
 numbers, so a tree does not depend on how the cells are dealt.
 
-Growing takes some ten small jobs a tree. They run as plain partition functions over the stored
-blocks, because planning a query would take longer than each of them. Where one task would hold all
+Growing takes some ten small jobs a tree. Where one task would hold all
 cells (TASK_ROWS), that task grows several trees by the same steps instead of reporting each sum.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
 from pyspark.sql import DataFrame
 
 TASK_ROWS = 200_000  # cells that a task of their own is worth
 SHARE = 2 / 3  # of the leaves that may be split in one batch
 KEPT = 512  # residuals of a leaf that a task reports at a time
 MOST_SUMS = 1 << 22  # sums that one job brings together
-_MERGE_PARTS = 32  # tasks above which sums are added up on the executors first
 
 
 @dataclass
@@ -94,15 +92,36 @@ def packed(cells: DataFrame, sizes: Sequence[int]) -> DataFrame:
     return cells.mapInArrow(pack, PACKED)
 
 
-def unpacked(rows: DataFrame, features: int) -> RDD:
-    """The blocks of stored rows of PACKED."""
-    return rows.rdd.map(lambda row: Block(
-        np.frombuffer(row["codes"], np.int32).reshape(features, -1), np.frombuffer(row["actual"]),
-        np.frombuffer(row["weight"], np.int64), np.frombuffer(row["score"])))
+def blocks_of(batches: Iterable[pa.RecordBatch], features: int) -> Iterator[Block]:
+    """The blocks of rows of PACKED."""
+    for batch in batches:
+        for codes, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            yield Block(np.frombuffer(codes, np.int32).reshape(features, -1), np.frombuffer(rest[0]),
+                        np.frombuffer(rest[1], np.int64), np.frombuffer(rest[2]))
 
 
-def as_row(block: Block) -> tuple[bytes, bytes, bytes, bytes]:
-    return (block.codes.tobytes(), block.actual.tobytes(), block.weight.tobytes(), block.score.tobytes())
+def rescored(rows: DataFrame, features: int, grown: Sequence[Tree], rate: float) -> DataFrame:
+    """Rows of PACKED after the trees have been added to their scores."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks_of(batches, features):
+            for tree in grown:
+                block = with_scores(block, tree, rate)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.tobytes()]) for x in (block.codes, block.actual, block.weight, block.score)],
+                ["codes", "actual", "weight", "score"])
+
+    return rows.mapInArrow(score, PACKED)
+
+
+def told(rows: DataFrame, features: int, tell: Callable[[Iterator[Block]], Iterable]) -> list:
+    """What `tell` yields for the blocks of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in tell(blocks_of(batches, features)):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(one)])], ["told"])
+
+    return [pickle.loads(row["told"]) for row in rows.mapInArrow(run, "told binary").collect()]
 
 
 def _sums(part: Iterable[Block], tree: Tree, wanted: list[int], bins: int, first: np.ndarray) -> np.ndarray:
@@ -159,21 +178,17 @@ class Held:
 
 @dataclass
 class Spread:
-    """Blocks on many executors: a job per question. The reports of many tasks are merged on the
-    executors first."""
-
-    blocks: RDD
+    """Rows of PACKED on many executors: a job per question."""
 
-    def _added(self, parts: RDD, merge: Callable) -> list:
-        return [parts.treeReduce(merge)] if parts.getNumPartitions() > _MERGE_PARTS else parts.collect()
+    rows: DataFrame
+    features: int
 
     def sums(self, *asked) -> np.ndarray:
-        return sum(self._added(self.blocks.mapPartitions(lambda part: [_sums(part, *asked)]),
-                               lambda a, b: a + b))
+        return sum(told(self.rows, self.features, lambda part: [_sums(part, *asked)]))
 
     def residuals(self, *asked) -> list[tuple]:
-        return [one for some in self._added(self.blocks.mapPartitions(lambda part: [_residuals(part, *asked)]),
-                                            lambda a, b: a + b) for one in some]
+        return [one for some in told(self.rows, self.features, lambda part: [_residuals(part, *asked)])
+                for one in some]
 
 
 def best_cuts(sums: np.ndarray, first: np.ndarray, alpha: float, min_leaf: int
