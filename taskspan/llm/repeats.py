@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,8 @@ BATCHES = 4
 GROUP_CLASSES = 2_048  # contexts of one head gram that a task compares; more are compared by window
 _PLACE = np.uint64(0xFFFFFFFF)
 
-SUFFIXES = "doc long, at int, before int, least int, head long, context long"
+KEY = ["doc", "mark"]
+SUFFIXES = "doc long, mark long, at int, windows long, head long, context long"
 
 
 def reach(length: int) -> int:
@@ -60,14 +61,14 @@ def chosen(data: np.ndarray, offsets: np.ndarray, length: int
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The indexed suffixes of every text: doc, place in the text, how many bytes before the place
-    the first and the last window that choose it start, and hashes of the head gram and of the
-    context, which is all bytes of those windows. `docs` has the columns doc and text."""
+    """The indexed suffixes of every text: its key, place in the text, how many bytes before the place
+    the first and the last window that choose it start (`windows`, see `_before`), and hashes of the
+    head gram and of the context, which is all bytes of those windows. `docs` is as from `keyed`."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = tx.flat(batch.column(1))
+            ids, marks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            data, offsets = tx.flat(batch.column(2))
             for low, high in tx.slices(offsets):
                 at = offsets[low:high + 1] - offsets[low]
                 part = data[offsets[low]:offsets[high]]
@@ -75,14 +76,32 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 context = tx.mixed(tx.Rolling(part, seed=2).of(first, last + length)
                                    + (place - first).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[low + row], pa.int64()),
+                    pa.array(ids[low + row], pa.int64()), pa.array(marks[low + row], pa.int64()),
                     pa.array((place - at[row]).astype(np.int32)),
-                    pa.array((place - first).astype(np.int32)),
-                    pa.array((place - last).astype(np.int32)),
+                    pa.array((place - first) * length + place - last),
                     pa.array(head.view(np.int64)), pa.array(context.view(np.int64))],
-                    ["doc", "at", "before", "least", "head", "context"])
+                    ["doc", "mark", "at", "windows", "head", "context"])
 
-    return docs.select("doc", "text").mapInArrow(index, SUFFIXES)
+    return docs.select(*KEY, "text").mapInArrow(index, SUFFIXES)
+
+
+def _before(length: int) -> tuple[Column, Column]:
+    """How many bytes before a place its first and its last window start; both are under `length`
+    and share a column, which saves a shuffled word per suffix."""
+    last = F.col("windows") % length
+    return ((F.col("windows") - last) / length).cast("int"), last
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text (null: empty) under a key of the content, doc_id and 64 bits of the text.
+
+    A number by place would change with the splits of a later scan; this key does not. Rows that
+    agree in doc_id and text share it, and what is found for one holds for the other.
+    """
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"),
+        F.xxhash64(text, F.col("doc_id").isNull()).alias("mark"), "doc_id", text.alias("text"))
 
 
 class IndexFamily:
@@ -218,8 +237,11 @@ def _compare_windows(classes: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """`classes` with the bytes of their contexts, cut out of the text of one document each."""
-    wanted = classes.groupBy("doc").agg(F.collect_list(F.struct(
+    """`classes` with the bytes of their contexts, cut out of the text of one document each.
+
+    Equal rows share a key, so each may give the cut; one is left.
+    """
+    wanted = classes.groupBy(*KEY).agg(F.collect_list(F.struct(
         "at", "before", "least", "head", "context", "hot")).alias("cuts"))
     kinds = "head long, context long, before int, hot boolean, bytes binary"
 
@@ -236,27 +258,29 @@ def _contexts(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
                     pa.array([text[c["at"] - c["before"]:c["at"] - c["least"] + length] for c in cuts],
                              pa.binary())], ["head", "context", "before", "hot", "bytes"])
 
-    return docs.select("doc", F.col("text").cast("binary").alias("text")).join(wanted, "doc").select(
-        "text", "cuts").mapInArrow(cut, kinds)
+    return docs.select(*KEY, F.col("text").cast("binary").alias("text")).join(wanted, KEY).select(
+        "text", "cuts").mapInArrow(cut, kinds).dropDuplicates(["head", "context"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """(doc, spans): where windows start that occur elsewhere, as runs (first, last) of starts.
+    """(doc, mark, spans): where windows start that occur elsewhere, as runs (first, last) of starts.
 
-    `docs` has the columns doc (a number per row) and text. Suffixes with equal context are one
+    `docs` is as from `keyed`. Suffixes with equal context are one
     class, counted and never paired. A class of two or more is repeated whole. Otherwise one
     representative of each class is compared with those of the same head, window by window.
     """
+    before, least = _before(length)
     rows = stage(suffixes(docs, length), "suffixes")
     family = IndexFamily()
     for batch in range(batches):
-        family.add(rows.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == batch))
+        family.add(rows.filter(F.pmod(F.xxhash64(*KEY), F.lit(batches)) == batch))
     # aggregates are stored before joins on their key, so that a hot head can be split there
     repeated = stage(family.repeated(), "all_repeated_heads")
     candidates = stage(rows.join(repeated, "head", "left_semi"), "candidates")
     classes = stage(candidates.groupBy("head", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "before", "least")).alias("one")
-    ).select("head", "context", "n", "one.*"), "classes")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at", "windows")).alias("one")
+    ).select("head", "context", "n", "one.*").select(
+        "*", before.alias("before"), least.alias("least")), "classes")
     heads = stage(classes.groupBy("head").agg(F.count(F.lit(1)).alias("classes")).filter(
         "classes > 1"), "shared_heads")
     unlike = classes.join(heads, "head").withColumn("hot", F.col("classes") > GROUP_CLASSES)
@@ -266,11 +290,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("before") - F.col("least")).alias("last")))
     repeated = classes.filter("n > 1").select("head", "context", whole.alias("runs")).unionByName(
         partial.join(classes.filter("n = 1").select("head", "context"), ["head", "context"], "left_semi"))
-    start = F.col("at") - F.col("before")
+    start = F.col("at") - before
     return candidates.join(repeated, ["head", "context"]).select(
-        "doc", F.transform("runs", lambda r: F.struct(
+        *KEY, F.transform("runs", lambda r: F.struct(
             (start + r["first"]).alias("first"), (start + r["last"]).alias("last"))).alias("runs")
-    ).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    ).groupBy(*KEY).agg(F.flatten(F.collect_set("runs")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
@@ -279,13 +303,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
     Every byte goes that lies in a string of `length` bytes that also starts anywhere else, in the
     same document or another, first occurrences included. Matches are judged on the input and don't
     cross documents. Null text counts as empty; a text shorter than `length` keeps all. Repeated rows
-    are documents of their own and so repeat each other. Extra columns are left out. `docs` must be
-    read from stored tables, as rows are numbered by their place there.
+    are documents of their own and so repeat each other. Extra columns are left out. Rows are told
+    apart by their content, so a lost executor or other splits on a rerun change nothing.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id",
-                           F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(numbered, length, batches)
-    rows = numbered.withColumn("text", F.col("text").cast("binary")).join(spans, "doc", "left").select(
+    rows = keyed(docs)
+    spans = repeated_spans(rows, length, batches)
+    rows = rows.withColumn("text", F.col("text").cast("binary")).join(spans, KEY, "left").select(
         "doc_id", "text", F.transform("spans", lambda s: s["first"]).alias("first"),
         F.transform("spans", lambda s: s["last"]).alias("last"))
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from compare import difference, duck
 from conftest import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from taskspan.llm import (archives, decontaminate, mixing, near, pii, quality, registry, repeats, sharding,
@@ -261,6 +262,27 @@ def test_repeats_on_awkward_rows(awkward, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_repeats_hold_when_the_splits_change(spark, documents):
+    """Files are dealt to other tasks between the search and the read of its result; some rows are
+    whole repeats of others, some share only their doc_id."""
+    few = documents.select("doc_id", "text").limit(60)
+    parts = [few, few.limit(9), few.select((F.col("doc_id") % 5).alias("doc_id"), "text").limit(20)]
+    docs = stage(parts[0].unionAll(parts[1]).unionAll(parts[2]).repartition(8), "eight-files")
+    texts = docs.collect()
+    expected = sorted((r.doc_id, *e) for r, e in zip(
+        texts, removed([(r.text or "").encode() for r in texts])))
+    assert sum(e[2] for e in expected) > 0
+    for early, late in ((8, 1), (1, 8)):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", early)
+        try:
+            found = repeats.without_repeats(docs)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", late)
+            assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+                          for r in found.collect()) == expected
+        finally:
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 def test_index_family_keeps_logarithmically_many_levels(spark):
     family = repeats.IndexFamily()
     for k in range(5):
