@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from taskspan.functions.numbers import at_least_one_day
 from taskspan.functions.text import joined_key
-from taskspan.operators.stats import CONFIG_PERCENTILES, WIDE_PERCENTILES, interval_stats
+from taskspan.operators.stats import (
+    CONFIG_PERCENTILES, WIDE_PERCENTILES, backoff_quantiles, histogram, histogram_stats, interval_stats,
+)
 from taskspan.schema import CONFIG_KEYS, CONFIG_STATS_COLUMNS, DAYS, FEATURES, TRAIN_COLUMNS
 from taskspan.sources.stage import stage
 
@@ -25,8 +27,13 @@ def feature_table(tasks: DataFrame, *, order_id: bool = True) -> DataFrame:
 
 def config_stats(train: DataFrame) -> DataFrame:
     """Rounded statistics per configuration, led by its key; a missing part makes the key missing."""
-    stats = interval_stats(
-        train, CONFIG_KEYS, percentiles=CONFIG_PERCENTILES, std="stddev", round_to=0)
+    return config_stats_of(histogram(train, CONFIG_KEYS))
+
+
+def config_stats_of(counts: DataFrame) -> DataFrame:
+    """`config_stats` from a histogram per configuration, its own or a merged one."""
+    stats = histogram_stats(
+        counts, CONFIG_KEYS, percentiles=CONFIG_PERCENTILES, std="stddev", round_to=0)
     texts = {name: F.col(name).cast("string") for name in ("subIntID", "PID")}
     stats = stats.withColumns(texts).withColumn(
         "config", joined_key(*(F.col(k) for k in CONFIG_KEYS)))
@@ -62,16 +69,16 @@ def quantile_lookup(train: DataFrame, test: DataFrame, *, alpha: float = 0.75,
                     name: str = "Prediction") -> DataFrame:
     """Predict the alpha-quantile of a row's configuration, else of its task type, else of all rows.
 
-    A distributed baseline with exact percentiles for the quantile model. `train` is read three
-    times.
+    A distributed baseline with exact percentiles for the quantile model. `train` is read once, for
+    one stored table of all three levels.
     """
-    def quantiles(keys: list[str], column: str) -> DataFrame:
-        stats = interval_stats(train, keys, percentiles={column: alpha})
-        return stats.select(*keys, column)
-
-    known = ["subIntID"]
-    by_config = stage(quantiles(list(CONFIG_KEYS), "_config"), "config-quantiles")
-    by_task = stage(quantiles(known, "_task"), "task-quantiles")
-    scored = test.join(by_config, list(CONFIG_KEYS), "left").join(by_task, known, "left")
-    overall = quantiles([], "_all").scalar()
+    levels = [list(CONFIG_KEYS), ["subIntID"], []]
+    table = stage(backoff_quantiles(train, levels, alpha=alpha), "backoff-quantiles")
+
+    def at(level: int, column: str) -> DataFrame:
+        return table.where(F.col("level") == level).select(
+            *levels[level], F.col("quantile").alias(column))
+
+    scored = test.join(at(0, "_config"), levels[0], "left").join(at(1, "_task"), levels[1], "left")
+    overall = at(2, "_all").scalar()
     return scored.withColumn(name, F.coalesce("_config", "_task", overall)).drop("_config", "_task")

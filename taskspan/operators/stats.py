@@ -38,10 +38,23 @@ def task_group(df: DataFrame, keys: Sequence[str], value: str = DAYS) -> DataFra
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str = DAYS) -> DataFrame:
-    """Rows per group and distinct value, as column `rows`."""
+    """Rows per group and distinct value, as column `rows`.
+
+    This is the whole state of the statistics below: stored histograms of several windows are merged
+    by `merge_histograms`, and the rows of earlier windows need not be read again.
+    """
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def merge_histograms(parts: Sequence[DataFrame], keys: Sequence[str],
+                     value: str = DAYS) -> DataFrame:
+    """The histogram of all rows that the parts count."""
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    return together.groupBy(*keys, value).agg(F.sum("rows").alias("rows"))
+
+
 def interval_stats(df: DataFrame, keys: Sequence[str], *, value: str = DAYS,
                    percentiles: Mapping[str, float] = TASK_PERCENTILES, std: str = "std",
                    round_to: int | None = None) -> DataFrame:
@@ -49,12 +62,20 @@ def interval_stats(df: DataFrame, keys: Sequence[str], *, value: str = DAYS,
 
     Percentiles interpolate linearly. `round_to` rounds every statistic, halves up.
     """
+    return histogram_stats(histogram(df, keys, value), keys, value=value, percentiles=percentiles,
+                           std=std, round_to=round_to)
+
+
+def histogram_stats(df: DataFrame, keys: Sequence[str], *, value: str = DAYS,
+                    percentiles: Mapping[str, float] = TASK_PERCENTILES, std: str = "std",
+                    round_to: int | None = None) -> DataFrame:
+    """The statistics of `interval_stats` from a histogram, its own or a merged one."""
     if not isinstance(df.schema[value].dataType, _WHOLE_TYPES):
         raise TypeError(f"{value} must hold whole days")
     days, rows = F.col(value), F.col("rows")
     exact_days = days.cast("decimal(10,0)")
     exact_rows = F.when(days.isNotNull(), rows).otherwise(0).cast("decimal(18,0)")
-    sums = histogram(df, keys, value).groupBy(*keys).agg(
+    sums = df.groupBy(*keys).agg(
         F.sum(exact_rows).cast("long").alias("count"),
         F.sum(exact_days * exact_rows).cast("decimal(38,0)").alias("_sum"),
         F.sum(exact_days * exact_days * exact_rows).cast("decimal(38,0)").alias("_squares"),
@@ -79,6 +100,26 @@ def interval_stats(df: DataFrame, keys: Sequence[str], *, value: str = DAYS,
     return sums.select(*keys, *(column.alias(name) for name, column in columns.items()))
 
 
+def backoff_quantiles(df: DataFrame, levels: Sequence[Sequence[str]], *, alpha: float,
+                      value: str = DAYS) -> DataFrame:
+    """The alpha-quantile per group of several levels of keys, from one pass over the rows.
+
+    The first level has all keys, the others some of them or none. The rows are counted once per
+    group of the first level and value; grouping sets over these counts give every level. A row has
+    the number of its `level`, its keys (others missing) and `quantile`.
+    """
+    keys = list(levels[0])
+    if any(not set(level) <= set(keys) for level in levels):
+        raise ValueError("the first level must have the keys of all others")
+    # grouping_id has a bit per key, set where the key is left out; the first key leads
+    ids = [sum(1 << i for i, key in enumerate(reversed(keys)) if key not in level)
+           for level in levels]
+    found = histogram(df, keys, value).groupingSets([list(level) for level in levels], *keys).agg(
+        F.grouping_id().alias("_id"), F.percentile(value, alpha, F.col("rows")).alias("quantile"))
+    number = F.array_position(F.array(*(F.lit(x).cast("long") for x in ids)), F.col("_id")) - 1
+    return found.select(number.cast("int").alias("level"), *keys, "quantile")
+
+
 def describe(df: DataFrame, value: str = DAYS) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of a column, to five decimals."""
     return interval_stats(df, [], value=value, percentiles=QUARTILES, round_to=5)

@@ -9,6 +9,7 @@ read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from taskspan.operators.categories import bin_rare, rare_categories
 from taskspan.operators.clean import add_cancelled, append_rows, clean, split_by_jeop, task_table
@@ -17,8 +18,8 @@ from taskspan.operators.extract import (
 )
 from taskspan.operators.outliers import threshold_outliers, trim_both, trim_bottom
 from taskspan.operators.rework import NULLABLE_COLUMNS, missing_columns, rework_merge
-from taskspan.schema import TASK_COLUMNS, TASK_IDS, TASK_SCHEMA, check_schema
-from taskspan.sources.stage import stage
+from taskspan.schema import DAYS, TASK_COLUMNS, TASK_IDS, TASK_SCHEMA, check_schema
+from taskspan.sources.stage import counted, counted_rows, stage
 from taskspan.sources.tables import Warehouse
 
 
@@ -37,21 +38,23 @@ def binned_stages(source: Warehouse, *, window: tuple[str, str], mode: str = "fa
 
     Stored are the extract, the trimmed and the binned rows, each of which is read more than once.
     """
-    extracted = stage(extract_tasks(source, window=window, mode=mode), "tasks")
+    extracted = stage(counted(extract_tasks(source, window=window, mode=mode), "extracted",
+                              cleaned=F.col(DAYS) >= 0), "tasks")
     cleaned = clean(extracted)
-    trimmed = stage(
-        trim_bottom(cleaned, keep_small=keep_small, tiebreak=TASK_IDS), "trimmed")
+    trimmed = stage(counted(
+        trim_bottom(cleaned, keep_small=keep_small, tiebreak=TASK_IDS), "trimmed"), "trimmed")
     keys = ("subIntervalName",) if mode == "faithful" else ("subIntervalName", "subIntID")
     thresholded = threshold_outliers(trimmed, join_keys=keys)
     binned = task_table(
-        bin_rare(thresholded, rare_order_categories(source, window=window, mode=mode)))
+        bin_rare(counted(thresholded, "thresholded"),
+                 rare_order_categories(source, window=window, mode=mode)))
     if include_cancelled:
         binned = add_cancelled(
             binned, extract_cancelled_dependency(source, window=window, mode=mode))
     check_schema(binned, TASK_SCHEMA, "binned tasks")
     return {
         "extracted": extracted, "cleaned": cleaned, "trimmed": trimmed,
-        "thresholded": thresholded, "binned": stage(binned, "binned"),
+        "thresholded": thresholded, "binned": stage(counted(binned, "binned"), "binned"),
     }
 
 
@@ -72,6 +75,18 @@ def train_stages(source: Warehouse, *, window: tuple[str, str], from_year: int,
     return stages | {"merged": merged}
 
 
+def stage_counts(source: Warehouse, **options) -> DataFrame:
+    """Rows per step of the training preparation, counted while the steps are written.
+
+    No step is run again to be counted; the merged rows are written too.
+    """
+    with counted_rows() as found:
+        merged = counted(train_stages(source, **options)["merged"], "merged")
+        stage(merged, "merged")
+    rows = [pair for seen in found.values() for pair in seen.get.items()]
+    return source.tasks.sparkSession.createDataFrame(rows, "stage string, rows long")
+
+
 def prepare_train(source: Warehouse, **options) -> DataFrame:
     """Training rows: one per order and task, outliers removed. Options as in `train_stages`."""
     return train_stages(source, **options)["merged"]

@@ -11,7 +11,7 @@ from taskspan.functions import numbers, text
 from taskspan.operators import boost, categories, clean, configs, dictionary, extract, metrics
 from taskspan.operators import outliers, rework, stats
 from taskspan.plans import prepare
-from taskspan.schema import DAYS, FEATURES, TASK_COLUMNS, TASK_IDS
+from taskspan.schema import CONFIG_KEYS, DAYS, FEATURES, TASK_COLUMNS, TASK_IDS
 from taskspan.sources import mapping
 from taskspan.sources.stage import stage, stage_path
 from taskspan.sources.tables import Warehouse, overwrite_table
@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TRAIN, TEST, FROM_YEAR = mapping.TRAIN_WINDOW, mapping.TEST_WINDOW, mapping.NONWORK_FROM_YEAR
+HALVES = (TRAIN[0], "1997-12-31"), ("1998-01-01", TRAIN[1])
 _models: dict[tuple[str, str], str] = {}
 
 
@@ -151,7 +152,7 @@ def write_read_roundtrip(source):
 
 @query
 def stage_counts(source):
-    return stats.audit(prepare.train_stages(source, window=TRAIN, from_year=FROM_YEAR))
+    return prepare.stage_counts(source, window=TRAIN, from_year=FROM_YEAR)
 
 
 # ---- projections and filters -----------------------------------------------------------------
@@ -294,6 +295,35 @@ def task_stats_v2(source):
     return _rounded(found, "mean", "std", *stats.CONFIG_PERCENTILES)
 
 
+@query
+def task_stats_merged(source):
+    """Statistics of the whole window from the stored histogram of its first half and the rows of
+    its second."""
+    keys = ["subIntervalName", "subIntID"]
+    parts = [stage(stats.histogram(clean.clean(extract.extract_tasks(source, window=half)), keys),
+                   "histogram") for half in HALVES]
+    found = stats.histogram_stats(
+        stats.merge_histograms(parts, keys), keys, percentiles=stats.CONFIG_PERCENTILES)
+    return _rounded(found, "mean", "std", *stats.CONFIG_PERCENTILES)
+
+
+@query
+def config_stats_merged(source):
+    """Statistics per configuration from the stored histograms of two halves of the orders."""
+    train = stage(_train(source), "train")
+    half = F.pmod(F.xxhash64("orderID"), F.lit(2))
+    parts = [stage(stats.histogram(train.where(half == part), CONFIG_KEYS), "histogram")
+             for part in (0, 1)]
+    return configs.config_stats_of(stats.merge_histograms(parts, CONFIG_KEYS))
+
+
+@query
+def backoff_quantiles(source):
+    levels = [list(CONFIG_KEYS), ["subIntID"], []]
+    found = stats.backoff_quantiles(stage(_train(source), "train"), levels, alpha=0.75)
+    return _rounded(found, "quantile")
+
+
 @query
 def config_stats(source):
     return _config_stats(source)

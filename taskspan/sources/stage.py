@@ -14,8 +14,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+_counts: ContextVar[dict[str, Observation] | None] = ContextVar("counts", default=None)
 _run: ContextVar[str] = ContextVar("run", default="")
 
 
@@ -46,6 +48,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def counted_rows() -> Iterator[dict[str, Observation]]:
+    """Rows that `counted` sees inside, by step. They are there once what was marked is written."""
+    found: dict[str, Observation] = {}
+    token = _counts.set(found)
+    try:
+        yield found
+    finally:
+        _counts.reset(token)
+
+
+def counted(df: DataFrame, step: str, **conditions: Column) -> DataFrame:
+    """Count the rows of a step, and those that meet conditions, as they pass on to be written.
+
+    Inside `counted_rows` only; elsewhere `df` is left as it is. The step must be read whole by
+    exactly one write. Columns that the write does not need are no longer pruned below this point.
+    """
+    found = _counts.get()
+    if found is None:
+        return df
+    found[step] = Observation(step)
+    return df.observe(found[step], F.count(F.lit(1)).alias(step), *(
+        F.count_if(condition).alias(name) for name, condition in conditions.items()))
+
+
 @contextmanager
 def run_stages(spark: SparkSession) -> Iterator[None]:
     """Delete the stages that are written inside once it ends; nothing may read them after that."""

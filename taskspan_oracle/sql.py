@@ -424,6 +424,16 @@ _oracle("task_stats_v2", f"""
       round(avg(subIntIntervalsDays), 6) as mean, round(stddev_samp(subIntIntervalsDays), 6) as std,
       min(subIntIntervalsDays) as "min", {_quantiles(_P_V2)}, max(subIntIntervalsDays) as "max"
     from c_tasks group by subIntervalName, subIntID""")
+_oracle("task_stats_merged", f"""
+    select subIntervalName, subIntID, count(subIntIntervalsDays) as "count",
+      round(avg(subIntIntervalsDays), 6) as mean, round(stddev_samp(subIntIntervalsDays), 6) as std,
+      min(subIntIntervalsDays) as "min", {_quantiles(_P_V2)}, max(subIntIntervalsDays) as "max"
+    from c_tasks group by subIntervalName, subIntID""")
+_oracle("config_stats_merged", "select * from cfg")
+_oracle("backoff_quantiles", f"""
+    select cast(case grouping({_KEYS}) when 0 then 0 when 383 then 1 else 2 end as int) as level,
+      {_KEYS}, round(quantile_cont(subIntIntervalsDays, 0.75), 6) as quantile
+    from train group by grouping sets (({_KEYS}), (subIntID), ())""")
 _oracle("config_stats", "select * from cfg")
 _oracle("config_stats_named", "select * from cfg_named")
 _oracle("config_stats_wide", f"""
