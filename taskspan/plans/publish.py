@@ -1,6 +1,7 @@
 """The whole batch: every table of the pipeline, written in order, each step reading the one before.
 
-Tables go to one folder per table and can be registered in the catalog. The written tables take the
+Tables go to new folders, are checked and then take the place of those before, in the list of
+publications and, with a database, in the catalog. The written tables take the
 place of the stored stages, so a later step never recomputes an earlier one. Stages that a step
 needs on the way are deleted when it ends.
 """
@@ -9,7 +10,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taskspan.operators import configs
 from taskspan.operators.boost import (
@@ -18,26 +20,24 @@ from taskspan.operators.boost import (
 from taskspan.operators.extract import extract_task_dictionary
 from taskspan.operators.metrics import eval_metrics
 from taskspan.operators.rework import missing_columns, rework_merge
-from taskspan.operators.stats import audit
 from taskspan.plans.prepare import binned_stages, prepare_test, rare_order_categories
-from taskspan.schema import TASK_COLUMNS
+from taskspan.schema import DAYS, TASK_COLUMNS
 from taskspan.sources.stage import run_stages, stage
-from taskspan.sources.tables import Warehouse, overwrite_table, register_table
+from taskspan.sources.tables import Publications, Warehouse
 
-class Publisher:
-    """Writes named tables under a folder and, with a database, registers them."""
+# Rows of the published tables that cannot be right.
+_CHECKS = {
+    "train_data": {"at least one day": f"{DAYS} >= 1"},
+    "merged_tasks": {"with a count": "count >= 1"},
+}
 
-    def __init__(self, folder: str, *, fmt: str = "parquet", database: str | None = None) -> None:
-        self.folder, self.fmt, self.database = folder.rstrip("/"), fmt, database
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = overwrite_table(df, f"{self.folder}/{name}", self.fmt)
-        if self.database:
-            return register_table(df.sparkSession, f"{self.database}.{name}", path, self.fmt)
-        return self.read(df, name)
+class Publisher(Publications):
+    """Writes named tables under a folder and, with a database, registers them."""
 
-    def read(self, df: DataFrame, name: str) -> DataFrame:
-        return df.sparkSession.read.format(self.fmt).load(f"{self.folder}/{name}")
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """Publish a table with the checks that belong to its name."""
+        return self.publish(name, df, _CHECKS.get(name))
 
 
 def publish_tables(source: Warehouse, publisher: Publisher, *, train_window: tuple[str, str],
@@ -84,6 +84,6 @@ def publish_model(tables: dict[str, DataFrame], publisher: Publisher,
         return model, log_run(record, f"{publisher.folder}/runs")
 
 
-def published_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per published table."""
-    return audit(tables)
+def published_counts(spark: SparkSession, publisher: Publisher) -> DataFrame:
+    """Rows per published table, as counted while it was written."""
+    return publisher.present(spark).select(F.col("table").alias("stage"), "rows")

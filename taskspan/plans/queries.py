@@ -14,7 +14,7 @@ from taskspan.plans import prepare
 from taskspan.schema import CONFIG_KEYS, DAYS, FEATURES, TASK_COLUMNS, TASK_IDS
 from taskspan.sources import mapping
 from taskspan.sources.stage import stage, stage_path
-from taskspan.sources.tables import Warehouse, overwrite_table
+from taskspan.sources.tables import Publications, Warehouse, overwrite_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,6 +150,17 @@ def write_read_roundtrip(source):
     return rows.sparkSession.read.parquet(path)
 
 
+@query
+def published_swap(source):
+    """A table after two publications: the cleaned rows take the place of the extracted ones."""
+    spark = source.tasks.sparkSession
+    extracted = stage(_extracted(source), "tasks")
+    tables = Publications(stage_path(spark, "published"))
+    tables.publish("tasks", extracted)
+    tables.publish("tasks", clean.clean(extracted), {"at least one day": F.col(DAYS) >= 1})
+    return tables.read(spark, "tasks")
+
+
 @query
 def stage_counts(source):
     return prepare.stage_counts(source, window=TRAIN, from_year=FROM_YEAR)

@@ -64,6 +64,8 @@ def counted(df: DataFrame, step: str, **conditions: Column) -> DataFrame:
 
     Inside `counted_rows` only; elsewhere `df` is left as it is. The step must be read whole by
     exactly one write. Columns that the write does not need are no longer pruned below this point.
+    Counts of a step in the last Spark stage of its write are exact; one before a further shuffle may
+    count rows again that a lost executor makes Spark compute again.
     """
     found = _counts.get()
     if found is None:

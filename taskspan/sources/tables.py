@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from taskspan.schema import SOURCE_SCHEMAS, check_schema
 
@@ -115,10 +118,103 @@ def overwrite_named_table(df: DataFrame, name: str, fmt: str = "parquet",
 def register_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
     """Name the files at `path` as an external catalog table and return it.
 
-    A table of that name is named anew: its place, its columns and the list of its files are those
-    of `path` now. The files themselves are not touched.
+    A table of that name is set to the new place in one step, so that there is no moment without it;
+    only if its columns or its format change is it dropped and made anew. The files themselves are
+    not touched.
     """
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} USING {fmt} LOCATION '{path}'")
+    if spark.catalog.tableExists(name) and _like(spark, name, path, fmt):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} USING {fmt} LOCATION '{path}'")
     spark.catalog.refreshTable(name)
     return spark.table(name)
+
+
+def _like(spark: SparkSession, name: str, path: str, fmt: str) -> bool:
+    """Whether an external catalog table has the format and the columns of the files at `path`."""
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    return (told.get("Type") == "EXTERNAL" and (told.get("Provider") or "").lower() == fmt.lower()
+            and _columns(spark.table(name)) == _columns(spark.read.format(fmt).load(path)))
+
+
+def _columns(df: DataFrame) -> list[tuple[str, str]]:
+    return [(field.name, field.dataType.simpleString()) for field in df.schema]
+
+
+class FailedCheck(ValueError):
+    """A publication that was written but not made visible."""
+
+
+PUBLICATIONS = "table string, path string, rows long, published_at long"
+
+
+class Publications:
+    """Tables under a folder that are replaced by write, check and swap.
+
+    Every publication of a table is a folder of its own. It is read back and checked, and only then
+    does one appended row of the list of publications make it the present one and the catalog name,
+    if there is a database, point to it. A publication that fails leaves the one before in place, and
+    a reader under way keeps the files it began with, as older folders stay until `prune`.
+    """
+
+    def __init__(self, folder: str, *, fmt: str = "parquet", database: str | None = None) -> None:
+        self.folder, self.fmt, self.database = folder.rstrip("/"), fmt, database
+
+    def publish(self, name: str, df: DataFrame, checks: Mapping[str, Column | str] | None = None
+                ) -> DataFrame:
+        """Write a table, check it and make it the present one.
+
+        The written files must have the columns of `df` and as many rows as were written; both come
+        at no further pass over `df`. `checks` are conditions by name which no written row may fail
+        (a missing value is no failure); they cost one pass over the written files.
+        """
+        spark, path = df.sparkSession, f"{self.folder}/{name}/{uuid.uuid4().hex}"
+        passed = Observation(f"published-{uuid.uuid4().hex}")
+        overwrite_table(df.observe(passed, F.count(F.lit(1)).alias("rows")), path, self.fmt)
+        found = spark.read.format(self.fmt).load(path)
+        if _columns(found) != _columns(df):
+            raise FailedCheck(f"{name}: columns {_columns(found)} in place of {_columns(df)}")
+        failed = [F.count_if(~(F.expr(one) if isinstance(one, str) else one)).alias(f"not {label}")
+                  for label, one in (checks or {}).items()]
+        told = found.agg(F.count(F.lit(1)).alias("rows"), *failed).first().asDict()
+        rows = told.pop("rows")
+        if rows != passed.get["rows"]:
+            raise FailedCheck(f"{name}: {rows} rows in place of {passed.get['rows']}")
+        if any(told.values()):
+            raise FailedCheck(f"{name}: " + ", ".join(f"{n} rows {k}" for k, n in told.items() if n))
+        spark.createDataFrame([(name, path, rows, time.time_ns())], PUBLICATIONS).coalesce(1).write.mode(
+            "append").json(f"{self.folder}/publications")
+        if self.database:
+            return register_table(spark, f"{self.database}.{name}", path, self.fmt)
+        return found
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        """All publications: table, path, rows and time in nanoseconds."""
+        return spark.read.schema(PUBLICATIONS).json(f"{self.folder}/publications")
+
+    def present(self, spark: SparkSession) -> DataFrame:
+        """The last publication of every table; its row count was taken while it was written."""
+        last = F.max_by(F.struct("path", "rows", "published_at"), F.struct("published_at", "path"))
+        return self.history(spark).groupBy("table").agg(last.alias("last")).select("table", "last.*")
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """The table as it was published last."""
+        row = self.present(spark).where(F.col("table") == name).first()
+        if row is None:
+            raise LookupError(f"{name} has not been published under {self.folder}")
+        return spark.read.format(self.fmt).load(row["path"])
+
+    def prune(self, spark: SparkSession, name: str, keep: int = 2) -> int:
+        """Delete all but the last `keep` publications of a table; returns how many folders went.
+
+        Readers that began before those must have ended. Their rows stay in the history.
+        """
+        if keep < 1:
+            raise ValueError("the present publication is kept")
+        order = self.history(spark).where(F.col("table") == name).orderBy(F.desc("published_at"), "path")
+        gone = 0
+        for row in order.offset(keep).toLocalIterator():
+            path = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+            gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return gone

@@ -354,6 +354,7 @@ _oracle("extract_cancelled", "select * from x_cancelled")
 _oracle("nonworkdays", "select date from w_off")
 _oracle("task_dictionary", "select * from types")
 _oracle("write_read_roundtrip", "select * from c_tasks")
+_oracle("published_swap", "select * from c_tasks")
 _oracle("stage_counts", " union all ".join(
     f"select '{stage}' as stage, count(*) as rows from {cte}" for stage, cte in (
         ("extracted", "x_tasks"), ("cleaned", "c_tasks"), ("trimmed", "trimmed"),

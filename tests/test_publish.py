@@ -12,6 +12,7 @@ from taskspan.schema import CONFIG_STATS_COLUMNS, FEATURES, TASK_COLUMNS, TRAIN_
 from taskspan.sources import mapping
 from taskspan.sources import stage as stages
 from taskspan.sources.stage import stage_path
+from taskspan.sources.tables import FailedCheck
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +36,8 @@ def test_columns_of_the_tables(tables):
     assert {"Category", "Outlier_threshold"} <= set(tables["preprocessed_tasks"].columns)
 
 
-def test_rows_of_the_tables(source, tables):
-    counts = {r["stage"]: r["rows"] for r in published_counts(tables).collect()}
+def test_rows_of_the_tables(spark, source, publisher, tables):
+    counts = {r["stage"]: r["rows"] for r in published_counts(spark, publisher).collect()}
     assert counts["train_data"] == counts["merged_tasks"]
     assert tables["train_stats"].agg(F.sum("count")).first()[0] == counts["train_data"]
     direct = prepare.prepare_train(
@@ -54,7 +55,7 @@ def test_publishing_again_replaces(source, publisher, tables):
 def test_model_run(spark, publisher, tables):
     model, runs = publish_model(tables, publisher, rounds=3, rate=0.3)
     assert runs.count() == 1 and runs.first()["settings"]["rounds"] == 3
-    scored = publisher.read(tables["test_data"], "scored_data")
+    scored = publisher.read(spark, "scored_data")
     assert scored.columns == ["orderID", *FEATURES, "Actual", "Prediction"]
     assert scored.count() == tables["test_data"].count()
     assert scored.where(F.col("Prediction") != F.floor("Prediction")).isEmpty()
@@ -90,6 +91,73 @@ def test_publishing_again_with_a_database_and_another_schema(spark, tables):
         spark.sql("drop database published_twice cascade")
 
 
+@pytest.mark.parametrize("database", [None, "checked_tables"])
+def test_a_failed_check_leaves_the_table_before(spark, database):
+    if database:
+        spark.sql(f"create database if not exists {database}")
+    try:
+        some = Publisher(stage_path(spark, "checked"), database=database)
+        rows = spark.range(10)
+        some.publish("rows", rows, {"small": F.col("id") < 10})
+        with pytest.raises(FailedCheck, match="2 rows not small"):
+            some.publish("rows", spark.range(12), {"small": F.col("id") < 10})
+        with pytest.raises(Exception, match="half-way"):  # the write itself breaks off
+            some.publish("rows", rows.repartition(4).select(
+                F.when(F.col("id") == 7, F.raise_error(F.lit("half-way"))).otherwise(F.col("id"))
+                .cast("long").alias("id")))
+        assert some.read(spark, "rows").count() == 10
+        assert [r["rows"] for r in some.present(spark).collect()] == [10]
+        if database:
+            assert spark.table(f"{database}.rows").count() == 10
+    finally:
+        if database:
+            spark.sql(f"drop database {database} cascade")
+
+
+def test_a_reader_under_way_keeps_its_rows(spark):
+    spark.sql("create database if not exists read_meanwhile")
+    try:
+        some = Publisher(stage_path(spark, "meanwhile"), database="read_meanwhile")
+        some.publish("rows", spark.range(5))
+        by_path, by_name = some.read(spark, "rows"), spark.table("read_meanwhile.rows").where("id >= 0")
+        by_path.schema, by_name.schema
+        began = by_path.toLocalIterator()
+        first = next(began)
+        some.publish("rows", spark.range(9))
+        assert 1 + sum(1 for _ in began) == 5 and first["id"] in range(5)
+        assert by_path.count() == 5
+        assert spark.table("read_meanwhile.rows").count() == 9 == some.read(spark, "rows").count()
+        assert by_name.count() in (5, 9)  # never a mixture, never an error
+        some.publish("rows", spark.range(3))
+        assert some.prune(spark, "rows", keep=2) == 1 and some.read(spark, "rows").count() == 3
+        assert some.history(spark).count() == 3
+    finally:
+        spark.sql("drop database read_meanwhile cascade")
+
+
+def test_the_name_is_never_missing_when_only_the_place_changes(spark, monkeypatch):
+    spark.sql("create database if not exists always_there")
+    try:
+        some = Publisher(stage_path(spark, "there"), database="always_there")
+        some.publish("rows", spark.range(5))
+        said, run = [], type(spark).sql
+        monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: (
+            said.append(text), run(self, text, *a, **k))[1])
+        some.publish("rows", spark.range(6))
+        assert any(text.startswith("ALTER TABLE") for text in said)
+        assert not any(text.startswith("DROP") for text in said)
+        assert run(spark, "select count(*) as n from always_there.rows").first()["n"] == 6
+    finally:
+        run(spark, "drop database always_there cascade")
+
+
+def test_a_table_that_was_never_published(spark):
+    some = Publisher(stage_path(spark, "few"))
+    some.publish("rows", spark.range(1))
+    with pytest.raises(LookupError):
+        some.read(spark, "other")
+
+
 def test_stages_of_a_run_are_removed(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(stages, "shared_folder", lambda spark: str(tmp_path))
     before = stages.stage(spark.range(2), "rows")
