@@ -22,6 +22,7 @@ from taskspan.operators import trees
 from taskspan.operators.dictionary import (
     category_counts, category_dictionary, dictionary_sizes, encode,
 )
+from taskspan.operators.quantiles import group_quantiles
 from taskspan.operators.stats import interval_stats
 from taskspan.schema import DAYS, FEATURES
 from taskspan.sources.stage import stage
@@ -141,14 +142,12 @@ def leaf_quantiles(rows: DataFrame, *, leaf: str, residual: Column, weight: Colu
                    alpha: float = QUANTILE, decimals: int | None = None) -> DataFrame:
     """The alpha-quantile of the residuals per leaf, as `value`; exact unless `decimals` are given.
 
-    Equal residuals are added up first, so a leaf that holds most rows is shrunk before it is
-    shuffled.
+    Equal residuals are added up first; no task holds the residuals of a leaf.
     """
     residual = residual if decimals is None else F.round(residual, decimals)
     counted = rows.groupBy(leaf, residual.alias("residual")).agg(
         F.sum(F.lit(1) if weight is None else weight).alias("weight"))
-    return counted.groupBy(leaf).agg(
-        F.percentile("residual", alpha, F.col("weight")).alias("value"))
+    return group_quantiles(counted, [leaf], "residual", alpha, weight="weight", name="value")
 
 
 def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES, label: str = DAYS,
