@@ -1,16 +1,17 @@
 """Business days and the merging of repeated ("rework") tasks.
 
-A group's dates come from the longest span per start date, cut off where spans overlap, so the state
-of one group is bounded by the calendar however many rows the group has.
+A group's dates are bitmaps, one word for 64 days, that unite by partial aggregation, so the state of
+one group is bounded by the calendar however many rows the group has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskspan.operators.daybits import calendar_words, group_words, lowest_day, word_at
 from taskspan.operators.extract import extract_nonworkdays
 from taskspan.schema import DAYS
 from taskspan.sources.stage import stage
@@ -74,82 +75,59 @@ def business_dates(df: DataFrame, calendar: DataFrame, *, from_year: int,
     return flagged.withColumn(name, dates).drop("_nonwork")
 
 
-def distinct_spans(df: DataFrame, keys: Sequence[str] = REPEAT_KEYS, *,
-                   repeated: bool = False) -> DataFrame:
-    """Per group spans (`_from`, `completeDate`) without overlaps that cover the same dates.
-
-    Each start date keeps its latest completion and is cut off against the latest completion before
-    it; spans that end before they start drop. With `repeated`, only groups of several named rows
-    are worked out.
-    """
-    valid = F.when(F.col("startDate") <= F.col("completeDate"), F.col("completeDate"))
-    spans = df.groupBy(*keys, "startDate").agg(
-        F.max(valid).alias("completeDate"), F.count("subIntervalName").alias("_named"))
-    if repeated:
-        group = Window.partitionBy(*keys)
-        spans = spans.withColumn("_named", F.sum("_named").over(group)).where(F.col("_named") > 1)
-    earlier = Window.partitionBy(*keys).orderBy("startDate").rowsBetween(
-        Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.col("startDate"), F.date_add(F.max("completeDate").over(earlier), 1))
-    return spans.withColumn("_from", fresh).where(F.col("_from") <= F.col("completeDate"))
+def working_words(df: DataFrame, calendar: DataFrame, *, from_year: int,
+                  keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
+    """Bitmaps of the distinct business days of each group, see `daybits.group_words`; `lacking` has
+    the days of the group that are missing within the calendar."""
+    off = (F.col("isworkday") == 0) & (F.year("date") >= from_year)
+    words = group_words(df, keys, "startDate", "completeDate", "subIntervalName")
+    flagged = words.withColumn("_calendar", calendar_words(calendar, off))
+    off_days, lacking = (
+        word_at(F.col("_calendar")[name], F.col("_calendar")["first"], F.col("word"))
+        for name in ("off", "lacking")
+    )
+    return flagged.select(
+        *keys, "word", "first", "last", "named",
+        F.col("bits").bitwiseAND(F.bitwise_not(off_days)).alias("bits"),
+        F.col("bits").bitwiseAND(lacking).alias("lacking"),
+    )
 
 
 def group_dates(df: DataFrame, calendar: DataFrame, *, from_year: int,
                 keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:
-    """Distinct business dates per group, sorted, as `B_dates`; groups without a valid span lack."""
-    spans = distinct_spans(df, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_from", "completeDate"))).alias("_spans"))
-    flagged = spans.withColumn("_nonwork", nonwork_flags(calendar, from_year))
-    dates = F.flatten(F.transform(
-        "_spans", lambda span: F.sequence(span["_from"], span["completeDate"])))
-    merged = F.filter(dates, lambda day: _works(day, F.col("_nonwork")))
-    return flagged.withColumn("B_dates", merged).select(*keys, "B_dates")
+    """Distinct business dates per group, sorted, as `B_dates`; groups without a valid span lack.
 
-
-def workday_ordinals(calendar: DataFrame, from_year: int) -> DataFrame:
-    """Calendar with the number of business dates before and up to each date.
-
-    The running sum goes through one task: the calendar has one row per day.
+    A group collects one bitmap for 64 days, so its list is bounded by the calendar. Dates the
+    calendar lacks are business dates.
     """
-    off = (F.col("isworkday") == 0) & (F.year("date") >= from_year)
-    business = F.when(off, 0).otherwise(1)
-    upto = F.sum(business).over(Window.partitionBy(F.lit(0)).orderBy("date"))
-    return calendar.select("date", upto.alias("upto"), (upto - business).alias("before"))
+    words = working_words(df, calendar, from_year=from_year, keys=keys)
+    found = words.where(F.col("first").isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("word", "bits", "first", "last"))).alias("_words"))
+    dates = F.flatten(F.transform("_words", lambda w: F.filter(
+        F.sequence(F.date_from_unix_date(w["first"]), F.date_from_unix_date(w["last"])),
+        lambda day: F.getbit(w["bits"], F.unix_date(day).bitwiseAND(63)) == 1)))
+    return found.select(*keys, dates.alias("B_dates"))
 
 
 def rework_days(df: DataFrame, calendar: DataFrame, *, from_year: int,
                 keys: Sequence[str] = REPEAT_KEYS, repeated: bool = False) -> DataFrame:
     """Distinct business days per group as column `days`, without listing the dates.
 
-    Each span is counted with the ordinals of the calendar. As in `group_dates`, dates before and
-    after the calendar are business dates; a date missing in between is an error.
+    The days are bits that are counted. As in `group_dates`, dates before and after the calendar are
+    business dates; a date missing in between is an error. With `repeated`, only groups of several
+    named rows are returned.
     """
-    ordinals = stage(workday_ordinals(calendar, from_year), "workday-ordinals")
-    ends = ordinals.agg(F.struct(
-        F.min("date").alias("first"), F.max("date").alias("last"), F.max("upto").alias("all"),
-    ).alias("ends"))
-
-    def count(day: Column, found: Column, included: int) -> Column:
-        """Business dates up to a day, itself included or not."""
-        outside = (
-            F.when(F.col("_ends.first").isNull(), F.unix_date(day) + included)
-            .when(day < F.col("_ends.first"), F.date_diff(day, F.col("_ends.first")) + included)
-            .when(day > F.col("_ends.last"),
-                  F.col("_ends.all") + F.date_diff(day, F.col("_ends.last")) + included - 1)
-            .otherwise(F.raise_error(F.concat(F.lit("the calendar lacks "), day.cast("string"))))
-        )
-        return F.when(found.isNotNull(), found).otherwise(outside.cast("long"))
-
-    first = ordinals.select(F.col("date").alias("_from"), "before")
-    last = ordinals.select(F.col("date").alias("completeDate"), "upto")
-    spans = (
-        distinct_spans(df, keys, repeated=repeated)
-        .join(first, "_from", "left").join(last, "completeDate", "left")
-        .withColumn("_ends", ends.scalar())
-    )
-    days = (count(F.col("completeDate"), F.col("upto"), 1)
-            - count(F.col("_from"), F.col("before"), 0))
-    return spans.groupBy(*keys).agg(F.sum(days).cast("int").alias("days"))
+    words = working_words(df, calendar, from_year=from_year, keys=keys)
+    missing = F.concat(F.lit("the calendar lacks "), F.date_from_unix_date(
+        lowest_day(F.col("lacking"), F.col("word"))).cast("string"))
+    days = F.when(F.col("lacking") == 0, F.bit_count("bits")).otherwise(F.raise_error(missing).cast("int"))
+    groups = words.groupBy(*keys).agg(
+        F.sum(days).cast("int").alias("days"), F.sum("named").alias("_named"),
+        F.max("first").alias("_last"))
+    found = groups.where(F.col("_last").isNotNull())
+    if repeated:
+        found = found.where(F.col("_named") > 1)
+    return found.select(*keys, "days")
 
 
 def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

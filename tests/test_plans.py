@@ -24,7 +24,7 @@ def test_rework_shuffles_whole_rows_once(spark):
     plan = queries()["rework_merge"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+", "", plan))
     keyed = [e for e in exchanges if e.startswith("orderID, subIntID")]
-    assert len(keyed) == 3  # rows, longest span per start, spans per group
+    assert len(keyed) == 3  # rows, words of days, words per group
 
 
 def test_scan_reads_only_used_columns(spark):
