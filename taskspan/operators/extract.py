@@ -9,6 +9,7 @@ from taskspan.functions import text
 from taskspan.schema import (
     DAYS, DEPENDENCY_CODES, EXCLUDED_ORDER_TYPE, INCLUDED_FLAGS, SOURCE_SYSTEMS,
 )
+from taskspan.sources.layout import MONTH, beside, in_months
 from taskspan.sources.stage import stage
 from taskspan.sources.tables import Warehouse
 
@@ -35,7 +36,9 @@ def eligible_orders(orders: DataFrame, *, status: str, flags: tuple[str, ...] =
         & (F.col("inidordertype") != EXCLUDED_ORDER_TYPE)
         & F.col("IncludedFlag").isin(*flags)
     )
-    return kept.where(in_window(F.col("completedate"), window, mode)) if window else kept
+    if window:
+        kept = in_months(kept.where(in_window(F.col("completedate"), window, mode)), window)
+    return kept
 
 
 def live_tasks(tasks: DataFrame) -> DataFrame:
@@ -83,10 +86,13 @@ def star_join(orders: DataFrame, attributes: DataFrame, tasks: DataFrame,
     they meet the tasks. So the planner knows the bytes of both: under its broadcast threshold
     nothing large is shuffled. Otherwise the tables meet on `sourcekey`, and the adaptive skew join
     splits the partition of an order that owns a large share of the tasks. The types come last, so
-    that their names are not part of the shuffled rows.
+    that their names are not part of the shuffled rows. Of tables laid out by month, only the months
+    of the stored orders are read.
     """
-    order_rows = stage(attributes.join(stage(orders, "orders"), "sourcekey"), "order-rows")
-    return tasks.join(order_rows, "sourcekey").join(types, "subIntID")
+    orders = stage(orders, "orders")
+    order_rows = stage(
+        beside(attributes, orders).join(orders.drop(MONTH), "sourcekey"), "order-rows")
+    return beside(tasks, orders).join(order_rows, "sourcekey").join(types, "subIntID")
 
 
 def _order_columns() -> dict[str, Column]:
@@ -143,8 +149,10 @@ def extract_orders(source: Warehouse, *, window: tuple[str, str],
     """One row per completed order with its own interval; copies stay, missing dates drop."""
     orders = eligible_orders(source.orders, status="Completed", window=window, mode=mode).where(
         F.col("completedate").isNotNull() & F.col("orderWfStart").isNotNull())
+    if MONTH in orders.columns:
+        orders = stage(orders, "orders")
     rows = with_interval(
-        orders.join(source.attributes, "sourcekey"), source.calendar, "orderWfStart",
+        orders.join(beside(source.attributes, orders), "sourcekey"), source.calendar, "orderWfStart",
         "completedate", name="orderIntervalDays", mode=mode,
     )
     return rows.select(

@@ -12,7 +12,7 @@ from taskspan.operators import boost, categories, clean, configs, dictionary, ex
 from taskspan.operators import outliers, rework, stats
 from taskspan.plans import prepare
 from taskspan.schema import CONFIG_KEYS, DAYS, FEATURES, TASK_COLUMNS, TASK_IDS
-from taskspan.sources import mapping
+from taskspan.sources import layout, mapping
 from taskspan.sources.stage import stage, stage_path
 from taskspan.sources.tables import Publications, Warehouse, overwrite_table
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 TRAIN, TEST, FROM_YEAR = mapping.TRAIN_WINDOW, mapping.TEST_WINDOW, mapping.NONWORK_FROM_YEAR
 HALVES = (TRAIN[0], "1997-12-31"), ("1998-01-01", TRAIN[1])
+QUARTER = ("1998-04-01", "1998-06-30")
 _models: dict[tuple[str, str], str] = {}
 
 
@@ -123,6 +124,12 @@ def extract_tasks_original(source):
     return _test_extract(source)
 
 
+@query
+def extract_quarter_by_month(source):
+    laid_out = layout.write_by_month(source, stage_path(source.orders.sparkSession, "by-month"))
+    return extract.extract_tasks(laid_out, window=QUARTER)
+
+
 @query
 def extract_orders(source):
     return extract.extract_orders(source, window=TRAIN)

@@ -165,6 +165,7 @@ _P_V2 = {"median": .5, "percentile_60": .6, "percentile_70": .7, "percentile_75"
 
 _CTES |= {
     "x_tasks": _extract(_TRAIN, "startDate", "completeDate", True),
+    "x_quarter": _extract(("1998-04-01", "1998-06-30"), "startDate", "completeDate", True),
     "x_distinct": _extract(_TRAIN, "startDate", "completeDate", False),
     "x_test": _extract(_TEST, "originalstartDate", "originalcompleteDate", False),
     "x_orders": f"""
@@ -349,6 +350,7 @@ def _oracle(name: str, sql: str) -> None:
 
 _oracle("extract_tasks", "select * from x_tasks")
 _oracle("extract_tasks_original", "select * from x_test")
+_oracle("extract_quarter_by_month", "select * from x_quarter")
 _oracle("extract_orders", "select * from x_orders")
 _oracle("extract_cancelled", "select * from x_cancelled")
 _oracle("nonworkdays", "select date from w_off")
