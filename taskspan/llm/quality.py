@@ -146,7 +146,8 @@ def resampled(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior:
     weight is above the cut that best splits the held-out labels. Rows that tie with the k-th stay.
 
     A null or empty text has weight 0, as it says nothing against the target. Repeated rows have the
-    same key and the same fate. Without labels of both kinds everything is kept. Extra columns, also
+    same key and the same fate. A held-out label counts once, however many rows have its doc_id, with
+    the largest of their weights. Without labels of both kinds everything is kept. Extra columns, also
     ones called like the new ones, are left out.
     """
     plain = docs.select("doc_id", "text")
@@ -156,7 +157,8 @@ def resampled(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior:
     rows = stage(weighed(known.drop("_target"), ratio).select(
         "doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"), "_held"),
         "weights")
-    held = rows.filter("_held is not null").select("log_weight", "_held").collect()  # bounded sample
+    held = rows.filter("_held is not null").groupBy("doc_id").agg(
+        F.max("log_weight").alias("log_weight"), F.max("_held").alias("_held")).collect()  # bounded sample
     cut = best_cut(np.array([r["log_weight"] for r in held]), np.array([r["_held"] > 0 for r in held], bool))
     wanted, total = rows.agg(F.count_if(F.col("log_weight") >= F.lit(cut)), F.count(F.lit(1))).first()
     least = float("-inf")

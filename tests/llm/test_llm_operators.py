@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -141,6 +143,57 @@ def test_quality_on_awkward_rows(spark, awkward, empty, labels):
     assert quality.good_documents(awkward, twice).columns == awkward.columns
 
 
+def quality_by_hand(rows, labels, prior):
+    """Log weights by row and the number of documents to keep, with n-grams as strings in dicts."""
+    def grams(text):
+        found = re.findall("[0-9a-z\\x80-\U0010ffff]+|[!-/:-@\\[-`{-~]+", re.sub(
+            "[A-Z]+", lambda m: m[0].lower(), text or ""))
+        return found + [(a, b) if a != b else "twice" for a, b in zip(found, found[1:])]
+
+    held = {k for k in labels if zlib.crc32(str(k).encode()) % 5 == 0}
+    raw, target = Counter(), Counter()
+    for doc_id, text in rows:
+        raw.update(grams(text))
+        if labels.get(doc_id, 0) > 0 and doc_id not in held:
+            target.update(grams(text))
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + prior) / (n * scale + prior)) for g, n in raw.items()}
+    weights = [sum(ratio[g] for g in grams(text)) for _, text in rows]
+    best = {}
+    for (doc_id, _), weight in zip(rows, weights):
+        if doc_id in held:
+            best[doc_id] = max(weight, best.get(doc_id, weight))
+    order = sorted(best, key=best.get)
+    errors = [sum(labels[k] > 0 for k in order[:at]) + sum(labels[k] <= 0 for k in order[at:])
+              for at in range(len(order) + 1)]
+    least = [at for at, n in enumerate(errors) if n == min(errors)]
+    at = least[len(least) // 2]
+    cut = (best[order[at - 1]] + best[order[min(at, len(order) - 1)]]) / 2 if at else -math.inf
+    return weights, sum(w >= cut for w in weights)
+
+
+def test_quality_against_plain_python(spark):
+    """The whole result: weights, the number kept and which ones; one held-out doc_id has many rows."""
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(60)] + ["It's", "Äpfel", "A,b", "!!"]
+    rows = [(k, " ".join(rng.choices(words[:40] if k % 3 else words[20:], k=rng.randint(1, 60))))
+            for k in range(240)]
+    hot = next(k for k in range(0, 240, 3) if zlib.crc32(str(k).encode()) % 5 == 0)
+    rows += [(hot, " ".join(rng.choices(words, k=20))) for _ in range(120)]
+    rows += [(500, None), (501, ""), (502, "word1 word1")] + [rows[7]] * 2
+    known = {k: int(k % 3 > 0) for k in range(200)}
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "by_hand")
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
+    weights, wanted = quality_by_hand(rows, known, quality.PRIOR)
+    got = quality.resampled(docs, labels, buckets=1 << 22)[0].collect()
+    assert 0 < wanted < len(rows)
+    want = sorted((k, w) for (k, _), w in zip(rows, weights))
+    for (doc_id, weight), r in zip(want, sorted(got, key=lambda r: (r.doc_id, r.log_weight))):
+        assert r.doc_id == doc_id and r.log_weight == pytest.approx(weight, abs=1e-9)
+    last = sorted((r.key for r in got), reverse=True)[wanted - 1]
+    assert all(r.kept == (r.key >= last) for r in got)
+
+
 # 3: decontamination
 
 def test_decontamination_on_awkward_rows(awkward, empty, benchmark):
