@@ -76,6 +76,8 @@ class QuantileBoost:
 
         Every distinct combination of categories is scored once, by all trees in one pass, and the
         scores are joined back to the rows. The broadcast model is as bounded as its settings.
+        `df` is read twice, and all conditions of its plan would be repeated for every category that
+        is renamed, which can fill the planner's heap: pass a stored table.
         """
         if not self.rounds:
             return df.withColumn(name, F.lit(self.base))

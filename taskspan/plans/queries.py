@@ -87,6 +87,11 @@ def _test(source: Warehouse) -> DataFrame:
     return prepare.prepare_test(source, window=TEST)
 
 
+def _test_rows(source: Warehouse) -> DataFrame:
+    """The test rows as a stored table, for the model, which reads them more than once."""
+    return stage(_test(source), "test-rows")
+
+
 def _config_stats(source: Warehouse) -> DataFrame:
     return configs.config_stats(_train(source))
 
@@ -595,7 +600,7 @@ def boost_leaves(source):
 def scored_columns(source):
     """What the scored table holds besides the predictions, whatever the model."""
     model = boost.fit_quantile_boost(stage(_train(source), "train"), rounds=1)
-    return boost.scored_table(model, _test(source)).drop("Prediction")
+    return boost.scored_table(model, _test_rows(source)).drop("Prediction")
 
 
 @query
@@ -606,12 +611,12 @@ def quantile_boost_fit(source):
 
 @query
 def quantile_boost_predict(source):
-    return _fitted(source).predict(_test(source)).select(*TASK_COLUMNS, "Prediction")
+    return _fitted(source).predict(_test_rows(source)).select(*TASK_COLUMNS, "Prediction")
 
 
 @query
 def scored_table(source):
-    return boost.scored_table(_fitted(source), _test(source))
+    return boost.scored_table(_fitted(source), _test_rows(source))
 
 
 @query
@@ -619,7 +624,7 @@ def run_record(source):
     spark = source.tasks.sparkSession
     model = _fitted(source)
     path = stage_path(spark, "model")
-    scored = stage(boost.scored_table(model, _test(source), rounded=False), "scored")
+    scored = stage(boost.scored_table(model, _test_rows(source), rounded=False), "scored")
     record = boost.run_record(
         model.settings, metrics.eval_metrics(scored), model.save(spark, path))
     return boost.log_run(record, stage_path(spark, "runs"))

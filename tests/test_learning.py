@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from taskspan.operators import boost, configs, dictionary, metrics, trees
+from taskspan.plans import queries
 from taskspan.schema import CONFIG_KEYS, DAYS, FEATURES
 from taskspan.sources.stage import stage, stage_path
 
@@ -63,6 +65,17 @@ def test_model_survives_saving(spark, model, test_rows):
     assert want.exceptAll(got).isEmpty() and got.count() == test_rows.count()
 
 
+@pytest.mark.parametrize("name", ["quantile_boost_predict", "scored_table", "scored_columns"])
+def test_model_queries_score_stored_rows(spark, monkeypatch, name):
+    """The plan of the test rows, many times over in one plan, filled the driver's heap."""
+    fit = boost.fit_quantile_boost
+    monkeypatch.setattr(boost, "fit_quantile_boost", lambda train, **_: fit(train, rounds=1))
+    monkeypatch.setattr(queries, "_models", {})
+    scored = queries.QUERIES[name](spark, SF)
+    assert not [f for f in scored.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
+    assert not [f for f in scored.inputFiles() if "test-tasks" in f]
+
+
 def test_unseen_categories_are_scored(spark, model, train):
     strange = rows(spark, 20, 5, ("Elsewhere",))
     assert model.predict(strange).where(F.col("Prediction").isNull()).isEmpty()
