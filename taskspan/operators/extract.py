@@ -86,9 +86,9 @@ def star_join(orders: DataFrame, attributes: DataFrame, tasks: DataFrame,
     The orders of the window are stored before they meet the attributes, and the order rows before
     they meet the tasks. So the planner knows the bytes of both: under its broadcast threshold
     nothing large is shuffled. Otherwise the tables meet on `sourcekey`, and the adaptive skew join
-    splits the partition of an order that owns a large share of the tasks. Attributes and tasks of
-    other orders are left out by a bitmap of the keys while they are scanned, but for a few, so that
-    what is shuffled follows the orders of the window. The types come last, so that their names are
+    splits the partition of an order that owns a large share of the tasks. Where the orders are many,
+    attributes and tasks of other orders are left out by a bitmap of the keys while they are scanned,
+    but for a few, so that what is shuffled follows the orders of the window. The types come last, so that their names are
     not part of the shuffled rows. Of tables laid out by month, only the months of the stored orders
     are read.
     """

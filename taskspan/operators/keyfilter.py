@@ -3,7 +3,7 @@
 A key is one bit of a bitmap, at the place its hash gives. The bitmap is a stored table of one row that
 plans read as a scalar, so a large table meets it while it is scanned. It keeps all rows with a
 key and few without; a join must follow. Its size follows the number of keys up to a bound; with more keys it
-only keeps more rows.
+only keeps more rows. Few keys make no bitmap: what is joined with them is broadcast anyway.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from taskspan.sources.stage import stage
 
+LEAST_KEYS = 1 << 16  # fewer rows of keys are a broadcast, and the join itself shuffles nothing
 BITS_PER_KEY = 8
 LEAST_WORDS, MOST_WORDS = 1 << 6, 1 << 20  # 64 bits each: at most 8 MB
 _PIECE = 10  # words that are put in order together, as a power of two
@@ -34,14 +35,14 @@ class KeyFilter:
 
     def __init__(self, keys: DataFrame, column: str):
         self.column, self.kind = column, _kind(keys, column)
-        needed = keys.count() * BITS_PER_KEY // 64
-        self.words = min(max(1 << needed.bit_length(), LEAST_WORDS), MOST_WORDS)
-        self.bits = _bitmap(keys.select(_place(keys, column, self.words).alias("_bit")), self.words)
+        rows = keys.count()
+        self.words = min(max(1 << (rows * BITS_PER_KEY // 64).bit_length(), LEAST_WORDS), MOST_WORDS)
+        self.bits = None if rows < LEAST_KEYS else _bitmap(keys.select(_place(keys, column, self.words).alias("_bit")), self.words)
 
     def may_hold(self, df: DataFrame) -> DataFrame:
-        """The rows of `df` whose key may be among the keys. Where a join would have to turn text into
-        numbers to compare them, `df` stays as it is."""
-        if _kind(df, self.column) != self.kind:
+        """The rows of `df` whose key may be among the keys. With few keys, or where a join would have to
+        turn text into numbers to compare them, `df` stays as it is."""
+        if self.bits is None or _kind(df, self.column) != self.kind:
             return df
         place = _place(df, self.column, self.words)
         word = F.get(self.bits.scalar(), F.shiftright(place, 6).cast("int"))

@@ -9,6 +9,11 @@ from taskspan.plans.queries import TRAIN
 from taskspan.sources.stage import stage
 
 
+@pytest.fixture(autouse=True)
+def few_keys_too(monkeypatch):
+    monkeypatch.setattr(keyfilter, "LEAST_KEYS", 0)
+
+
 @pytest.fixture(scope="module")
 def keys(spark):
     return stage(spark.range(0, 40_000, 8).withColumnRenamed("id", "k"), "keys")
@@ -29,6 +34,14 @@ def test_bounded_bitmap_only_keeps_more(spark, keys, monkeypatch):
     assert keys.exceptAll(known.may_hold(keys)).isEmpty()
 
 
+def test_few_keys_make_no_bitmap(keys, monkeypatch):
+    monkeypatch.setattr(keyfilter, "LEAST_KEYS", 5_001)
+    known = KeyFilter(keys, "k")
+    assert known.bits is None and known.may_hold(keys) is keys
+    monkeypatch.setattr(keyfilter, "LEAST_KEYS", 5_000)
+    assert KeyFilter(keys, "k").bits is not None
+
+
 def test_odd_keys(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("",), (None,), ("a",)], "k string")
     known = KeyFilter(stage(rows.where("k in ('a', '')"), "keys"), "k")
