@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from taskspan.operators import extract, keyfilter
 from taskspan.operators.keyfilter import KeyFilter
-from taskspan.plans.queries import TRAIN
+from taskspan.plans.queries import TEST, TRAIN
 from taskspan.sources.stage import stage
 
 
@@ -62,3 +62,10 @@ def test_tasks_of_other_orders_are_not_shuffled(source):
         source, window=TRAIN)._jdf.queryExecution().optimizedPlan().toString()
     some = KeyFilter(orders, "sourcekey").may_hold(source.tasks).count()
     assert mine <= some < mine + 0.2 * (source.tasks.count() - mine)
+
+
+def test_test_rows_are_filtered_too(source):
+    """The lookup of predictions extracts both windows, by the same step."""
+    rows = extract.extract_tasks(source, window=TEST, start_col="originalstartDate",
+                                 complete_col="originalcompleteDate", keep_ids=False)
+    assert "getbit" in rows._jdf.queryExecution().optimizedPlan().toString()
