@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ WINDOW = 10
 BLOCK_WORDS = 200_000  # item words of one automaton: at most twice as many states
 MOST_COVERAGE = 0.5
 LETTERS = tx.classes("0123456789abcdefghijklmnopqrstuvwxyz", high=1)
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()),
                                   T.StructField("last", T.IntegerType())]))
 
@@ -155,18 +157,19 @@ class Automaton:
             yield start, code[start:end].tolist()
 
 
-def _automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Automaton]:
-    """One automaton per block of items; an item is whole in its block, repeated rows count once."""
+def _automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple[Automaton, bool]]:
+    """One automaton per block of items, and whether it is the last one; an item is whole in its block,
+    repeated rows count once."""
     block, size = [], 0
     for row in benchmark.select("item_id", "text").distinct().toLocalIterator():
         data = np.frombuffer((row["text"] or "").encode(), np.uint8)
         words = words_of(data, np.array([0, len(data)]))[0]
         if block and size + len(words) > block_words:
-            yield Automaton(block, window)
+            yield Automaton(block, window), False
             block, size = [], 0
         block.append((row["item_id"], words))
         size += len(words)
-    yield Automaton(block, window)
+    yield Automaton(block, window), True
 
 
 def _marked(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -180,18 +183,20 @@ def _marked(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"first": s, "last": e} for s, e in out]
 
 
-def _scan(docs: DataFrame, text: int, automaton, again: bool) -> DataFrame:
-    """Append (or widen, if `again`) the columns n_words, spans and items at the end of `docs`."""
-    kinds = T.StructType([*docs.schema.fields[:-3 if again else None],
+def _scan(docs: DataFrame, text: int, automaton, again: bool, then: Step | None) -> DataFrame:
+    """Append (or widen, if `again`) the columns n_words, spans and items at the end of `docs`; with
+    `then` its rows instead, which have the columns of `docs` without the three."""
+    own = T.StructType(docs.schema.fields[:-3 if again else None])
+    kinds = T.StructType([*own.fields,
                           T.StructField("n_words", T.LongType()),
                           T.StructField("spans", SPANS),
                           T.StructField("items", T.ArrayType(T.LongType()))])
-    kept = len(kinds) - 3
+    kept = len(own)
     match = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = automaton.value
-        for batch in batches:
+        for batch in tx.pieces(batches, text):
             data, offsets = tx.flat(batch.column(text))
             n_words = np.zeros(batch.num_rows, np.int64)
             found: dict[int, tuple[list, set]] = {}
@@ -219,11 +224,13 @@ def _scan(docs: DataFrame, text: int, automaton, again: bool) -> DataFrame:
                  pa.array(items, pa.list_(pa.int64()))],
                 names=[*batch.schema.names[:kept], "n_words", "spans", "items"])
 
-    return docs.mapInArrow(scan, kinds)
+    if then is None:
+        return docs.mapInArrow(scan, kinds)
+    return docs.mapInArrow(lambda batches: then(scan(batches)), own)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-            block_words: int = BLOCK_WORDS) -> DataFrame:
+            block_words: int = BLOCK_WORDS, then: Step | None = None) -> DataFrame:
     """The rows and columns of `docs`, then n_words, spans (of word numbers, disjoint) and items.
 
     A window is `window` consecutive words of an item, or all of a shorter item's words; the spans
@@ -231,15 +238,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     (any non-ASCII character counts as a letter), A-Z lower-cased, and are compared by 64-bit hash.
 
     The items are taken in blocks of `block_words`, as only a bounded automaton is broadcast; with
-    more than one block the documents are scanned once per block and stored in between.
+    more than one block the documents are scanned once per block and stored in between. `then` turns
+    the batches of the result into ones with the columns of `docs`, in the Python worker of the last
+    scan; a step of its own would keep a second worker and the batches of both in memory.
 
     Null or empty texts have no words; items without words match nothing; an item_id on several rows
     stands for all their texts; null item_ids match but appear as null in `items`.
     """
     text, again = docs.columns.index("text"), False
-    for automaton in _automata(benchmark, window, block_words):
+    for automaton, last in _automata(benchmark, window, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        docs = _scan(stage(docs, "scanned") if again else docs, text, shared, again)
+        docs = _scan(stage(docs, "scanned") if again else docs, text, shared, again, then if last else None)
         again = True
     return docs
 
@@ -259,13 +268,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_coverage: float =
     A span is cut from its first word to the start of the word behind it. n_chars, if there is such
     a column, becomes the new length; rows without hits stay as they are.
     """
-    found = matched(apart(docs, "text"), benchmark, **settings)
-    text, counted = docs.columns.index("text"), "n_chars" in docs.columns
+    n, text, counted = len(docs.columns), docs.columns.index("text"), "n_chars" in docs.columns
     length = docs.columns.index("n_chars") if counted else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(kinds)
             spans, n_words = batch.column(n + 1), batch.column(n)
             hit = [row for row, s in enumerate(spans.to_pylist()) if s]
             columns = list(batch.columns[:n])
@@ -286,17 +293,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, most_coverage: float =
                     at = begin[e]
                 changed[row] = b"".join([*pieces, source[at:]]).decode("utf-8", "replace")
             if changed:
-                values = columns[text].to_pylist()
-                for row, value in changed.items():
-                    values[row] = value
-                columns[text] = pa.array(values, columns[text].type)
+                at = np.zeros(batch.num_rows, bool)
+                at[list(changed)] = True
+                values = [changed[row] for row in sorted(changed)]
+                columns[text] = pc.replace_with_mask(
+                    columns[text], pa.array(at), pa.array(values, columns[text].type))
                 if counted:
-                    lengths = columns[length].to_pylist()
-                    for row, value in changed.items():
-                        lengths[row] = len(value)
-                    columns[length] = pa.array(lengths, columns[length].type)
+                    columns[length] = pc.replace_with_mask(columns[length], pa.array(at), pa.array(
+                        [len(value) for value in values], columns[length].type))
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n])
             yield out.filter(pa.array(keep))
 
-    kinds = T.StructType(found.schema.fields[:-3])
-    return found.mapInArrow(cut, kinds).toDF(*docs.columns)
+    return matched(apart(docs, "text"), benchmark, then=cut, **settings).toDF(*docs.columns)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19  # text looked at together: its arrays stay in the cache and memory stays small
+PIECE_BYTES = 1 << 22  # text of the rows that are written back together
 _MASK = (1 << 64) - 1
 
 
@@ -35,6 +36,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = PIECE_BYTES
+           ) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows, so that a piece has at most `limit` bytes of text. What is made of a
+    piece stays small beside the batch, however long the texts are."""
+    for batch in batches:
+        for low, high in slices(flat(batch.column(column))[1], limit):
+            yield batch.slice(low, high - low)
+
+
 def classes(*members: str | bytes, high: int = 0) -> np.ndarray:
     """A class per byte: 0 for none, k for the k-th set, `high` for bytes of non-ASCII characters."""
     table = np.zeros(256, np.uint8)

@@ -27,6 +27,14 @@ def test_slices_cover_all_rows_and_give_long_texts_their_own():
     assert list(text.slices(np.array([0]), 10)) == []
 
 
+def test_pieces_hold_all_rows_in_order_and_little_text():
+    texts = ["abc", None, "d" * 50, "", "efgh", "ij", "klmn"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], ["k", "text"])
+    made = list(text.pieces(iter([batch, batch.slice(0, 0), batch.slice(4)]), 1, 10))
+    assert [piece["k"].to_pylist() for piece in made] == [[0, 1], [2], [3, 4, 5, 6], [4, 5, 6]]
+    assert pa.Table.from_batches(made)["text"].to_pylist() == texts + texts[4:]
+
+
 def test_tokens_do_not_cross_rows():
     data, offsets = buffer(["ab", "cd e", "", " f"])
     starts, ends, first = text.tokens(data, offsets, text.classes("abcdef"))

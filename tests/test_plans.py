@@ -7,6 +7,7 @@ import pytest
 
 from conftest import SF
 from __spark_entry__ import queries
+from taskspan.llm import decontaminate
 
 PACKAGE = Path(__file__).resolve().parents[1] / "taskspan"
 PLANNED = ["extract_tasks", "trim_bottom", "threshold_outliers", "prepare_test", "business_dates",
@@ -36,3 +37,11 @@ def test_library_collects_no_tables():
     text = "\n".join(p.read_text() for p in PACKAGE.rglob("*.py"))
     for word in ("toPandas", "localCheckpoint", "crossJoin", ".rdd", "@F.udf", "pandas_udf"):
         assert word not in text
+
+
+def test_decontamination_keeps_one_python_worker_per_task(spark):
+    """A scan and a cut in steps of their own run in two workers at once, each with its batches."""
+    docs = spark.createDataFrame([(1, "a b c", 5)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    plan = decontaminate.decontaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
