@@ -22,36 +22,39 @@ _PIECE = 10  # words that are put in order together, as a power of two
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _place(df: DataFrame, column: str, words: int) -> Column:
+def _place(df: DataFrame, columns: tuple[str, ...], words: int) -> Column:
     """The bit of a key; whole numbers of any width have the same."""
-    key = F.col(column)
-    if isinstance(df.schema[column].dataType, _WHOLE):
-        key = key.cast("long")
-    return F.pmod(F.xxhash64(key), F.lit(64 * words))
+    key = [F.col(c).cast("long") if isinstance(df.schema[c].dataType, _WHOLE) else F.col(c) for c in columns]
+    return F.pmod(F.xxhash64(*key), F.lit(64 * words))
 
 
 class KeyFilter:
-    """The keys in a column of a table, which is read twice: pass a stored one."""
+    """The keys in one or more columns of a table, which is read twice: pass a stored one."""
 
-    def __init__(self, keys: DataFrame, column: str):
-        self.column, self.kind = column, _kind(keys, column)
+    def __init__(self, keys: DataFrame, *columns: str):
+        self.columns, self.kind = columns, _kind(keys, columns)
         rows = keys.count()
         self.words = min(max(1 << (rows * BITS_PER_KEY // 64).bit_length(), LEAST_WORDS), MOST_WORDS)
-        self.bits = None if rows < LEAST_KEYS else _bitmap(keys.select(_place(keys, column, self.words).alias("_bit")), self.words)
+        self.bits = None if rows < LEAST_KEYS else _bitmap(keys.select(_place(keys, columns, self.words).alias("_bit")), self.words)
+
+    def held(self, df: DataFrame) -> Column | None:
+        """Whether the key of a row may be among the keys, never null. None with few keys, or where a join
+        would have to turn text into numbers to compare them."""
+        if self.bits is None or _kind(df, self.columns) != self.kind:
+            return None
+        place = _place(df, self.columns, self.words)
+        word = F.get(self.bits.scalar(), F.shiftright(place, 6).cast("int"))
+        return F.getbit(word, (place % 64).cast("int")) == 1
 
     def may_hold(self, df: DataFrame) -> DataFrame:
-        """The rows of `df` whose key may be among the keys. With few keys, or where a join would have to
-        turn text into numbers to compare them, `df` stays as it is."""
-        if self.bits is None or _kind(df, self.column) != self.kind:
-            return df
-        place = _place(df, self.column, self.words)
-        word = F.get(self.bits.scalar(), F.shiftright(place, 6).cast("int"))
-        return df.where(F.getbit(word, (place % 64).cast("int")) == 1)
+        """The rows of `df` whose key may be among the keys; `df` as it is where that can't be told."""
+        held = self.held(df)
+        return df if held is None else df.where(held)
 
 
-def _kind(df: DataFrame, column: str) -> str:
-    kind = df.schema[column].dataType
-    return "whole" if isinstance(kind, _WHOLE) else kind.simpleString()
+def _kind(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    kinds = [df.schema[c].dataType for c in columns]
+    return ["whole" if isinstance(kind, _WHOLE) else kind.simpleString() for kind in kinds]
 
 
 def _bitmap(bits: DataFrame, words: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from taskspan.operators.daybits import calendar_words, group_words, lowest_day, word_at
 from taskspan.operators.extract import extract_nonworkdays
+from taskspan.operators.keyfilter import KeyFilter
 from taskspan.schema import DAYS
 from taskspan.sources.stage import stage
 
@@ -163,6 +164,17 @@ def _first_rows(df: DataFrame, keys: Sequence[str], missing: Sequence[str]) -> D
     )
 
 
+def _single_rows(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame] | None:
+    """The rows that are alone in their group, but for a few, and all others, told apart in the scan.
+
+    Only the keys are counted and shuffled; a bitmap keeps those of several rows. None if they are few.
+    """
+    several = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(
+        *keys), "repeated-tasks")
+    held = KeyFilter(several, *keys).held(df)
+    return None if held is None else (df.where(~held), df.where(held))
+
+
 def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
                  keys: Sequence[str] = REPEAT_KEYS, nullable: Sequence[str] | None = None,
                  recompute_singles: bool = False, form: str = "dates") -> DataFrame:
@@ -170,8 +182,9 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
 
     Tasks that occur once keep their interval unless `recompute_singles`. `form="dates"` adds the
     dates as `B_dates`; `form="counts"` only counts them. `nullable` must name the columns in which a
-    value is missing somewhere; by default a pass over `df` finds them. `df` is read twice more:
-    pass a stored table or a chain without shuffles.
+    value is missing somewhere; by default a pass over `df` finds them. `df` is read a few times more:
+    pass a stored table or a chain without shuffles. Where only days are counted and singles keep their
+    interval, rows that are alone in their group are neither sorted nor shuffled.
     """
     columns = df.columns
     payload = [c for c in columns if c not in keys]
@@ -179,6 +192,19 @@ def rework_merge(df: DataFrame, calendar: DataFrame, *, from_year: int,
         "startDate": F.to_date("startDate"), "completeDate": F.to_date("completeDate"),
     })
     missing = missing_columns(keyed, payload) if nullable is None else list(nullable)
+    split = _single_rows(keyed, keys) if form == "counts" and not recompute_singles else None
+    if split:
+        alone, rest = split
+        merged = _merged(rest, calendar, from_year, keys, missing, recompute_singles, form)
+        return alone.where(F.col("subIntervalName").isNotNull()).select(
+            *columns, F.lit(1).cast("long").alias("count")).unionByName(merged)
+    return _merged(keyed, calendar, from_year, keys, missing, recompute_singles, form)
+
+
+def _merged(keyed: DataFrame, calendar: DataFrame, from_year: int, keys: Sequence[str],
+            missing: Sequence[str], recompute_singles: bool, form: str) -> DataFrame:
+    """`rework_merge` of rows with keys and dates."""
+    columns = keyed.columns
     groups = _first_rows(keyed, keys, missing)
     groups = groups.where(F.col("count") >= 1)
     if form == "dates":

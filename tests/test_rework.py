@@ -1,9 +1,11 @@
+import random
+from collections import Counter
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from taskspan.operators import rework
+from taskspan.operators import keyfilter, rework
 from taskspan.operators.clean import clean, task_table
 from taskspan.operators.extract import extract_tasks
 from taskspan.schema import DAYS
@@ -151,3 +153,22 @@ def test_repeat_count_per_row(stored_tasks):
     counted = rework.with_repeat_count(tasks)
     assert counted.count() == tasks.count()
     assert counted.where("count > 1").count() > 0
+
+
+@pytest.mark.parametrize("repeats", [0, 0.1, 1])
+def test_rows_alone_in_their_group_are_not_merged(spark, calendar, monkeypatch, repeats):
+    draw = random.Random(7)
+    rows = [(f"o{k}", k % 5, draw.choice(["t", "t", None]), draw.choice(["x", None]), MON, draw.choice([TUE, FRI, NEXT_MON]),
+             draw.randint(0, 9)) for k in range(2_000)]
+    rows += [row[:2] + draw.choice([("t", "y"), (None, "z")]) + (TUE, SUN, 3)
+             for row in rows if draw.random() < repeats]
+    rows += [(None, 1, "t", "x", MON, TUE, 1), ("o", None, "t", "x", MON, TUE, 1), ("o", 3, "t", "x", MON, None, None)]
+    whole = merged(spark, calendar, rows, form="counts")
+    want = Counter(whole.collect())
+    monkeypatch.setattr(keyfilter, "LEAST_KEYS", 0)
+    seen, first_rows = [], rework._first_rows
+    monkeypatch.setattr(rework, "_first_rows", lambda df, *a: seen.append(df) or first_rows(df, *a))
+    split = merged(spark, calendar, rows, form="counts")
+    assert split.dtypes == whole.dtypes and Counter(split.collect()) == want
+    several = [r for r, n in Counter(row[:2] for row in rows).items() if n > 1]
+    assert seen[0].count() < 2 * len(several) + 0.2 * len(rows)
