@@ -313,13 +313,19 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, ..) of buckets with several members, with n and the smallest node.
+    """The rows (key, node) of buckets with several members, with n and the smallest node.
 
-    The sizes are stored before they are joined: a join straight on an aggregation would keep its
-    dealing by key, and the adaptive skew join could not split a hot bucket.
+    Near copies share most of their keys, so of buckets with the same members one is kept: the others
+    hold no other pairs. Members are told by their number, the least, the largest and the exclusive
+    or of their hashes, which is exact for up to three; a node must not repeat in a bucket. The sizes
+    are stored before they are joined: a join straight on an aggregation would keep its dealing by
+    key, and the adaptive skew join could not split a hot bucket.
     """
-    sizes = stage(rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1"), "bucket_sizes")
+    sizes = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"), F.max("node").alias("last"),
+        F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    sizes = stage(sizes.groupBy("n", "leader", "last", "members").agg(F.min("key").alias("key")).select(
+        "key", "n", "leader"), "bucket_sizes")
     return stage(rows.join(sizes, "key"), "buckets")
 
 
@@ -372,16 +378,18 @@ def joined(words: list[np.ndarray], kind: np.ndarray, part: np.ndarray, similari
     return ones, others
 
 
-def _blocks(members: DataFrame, bucket: int) -> DataFrame:
+def _blocks(members: DataFrame, bucket: int, across: bool = True) -> DataFrame:
     """The members (key, node, class, n, ..) of buckets once per pair of blocks they take part in.
 
     The members of a bucket are dealt to n / `bucket` blocks, and each two blocks (`low`, `high`)
-    meet, so that a task holds two blocks at a time and every two members meet.
+    meet, so that a task holds two blocks at a time and every two members meet. Unless `across`, a
+    block meets itself alone, and there is a row per member.
     """
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    return members.withColumn("blocks", blocks).withColumn(
-        "own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
+    dealt = members.withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("own")
+    return dealt.withColumn("other", others).withColumns({
             "low": F.least("own", "other"), "high": F.greatest("own", "other"),
             "part": (F.col("own") > F.col("other")).cast("int")}).drop("n", "blocks", "own", "other")
 
@@ -419,7 +427,11 @@ def _profiled(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _closest(members: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """(a, b), a < b: for each member and pair of blocks the closest partner, if there is one."""
+    """(a, b), a < b: for each member of a bucket the closest partner in its own block, if there is one.
+
+    These are links to try first; `_linked` compares the blocks with each other. So the rows are at
+    most as many as the members, however large a bucket is.
+    """
 
     def look(table: pa.Table) -> pa.RecordBatch:
         _, other = partners(_profiled(table), similarity)
@@ -428,7 +440,7 @@ def _closest(members: DataFrame, similarity: float, bucket: int) -> DataFrame:
         a, b = node[one], node[other[one]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _per_block(_blocks(members, bucket), look, "a long, b long")
+    return _per_block(_blocks(members, bucket, across=False), look, "a long, b long")
 
 
 def _linked(members: DataFrame, texts: DataFrame, similarity: float, bucket: int) -> DataFrame:
@@ -476,7 +488,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
     nodes = rows.groupBy("h1", "h2").agg(
         F.min_by(F.struct("sketches", "words", "bag"), "doc").alias("of"), F.min("doc").alias("node"))
     nodes = stage(nodes.select("h1", "h2", "node", "of.*"), "nodes")
-    buckets = _bucketed(nodes.select("node", F.explode("sketches").alias("key")))
+    buckets = _bucketed(nodes.select("node", F.explode(F.array_distinct("sketches")).alias("key")))
     profiles = nodes.select("node", "words", "bag")
     seen = stage(buckets.groupBy("node").agg(F.min("leader").alias("leader")).filter("node <> leader").select(
         F.col("leader").alias("a"), F.col("node").alias("b")), "pairs")

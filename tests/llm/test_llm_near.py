@@ -58,6 +58,31 @@ def test_closest_partners_and_bounds_hold():
         assert (closest[a] >= 0) == some[a]
 
 
+def test_of_buckets_with_the_same_members_one_is_kept(spark):
+    """Near copies share many keys; the pairs of equal buckets are the same."""
+    sets = {1: (1, 2, 3, 9), 2: (1, 2, 3, 9), 3: (1, 2, 4, 9), 4: (1,), 5: (2, 3), 6: (2, 3), 7: (1, 2, 9)}
+    rows = [(key, node) for key, nodes in sets.items() for node in nodes]
+    found = near._bucketed(spark.createDataFrame(rows, "key long, node long")).collect()
+    assert sorted((r.key, r.node) for r in found) == sorted((k, x) for k in (1, 3, 5, 7) for x in sets[k])
+    assert {(r.key, r.n, r.leader) for r in found} == {(1, 4, 1), (3, 4, 1), (5, 2, 2), (7, 3, 1)}
+
+
+def test_closest_rows_grow_with_the_members_of_a_bucket(spark):
+    """Members that can all be alike: a row per member at most, however many blocks there are."""
+    for size in (40, 160):
+        rows = [(1, node, node, size, 20, bytes(near.BINS)) for node in range(size)]
+        members = spark.createDataFrame(rows, "key long, node long, class long, n long, words int, bag binary")
+        found = near._closest(members, near.SIMILARITY, 4).collect()
+        assert 0 < len(found) <= size
+        assert all(r.a < r.b for r in found)
+
+
+def test_a_text_of_one_word_repeated_meets_its_near_copies(spark):
+    texts = ["x x x x x", "x x x x y", "x x y x x", "y y y y y", "x x x x x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near.marked(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+
+
 def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path):
     rows = [(k, f"text {k % 40} " + " ".join(f"w{k % 40}x{j}" for j in range(12))) for k in range(400)]
     path = str(tmp_path / "docs")
