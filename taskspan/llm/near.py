@@ -378,18 +378,16 @@ def joined(words: list[np.ndarray], kind: np.ndarray, part: np.ndarray, similari
     return ones, others
 
 
-def _blocks(members: DataFrame, bucket: int, across: bool = True) -> DataFrame:
+def _blocks(members: DataFrame, bucket: int) -> DataFrame:
     """The members (key, node, class, n, ..) of buckets once per pair of blocks they take part in.
 
     The members of a bucket are dealt to n / `bucket` blocks, and each two blocks (`low`, `high`)
-    meet, so that a task holds two blocks at a time and every two members meet. Unless `across`, a
-    block meets itself alone, and there is a row per member.
+    meet, so that a task holds two blocks at a time and every two members meet.
     """
     blocks = F.ceil(F.col("n") / bucket).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn(
-        "own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("own")
-    return dealt.withColumn("other", others).withColumns({
+    return members.withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
             "low": F.least("own", "other"), "high": F.greatest("own", "other"),
             "part": (F.col("own") > F.col("other")).cast("int")}).drop("n", "blocks", "own", "other")
 
@@ -426,23 +424,6 @@ def _profiled(table: pa.Table) -> dict[str, np.ndarray]:
     return block
 
 
-def _closest(members: DataFrame, similarity: float, bucket: int) -> DataFrame:
-    """(a, b), a < b: for each member of a bucket the closest partner in its own block, if there is one.
-
-    These are links to try first; `_linked` compares the blocks with each other. So the rows are at
-    most as many as the members, however large a bucket is.
-    """
-
-    def look(table: pa.Table) -> pa.RecordBatch:
-        _, other = partners(_profiled(table), similarity)
-        node = table["node"].to_numpy()
-        one = np.flatnonzero(other >= 0)
-        a, b = node[one], node[other[one]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return _per_block(_blocks(members, bucket, across=False), look, "a long, b long")
-
-
 def _linked(members: DataFrame, texts: DataFrame, similarity: float, bucket: int) -> DataFrame:
     """(a, b): links between members of different classes, compared within their blocks.
 
@@ -476,11 +457,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
 
     `docs` must be a stored table. Texts that are equal are one node, and nodes with an equal key
     share a bucket. Every node is first compared with the smallest one that any of its buckets
-    holds, which joins large groups of copies with one comparison per member, then with the closest
-    member of another class in each of its blocks. Buckets that still hold several classes are
-    compared whole, block by block: a block compares all members of different classes that can be
-    alike and returns a forest of the links it finds. So no bucket is cut off, whatever its size, and
-    no pair leaves its block unless it is a link.
+    holds, which joins large groups of copies with one comparison per member, and with the smallest
+    one of its smallest bucket, which joins few copies that hold a frequent k-mer. Buckets that still
+    hold several classes are compared whole, block by block: a block compares all members of
+    different classes that can be alike and returns a forest of the links it finds. So no bucket is
+    cut off, whatever its size, and no pair leaves its block unless it is a link.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the search finds texts of similarity {SIMILARITY} and more")
@@ -490,28 +471,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int =
     nodes = stage(nodes.select("h1", "h2", "node", "of.*"), "nodes")
     buckets = _bucketed(nodes.select("node", F.explode(F.array_distinct("sketches")).alias("key")))
     profiles = nodes.select("node", "words", "bag")
-    seen = stage(buckets.groupBy("node").agg(F.min("leader").alias("leader")).filter("node <> leader").select(
-        F.col("leader").alias("a"), F.col("node").alias("b")), "pairs")
+    leaders = buckets.filter("node <> leader").groupBy("node").agg(F.array_distinct(F.array(
+        F.min("leader"), F.min_by("leader", F.struct("n", "leader")))).alias("leaders"))
+    seen = stage(leaders.select(F.explode("leaders").alias("a"), F.col("node").alias("b")), "pairs")
     links = stage(_verified(_plausible(seen, profiles, similarity), docs, similarity), "links")
     classes = stage(components(links), "classes")
-    for whole in (False, True):
-        known = _with_class(buckets, classes)
-        several = stage(known.groupBy("key").agg(
-            F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"),
-            "open_keys")
-        buckets = stage(buckets.join(several, "key", "left_semi"), "open_buckets")
-        members = _with_class(buckets, classes).drop("leader").join(profiles, "node")
-        if whole:
-            found = _linked(members, docs, similarity, bucket)
-        else:
-            pairs = _closest(members, similarity, bucket).distinct().join(seen, ["a", "b"], "left_anti")
-            found = _verified(stage(pairs, "pairs"), docs, similarity)
-        found = stage(found, "links")
-        if not found.isEmpty():
-            # of links found so far a tree per class is enough
-            links = classes.filter("node <> component").select(
-                F.col("component").alias("a"), F.col("node").alias("b")).unionAll(found)
-            classes = stage(components(links), "classes")
+    several = stage(_with_class(buckets, classes).groupBy("key").agg(
+        F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"),
+        "open_keys")
+    buckets = stage(buckets.join(several, "key", "left_semi"), "open_buckets")
+    members = _with_class(buckets, classes).drop("leader").join(profiles, "node")
+    found = stage(_linked(members, docs, similarity, bucket), "links")
+    if not found.isEmpty():
+        # of links found so far a tree per class is enough
+        links = classes.filter("node <> component").select(
+            F.col("component").alias("a"), F.col("node").alias("b")).unionAll(found)
+        classes = stage(components(links), "classes")
     of_text = _with_class(nodes.select("h1", "h2", "node"), classes).select("h1", "h2", "class")
     return rows.select("doc", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc", "class")
 

@@ -67,14 +67,31 @@ def test_of_buckets_with_the_same_members_one_is_kept(spark):
     assert {(r.key, r.n, r.leader) for r in found} == {(1, 4, 1), (3, 4, 1), (5, 2, 2), (7, 3, 1)}
 
 
-def test_closest_rows_grow_with_the_members_of_a_bucket(spark):
-    """Members that can all be alike: a row per member at most, however many blocks there are."""
-    for size in (40, 160):
-        rows = [(1, node, node, size, 20, bytes(near.BINS)) for node in range(size)]
-        members = spark.createDataFrame(rows, "key long, node long, class long, n long, words int, bag binary")
-        found = near._closest(members, near.SIMILARITY, 4).collect()
-        assert 0 < len(found) <= size
-        assert all(r.a < r.b for r in found)
+def test_rows_made_by_blocks_grow_with_the_group(spark, monkeypatch):
+    """Near copies of a text behind an unlike one that shares a frequent passage with all: what the
+    blocks return is a few rows, however large the group and however many blocks there are."""
+    made = []
+    per_block = near._per_block
+
+    def counted(rows, look, schema):
+        out = stage(per_block(rows, look, schema), "made")
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "_per_block", counted)
+    passage = [f"p{k}" for k in range(8)]
+    unlike = " ".join([*passage, *(f"u{k}" for k in range(30))])
+    for size in (24, 96):
+        made.clear()
+        texts = [unlike]
+        for copy in range(size):
+            words = [*passage, *(f"w{k}" for k in range(40))]
+            words[8 + copy % 40] = f"edit{copy}"
+            texts.append(" ".join(words))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        classes = near.marked(docs, bucket=4).collect()
+        assert {r.doc_id: r.class_id for r in classes} == {k: min(k, 1) for k in range(size + 1)}
+        assert sum(made) <= 2 * size, made
 
 
 def test_a_text_of_one_word_repeated_meets_its_near_copies(spark):
