@@ -33,7 +33,7 @@ RATE = 0.1
 LEAVES = 128
 MAX_DEPTH = 12
 MIN_LEAF = 20
-_STORE_EVERY = 25
+_STORE_EVERY, _STORE_SPREAD = 100, 25  # rounds of one task, and of many
 
 
 def unseen_categories(train: DataFrame, test: DataFrame,
@@ -158,7 +158,8 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
                        min_leaf: int = MIN_LEAF, task_rows: int = trees.TASK_ROWS) -> QuantileBoost:
     """Fit the model; `min_leaf` is in training rows.
 
-    There is a task per `task_rows` cells. Every so many rounds the cells are written to the shared
+    Up to `task_rows` cells one task holds them all and fits many rounds in one job; beyond that they are
+    spread over tasks, and a round is some jobs. Every so many rounds the cells are written to the shared
     folder with their scores, so a lost executor costs no more than these. The model does not depend
     on the number of tasks.
     """
@@ -171,19 +172,21 @@ def fit_quantile_boost(train: DataFrame, *, features: Sequence[str] = FEATURES,
     weighted = stage(train.groupBy(*features, label).agg(F.count(F.lit(1)).alias("_weight")), "distinct-rows")
     cells = stage(encode(weighted, dictionary, features).select(
         *(f"{c}_index" for c in features), label, "_weight", F.lit(base).alias("_score")), "cells")
-    tasks = 1 + cells.count() // task_rows
-    blocks = stage(trees.packed(cells.coalesce(tasks), sizes), "blocks")
+    count = cells.count()
+    alone = count < task_rows
+    blocks = stage(trees.packed(
+        cells if alone else cells.coalesce(1 + count // min(task_rows, trees.SPREAD_ROWS)), sizes), "blocks")
     options = {"alpha": alpha, "leaves": leaves, "max_depth": max_depth, "min_leaf": min_leaf}
     while len(model.rounds) < rounds:
-        ahead = min(_STORE_EVERY, rounds - len(model.rounds))
-        if tasks == 1:
-            grown = trees.told(blocks.coalesce(1), len(sizes), lambda part, n=ahead: trees.fitted_in_a_row(
+        ahead = min(_STORE_EVERY if alone else _STORE_SPREAD, rounds - len(model.rounds))
+        if alone:
+            grown = trees.told(blocks.coalesce(1), sizes, lambda part, n=ahead: trees.fitted_in_a_row(
                 part, sizes, n, rate, **options))
         else:
             grown = _spread_rounds(blocks, sizes, ahead, rate, options)
         model.rounds += grown
         if len(model.rounds) < rounds:
-            blocks = stage(trees.rescored(blocks, len(sizes), grown, rate), "blocks")
+            blocks = stage(trees.rescored(blocks, sizes, grown, rate), "blocks")
     return model
 
 
@@ -192,10 +195,10 @@ def _spread_rounds(blocks: DataFrame, sizes: Sequence[int], rounds: int, rate: f
     """Rounds over blocks on many executors, which keep them, with their scores, between the jobs."""
     grown, held = [], [blocks.persist(StorageLevel.MEMORY_AND_DISK)]
     for _ in range(rounds):
-        grown.append(trees.fitted(trees.Spread(held[-1], len(sizes)), sizes, **options))
+        grown.append(trees.fitted(trees.Spread(held[-1], sizes), sizes, **options))
         if len(held) > 1:  # the blocks no longer need what they are made from
             held.pop(0).unpersist()
-        held.append(trees.rescored(held[-1], len(sizes), grown[-1:], rate).persist(StorageLevel.MEMORY_AND_DISK))
+        held.append(trees.rescored(held[-1], sizes, grown[-1:], rate).persist(StorageLevel.MEMORY_AND_DISK))
     for one in held:
         one.unpersist()
     return grown

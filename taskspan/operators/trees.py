@@ -6,8 +6,9 @@ category, the rows and those above the running score; the driver orders the cate
 their share, finds the best cut, and splits the leaves of the largest gains. All sums are whole
 numbers, so a tree does not depend on how the cells are dealt.
 
-Growing takes some ten small jobs a tree. Where one task would hold all
-cells (TASK_ROWS), that task grows several trees by the same steps instead of reporting each sum.
+Growing takes some ten jobs a tree, each of which costs more than the sums of millions of cells. Where
+one task can hold all cells (TASK_ROWS), that task grows many trees by the same steps instead of
+reporting each sum.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TASK_ROWS = 200_000  # cells that a task of their own is worth
+TASK_ROWS = 8_000_000  # cells that one task may hold, some 100 bytes each
+SPREAD_ROWS = 200_000  # cells that a task is worth beyond that
 SHARE = 2 / 3  # of the leaves that may be split in one batch
+TOGETHER = 1_024  # combinations of features that are counted together
+PACKED_ROWS = 1 << 26  # rows whose two sums fit one floating point number
+CELLS, FEW = 1_024, 2_048  # of the range of a leaf's residuals; residuals that are put in order
 KEPT = 512  # residuals of a leaf that a task reports at a time
 MOST_SUMS = 1 << 22  # sums that one job brings together
 
@@ -84,7 +89,7 @@ def packed(cells: DataFrame, sizes: Sequence[int]) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            codes = np.array([np.where(c < 0, n, c) for c, n in zip(columns, sizes)], np.int32)
+            codes = np.array([np.where(c < 0, n, c) for c, n in zip(columns, sizes)], _code(sizes))
             rest = [c.astype(t) for c, t in zip(columns[len(sizes):], (np.float64, np.int64, np.float64))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.tobytes()]) for x in (codes, *rest)], ["codes", "actual", "weight", "score"])
@@ -92,19 +97,24 @@ def packed(cells: DataFrame, sizes: Sequence[int]) -> DataFrame:
     return cells.mapInArrow(pack, PACKED)
 
 
-def blocks_of(batches: Iterable[pa.RecordBatch], features: int) -> Iterator[Block]:
+def _code(sizes: Sequence[int]) -> np.dtype:
+    """The smallest numbers that hold the codes of features of so many categories."""
+    return np.min_scalar_type(max(sizes, default=0))
+
+
+def blocks_of(batches: Iterable[pa.RecordBatch], sizes: Sequence[int]) -> Iterator[Block]:
     """The blocks of rows of PACKED."""
     for batch in batches:
         for codes, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            yield Block(np.frombuffer(codes, np.int32).reshape(features, -1), np.frombuffer(rest[0]),
+            yield Block(np.frombuffer(codes, _code(sizes)).reshape(len(sizes), -1), np.frombuffer(rest[0]),
                         np.frombuffer(rest[1], np.int64), np.frombuffer(rest[2]))
 
 
-def rescored(rows: DataFrame, features: int, grown: Sequence[Tree], rate: float) -> DataFrame:
+def rescored(rows: DataFrame, sizes: Sequence[int], grown: Sequence[Tree], rate: float) -> DataFrame:
     """Rows of PACKED after the trees have been added to their scores."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches, features):
+        for block in blocks_of(batches, sizes):
             for tree in grown:
                 block = with_scores(block, tree, rate)
             yield pa.RecordBatch.from_arrays(
@@ -114,11 +124,11 @@ def rescored(rows: DataFrame, features: int, grown: Sequence[Tree], rate: float)
     return rows.mapInArrow(score, PACKED)
 
 
-def told(rows: DataFrame, features: int, tell: Callable[[Iterator[Block]], Iterable]) -> list:
+def told(rows: DataFrame, sizes: Sequence[int], tell: Callable[[Iterator[Block]], Iterable]) -> list:
     """What `tell` yields for the blocks of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in tell(blocks_of(batches, features)):
+        for one in tell(blocks_of(batches, sizes)):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(one)])], ["told"])
 
     return [pickle.loads(row["told"]) for row in rows.mapInArrow(run, "told binary").collect()]
@@ -165,15 +175,158 @@ def _residuals(part: Iterable[Block], tree: Tree, asked: dict[int, tuple[float,
 
 @dataclass
 class Held:
-    """Blocks that one task holds."""
+    """Blocks that one task holds.
 
-    blocks: list[Block]
+    Cells of the same codes and score are always in the same leaf, so the steps of a tree run over
+    distinct combinations of them, and small features are counted together.
+    """
 
-    def sums(self, *asked) -> np.ndarray:
-        return _sums(self.blocks, *asked)
+    blocks: list[Block]
 
-    def residuals(self, *asked) -> list[tuple]:
-        return _residuals(self.blocks, *asked)
+    def __post_init__(self) -> None:
+        blocks = self.blocks or [Block(np.zeros((0, 0), np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))]
+        codes = np.concatenate([b.codes for b in blocks], axis=1)
+        score = np.concatenate([b.score for b in blocks])
+        order, fresh = _combinations(codes, score)
+        self._of = (np.cumsum(fresh) - 1).astype(np.int32)
+        self._codes, self._score = [_narrow(c[order[fresh]]) for c in codes], score[order[fresh]]
+        self._actual = _narrow(np.concatenate([b.actual for b in blocks]))[order]
+        self._weight = _narrow(np.concatenate([b.weight for b in blocks]))[order]
+        self._rows = np.bincount(self._of, self._weight, len(self._score))
+        self._both = self._rows.sum() < PACKED_ROWS  # both sums fit one number
+        self._together = _groups([int(c.max(initial=0)) + 1 for c in self._codes])
+        self._joint = [np.ravel_multi_index([self._codes[f] for f in some], shape).astype(np.int32)
+                       for some, shape in self._together]
+        self._tree: Tree | None = None
+
+    def _follow(self, tree: Tree) -> None:
+        above = self._weight * (self._actual > self._score[self._of])
+        above = np.bincount(self._of, above, len(self._score))
+        self._counts = [self._rows + PACKED_ROWS * above] if self._both else [self._rows, above]
+        self._tree = tree
+        self._leaf = {0: np.arange(len(self._score), dtype=np.int32)}
+
+    def _members(self, tree: Tree) -> dict[int, np.ndarray]:
+        """The combinations of each leaf; a tree that has grown is followed from where it was."""
+        if self._tree is not tree:
+            self._follow(tree)
+        for node in sorted(tree.splits):
+            if node in self._leaf:
+                split, some = tree.splits[node], self._leaf.pop(node)
+                first = split.left[self._codes[split.feature][some]]
+                self._leaf[split.low], self._leaf[split.high] = some[first], some[~first]
+        return self._leaf
+
+    def sums(self, tree: Tree, wanted: list[int], bins: int, first: np.ndarray) -> np.ndarray:
+        members = self._members(tree)
+        some = np.concatenate([members[leaf] for leaf in wanted])
+        leaf = np.repeat(np.arange(len(wanted)), [len(members[leaf]) for leaf in wanted])
+        counts = [count[some] for count in self._counts]
+        out = np.zeros((len(counts), len(wanted), bins), np.int64)
+        for codes, (features, shape) in zip(self._joint, self._together):
+            size = math.prod(shape)
+            place = leaf * size + codes[some]
+            for kind, count in enumerate(counts):
+                found = np.bincount(place, count, len(wanted) * size).astype(np.int64).reshape(-1, *shape)
+                for k, feature in enumerate(features):
+                    others = tuple(1 + other for other in range(len(shape)) if other != k)
+                    out[kind, :, first[feature]:first[feature] + shape[k]] = found.sum(others)
+        return np.stack([out[0] % PACKED_ROWS, out[0] // PACKED_ROWS]) if self._both else out
+
+    def quantiles(self, tree: Tree, alpha: float) -> dict[int, float]:
+        """The exact alpha-quantile, interpolated, of the residuals of every leaf."""
+        return dict.fromkeys(self._members(tree), 0.0) | {
+            leaf: _quantile(value, weight, alpha) for leaf, value, weight in self._by_leaf(tree)}
+
+    def _by_leaf(self, tree: Tree) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Residuals and weights of the cells of each leaf that has any."""
+        members = self._members(tree)
+        leaf = np.zeros(len(self._score), np.int16 if max(members) < 1 << 15 else np.int32)
+        for name, some in members.items():
+            leaf[some] = name
+        leaf = leaf[self._of]
+        order = np.argsort(leaf, kind="stable")
+        ends = np.cumsum(np.bincount(leaf, minlength=max(members) + 1))
+        for name in sorted(members):
+            cells = order[ends[name - 1] if name else 0:ends[name]]
+            if len(cells):
+                yield name, self._actual[cells] - self._score[self._of[cells]], self._weight[cells]
+
+    def add(self, tree: Tree, rate: float) -> None:
+        """Add the tree to the scores."""
+        for leaf, some in self._members(tree).items():
+            self._score[some] += rate * tree.values[leaf]
+        self._tree = None
+
+
+def _combinations(codes: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the cells by codes and score, and which of them begin another combination."""
+    def numbered(key: np.ndarray) -> tuple[np.ndarray, int]:
+        value, of = np.unique(key, return_inverse=True)
+        return of.astype(np.int64), max(1, len(value))
+
+    key, count = numbered(score)
+    for code in codes:
+        size = int(code.max(initial=0)) + 1
+        if count * size >= 1 << 62:
+            key, count = numbered(key)
+        key *= size
+        key += code
+        count *= size
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return order, np.append(True, key[1:] != key[:-1])[:len(key)]
+
+
+def _quantile(value: np.ndarray, weight: np.ndarray, alpha: float) -> float:
+    """The interpolated quantile of weighted values. Counts over cells of their range find the few that
+    have to be put in order."""
+    place, below = (int(weight.sum()) - 1) * alpha, 0
+    ranks = math.floor(place), math.ceil(place)
+    low, high = value.min(), value.max()
+    while len(value) > FEW and low < high:
+        with np.errstate(over="ignore"):
+            scale = CELLS / (high - low)
+        if not 0 < scale < np.inf:
+            break  # neighbouring floating point numbers, or infinite ones
+        cell = np.minimum((value - low) * scale, CELLS - 1).astype(np.int16)
+        reached = below + np.cumsum(np.bincount(cell, weight, CELLS))
+        first, last = np.searchsorted(reached, ranks, "right")
+        inside = (cell >= first) & (cell <= last)
+        if inside.all():
+            break
+        below = int(reached[first - 1]) if first else below
+        value, weight = value[inside], weight[inside]
+        low, high = value.min(), value.max()
+    order = np.argsort(value)
+    reached = below + np.cumsum(weight[order])
+    low, high = value[order[np.searchsorted(reached, ranks, "right")]]
+    share = place - ranks[0]
+    return float(low if low == high else (1 - share) * low + share * high)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same values, as small whole numbers where they are such."""
+    for kind in (np.int16, np.int32):
+        with np.errstate(invalid="ignore"):
+            small = values.astype(kind)
+        if (values == small).all():
+            return small
+    return values
+
+
+def _groups(sizes: Sequence[int]) -> list[tuple[list[int], list[int]]]:
+    """The features dealt into groups of at most TOGETHER combinations, with their sizes."""
+    groups: list[tuple[list[int], list[int]]] = []
+    for feature in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+        for features, shape in groups:
+            if math.prod(shape) * sizes[feature] <= TOGETHER:
+                features.append(feature)
+                shape.append(sizes[feature])
+                break
+        else:
+            groups.append(([feature], [sizes[feature]]))
+    return groups
 
 
 @dataclass
@@ -181,15 +334,18 @@ class Spread:
     """Rows of PACKED on many executors: a job per question."""
 
     rows: DataFrame
-    features: int
+    sizes: Sequence[int]
 
     def sums(self, *asked) -> np.ndarray:
-        return sum(told(self.rows, self.features, lambda part: [_sums(part, *asked)]))
+        return sum(told(self.rows, self.sizes, lambda part: [_sums(part, *asked)]))
 
     def residuals(self, *asked) -> list[tuple]:
-        return [one for some in told(self.rows, self.features, lambda part: [_residuals(part, *asked)])
+        return [one for some in told(self.rows, self.sizes, lambda part: [_residuals(part, *asked)])
                 for one in some]
 
+    def quantiles(self, tree: Tree, alpha: float) -> dict[int, float]:
+        return leaf_values(self, tree, alpha)
+
 
 def best_cuts(sums: np.ndarray, first: np.ndarray, alpha: float, min_leaf: int
               ) -> list[tuple[float, int, np.ndarray, int] | None]:
@@ -337,7 +493,7 @@ def fitted(cells: Held | Spread, sizes: Sequence[int], *, alpha: float, leaves:
            min_leaf: int) -> Tree:
     """The tree of one round."""
     tree = grow(cells, sizes, alpha=alpha, leaves=leaves, max_depth=max_depth, min_leaf=min_leaf)
-    tree.values = leaf_values(cells, tree, alpha)
+    tree.values = cells.quantiles(tree, alpha)
     return tree
 
 
@@ -345,7 +501,8 @@ def fitted_in_a_row(part: Iterable[Block], sizes: Sequence[int], rounds: int, ra
                     ) -> Iterator[Tree]:
     """The trees of several rounds over cells that one task holds."""
     cells = Held(list(part))
+    cells.blocks.clear()  # their cells are held by combination
     for _ in range(rounds):
         tree = fitted(cells, sizes, **settings)
         yield tree
-        cells = Held([with_scores(block, tree, rate) for block in cells.blocks])
+        cells.add(tree, rate)

@@ -181,6 +181,63 @@ def test_any_number_of_tasks_gives_the_same_model(train):
         [(n, s.feature, s.left.tolist()) for n, s in sorted(t.splits.items())] for t in many.rounds]
 
 
+def test_a_quarter_of_a_million_cells_need_no_job_per_sum(spark, monkeypatch):
+    """Twelve jobs a round over all cells took most of the time of a fit."""
+    many = rows(spark, 1, 1).drop("orderID", "subIntID", DAYS).crossJoin(spark.range(250_000)).select(
+        "*", (F.col("id") % 40).cast("int").alias("subIntID"),
+        (F.col("id") / 40 + F.col("id") % 40 * 100).cast("int").alias(DAYS))
+    monkeypatch.setattr(boost, "_spread_rounds", lambda *_: pytest.fail("a job per sum"))
+    model = boost.fit_quantile_boost(many, rounds=2, leaves=4)
+    assert [len(tree.values) for tree in model.rounds] == [4, 4]
+
+
+@pytest.mark.parametrize("most", [trees.PACKED_ROWS, 1])
+def test_a_task_adds_up_combinations_as_others_add_up_cells(most, monkeypatch):
+    """Repeated cells, scores that differ within a combination, both ways to count."""
+    monkeypatch.setattr(trees, "PACKED_ROWS", most)
+    monkeypatch.setattr(trees, "TOGETHER", 60)
+    sizes, draw = [9, 300, 7, 2], np.random.default_rng(8)
+    blocks = blocks_of(draw, 900, sizes, parts=3)
+    blocks[1].score[:] = draw.choice([9.0, 11.5], 900)
+    blocks[2].actual[:] += draw.choice([0.0, 0.25], 900)
+    blocks.append(blocks[0])
+    held, first = trees.Held(list(blocks)), np.append(0, np.cumsum(np.array(sizes) + 1))
+    for _ in range(3):
+        tree = trees.grow(held, sizes, alpha=0.75, leaves=20, max_depth=12, min_leaf=5)
+        leaves = [leaf for leaf in range(2 * len(tree.splits) + 1) if leaf not in tree.splits]
+        asked = tree, leaves, int(first[-1]), first[:-1]
+        assert len(leaves) == 20 and (held.sums(*asked) == trees._sums(blocks, *asked)).all()
+        tree.values = held.quantiles(tree, 0.75)
+        assert set(tree.values) == set(leaves)
+        for leaf, value in tree.values.items():
+            found = np.concatenate([np.repeat((b.actual - b.score)[at], b.weight[at]) for b in blocks
+                                    for at in [tree.leaves(b.codes) == leaf]])
+            assert value == pytest.approx(np.quantile(found, 0.75), abs=1e-12)
+        held.add(tree, 0.3)
+        blocks = [trees.with_scores(b, tree, 0.3) for b in blocks]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 0.75, 1.0])
+def test_quantile_of_a_leaf_is_found_by_cells(alpha):
+    """Ties, one far value, neighbouring numbers and a step at the rank; far more than are put in order."""
+    draw = np.random.default_rng(6)
+    close = 1.0 + np.arange(5_000) % 3 * np.finfo(float).eps
+    for value in (draw.normal(size=20_000), np.append(draw.random(20_000), 1e300), close,
+                  np.repeat([1.0, 2.0, 3.0, 4.0], 2_500), np.full(5_000, 3.5),
+                  np.append(np.full(4_000, -1e308), np.full(4_000, 1e308))):
+        weight = draw.integers(1, 5, len(value)).astype(np.int16)
+        got = trees._quantile(value, weight, alpha)
+        place = (int(weight.sum()) - 1) * alpha
+        rows = np.sort(np.repeat(value, weight))
+        low, high, share = rows[int(place)], rows[-int(-place // 1)], place % 1
+        assert got == (low if low == high else (1 - share) * low + share * high)
+
+
+def test_a_task_without_cells_has_no_sums():
+    tree = trees.fitted(trees.Held([]), [3, 2], alpha=0.75, leaves=8, max_depth=3, min_leaf=1)
+    assert not tree.splits and tree.values == {0: 0.0}
+
+
 @pytest.mark.parametrize("kept", [8, 512])
 @pytest.mark.parametrize("alpha", [0.5, 0.75, 0.99])
 def test_quantiles_of_all_leaves_at_once(kept, alpha):
