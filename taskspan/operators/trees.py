@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TASK_ROWS = 8_000_000  # cells that one task may hold, some 100 bytes each
+TASK_ROWS = 16_000_000  # cells that one task may hold, some 70 bytes each while they are put in order
 SPREAD_ROWS = 200_000  # cells that a task is worth beyond that
 SHARE = 2 / 3  # of the leaves that may be split in one batch
 TOGETHER = 1_024  # combinations of features that are counted together
@@ -190,8 +190,8 @@ class Held:
         order, fresh = _combinations(codes, score)
         self._of = (np.cumsum(fresh) - 1).astype(np.int32)
         self._codes, self._score = [_narrow(c[order[fresh]]) for c in codes], score[order[fresh]]
-        self._actual = _narrow(np.concatenate([b.actual for b in blocks]))[order]
-        self._weight = _narrow(np.concatenate([b.weight for b in blocks]))[order]
+        self._actual = _narrow(np.concatenate([b.actual for b in blocks])[order])
+        self._weight = _narrow(np.concatenate([b.weight for b in blocks])[order])
         self._rows = np.bincount(self._of, self._weight, len(self._score))
         self._both = self._rows.sum() < PACKED_ROWS  # both sums fit one number
         self._together = _groups([int(c.max(initial=0)) + 1 for c in self._codes])
@@ -265,17 +265,23 @@ def _combinations(codes: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.
         value, of = np.unique(key, return_inverse=True)
         return of.astype(np.int64), max(1, len(value))
 
-    key, count = numbered(score)
-    for code in codes:
-        size = int(code.max(initial=0)) + 1
-        if count * size >= 1 << 62:
-            key, count = numbered(key)
-        key *= size
-        key += code
-        count *= size
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    return order, np.append(True, key[1:] != key[:-1])[:len(key)]
+    def dealt(key: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        for code in codes:
+            size = int(code.max(initial=0)) + 1
+            if count * size >= 1 << 62:
+                key, count = numbered(key)
+            key *= size
+            key += code
+            count *= size
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        return order, np.append(True, key[1:] != key[:-1])[:len(key)]
+
+    order, fresh = dealt(np.zeros(len(score), np.int64), 1)
+    ordered = score[order]
+    if (fresh[1:] | (ordered[1:] == ordered[:-1])).all():  # the rule: the score follows from the codes
+        return order, fresh
+    return dealt(*numbered(score))
 
 
 def _quantile(value: np.ndarray, weight: np.ndarray, alpha: float) -> float:
@@ -500,7 +506,7 @@ def fitted(cells: Held | Spread, sizes: Sequence[int], *, alpha: float, leaves:
 def fitted_in_a_row(part: Iterable[Block], sizes: Sequence[int], rounds: int, rate: float, **settings
                     ) -> Iterator[Tree]:
     """The trees of several rounds over cells that one task holds."""
-    cells = Held(list(part))
+    cells = Held([Block(b.codes, _narrow(b.actual), _narrow(b.weight), b.score) for b in part])
     cells.blocks.clear()  # their cells are held by combination
     for _ in range(rounds):
         tree = fitted(cells, sizes, **settings)
